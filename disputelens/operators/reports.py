@@ -21,9 +21,10 @@ SORT_KEYS = ["series", "invoice_no", "claim_id", "invoice_label", "row_kind"]
 def summary_rows(invoices: DataFrame) -> DataFrame:
     """Summary rows in report layout; the invoice's open balance goes to ``amount``.
 
-    Extra columns ``series``, ``invoice_no`` (sort keys) and ``category`` are
-    kept for ordering and filtering; ``report_columns`` drops them.
+    Extra columns ``series``, ``invoice_no`` (sort keys) and ``category`` (when
+    present) are kept for ordering and filtering; ``report_columns`` drops them.
     """
+    extra = ["category"] if "category" in invoices.columns else []
     return invoices.select(
         "notified_on",
         "invoice_label",
@@ -40,7 +41,7 @@ def summary_rows(invoices: DataFrame) -> DataFrame:
         F.lit(ROW_SUMMARY).alias("row_kind"),
         "series",
         "invoice_no",
-        "category",
+        *extra,
     )
 
 
@@ -89,7 +90,7 @@ def report_columns(df: DataFrame, extra: list[str] | None = None) -> DataFrame:
 def summary_detail_report(invoices: DataFrame, base: DataFrame, extra: list[str] | None = None) -> DataFrame:
     """Summary rows and detail rows, sorted, in the 17-column layout."""
     summary = summary_rows(invoices)
-    if "category" not in base.columns:
+    if "category" not in base.columns and "category" in summary.columns:
         summary = summary.drop("category")
     return report_columns(report_order(stack(summary, detail_rows(base))), extra)
 
