@@ -1,0 +1,28 @@
+from __future__ import annotations
+
+import os
+
+from disputelens.operators import base as B
+from disputelens.schema import ITEM_SCHEMA
+from disputelens.session import scratch_path
+from disputelens.streaming.incremental import append_base, base_item_stream, read_item_stream
+
+from .conftest import ITEMS, rows
+
+
+def test_stream_matches_batch_base(spark, micro):
+    headers, items = micro
+    landing = scratch_path(spark, "landing")
+    # items arrive in two files
+    spark.createDataFrame(ITEMS[:6], ITEM_SCHEMA).write.parquet(os.path.join(landing, "batch=1"))
+    stream = base_item_stream(read_item_stream(spark, os.path.join(landing, "*")), headers)
+    out = scratch_path(spark, "base-table")
+    ckpt = scratch_path(spark, "ckpt")
+    append_base(stream, out, ckpt).awaitTermination()
+    spark.createDataFrame(ITEMS[6:], ITEM_SCHEMA).write.parquet(os.path.join(landing, "batch=2"))
+    stream = base_item_stream(read_item_stream(spark, os.path.join(landing, "*")), headers)
+    append_base(stream, out, ckpt).awaitTermination()
+    got = spark.read.parquet(out)
+    want = B.base_items(headers, items)
+    assert got.count() == 8
+    assert rows(got) == rows(want.select(*got.columns))
