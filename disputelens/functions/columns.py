@@ -26,82 +26,96 @@ def _col(c: ColumnOrName) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+# Column helpers take column *names* and are written as SQL snippets: one
+# expression is parsed on the JVM side in one call, instead of one call per
+# operator node, which keeps building a plan cheap.
+
+
+def _sql(text: str) -> Column:
+    return F.expr(text)
+
+
 # ---------------------------------------------------------------- flags
 
 
-def has_batch(batch_no: ColumnOrName = "batch_no") -> Column:
+def has_batch_sql(batch_no: str = "batch_no") -> str:
+    return f"({batch_no} <> 0)"
+
+
+def is_filed_sql(filed_on: str = "filed_on") -> str:
+    return f"({filed_on} IS NOT NULL)"
+
+
+def has_batch(batch_no: str = "batch_no") -> Column:
     """Item belongs to a collection batch (``batch_no`` filled with 0 when missing)."""
-    return _col(batch_no) != 0
+    return _sql(has_batch_sql(batch_no))
 
 
-def is_filed(filed_on: ColumnOrName = "filed_on") -> Column:
+def is_filed(filed_on: str = "filed_on") -> Column:
     """Item has a filing date."""
-    return _col(filed_on).isNotNull()
+    return _sql(is_filed_sql(filed_on))
 
 
-def flag_conditions(batch_no: ColumnOrName = "batch_no", filed_on: ColumnOrName = "filed_on") -> dict[str, Column]:
-    """The four item conditions behind the categories, by counter name."""
-    b, f = has_batch(batch_no), is_filed(filed_on)
+def flag_conditions_sql(batch_no: str = "batch_no", filed_on: str = "filed_on") -> dict[str, str]:
+    """The four item conditions behind the categories, by counter name, as SQL."""
+    b, f = has_batch_sql(batch_no), is_filed_sql(filed_on)
     return {
-        "items_batch_filed": b & f,
-        "items_batch_unfiled": b & ~f,
-        "items_nobatch_filed": ~b & f,
-        "items_nobatch_unfiled": ~b & ~f,
+        "items_batch_filed": f"{b} AND {f}",
+        "items_batch_unfiled": f"{b} AND NOT {f}",
+        "items_nobatch_filed": f"NOT {b} AND {f}",
+        "items_nobatch_unfiled": f"NOT {b} AND NOT {f}",
     }
 
 
+def flag_conditions(batch_no: str = "batch_no", filed_on: str = "filed_on") -> dict[str, Column]:
+    """The four item conditions behind the categories, by counter name."""
+    return {k: _sql(v) for k, v in flag_conditions_sql(batch_no, filed_on).items()}
+
+
 # ---------------------------------------------------------------- keys
 
 
-def _text(c: ColumnOrName) -> Column:
-    return F.coalesce(_col(c).cast("string"), F.lit(""))
+def _text_sql(c: str) -> str:
+    return f"coalesce(CAST({c} AS STRING), '')"
 
 
-def invoice_label(series: ColumnOrName = "series", invoice_no: ColumnOrName = "invoice_no") -> Column:
+def invoice_label(series: str = "series", invoice_no: str = "invoice_no") -> Column:
     """Printed invoice number: series and number with no separator, null parts as ''."""
-    return F.concat(_text(series), _text(invoice_no))
+    return _sql(f"concat({_text_sql(series)}, {_text_sql(invoice_no)})")
 
 
-def invoice_key(
-    series: ColumnOrName = "series", invoice_no: ColumnOrName = "invoice_no", claim_id: ColumnOrName = "claim_id"
-) -> Column:
+def invoice_key(series: str = "series", invoice_no: str = "invoice_no", claim_id: str = "claim_id") -> Column:
     """Dashboard key ``series-invoice_no-claim_id``, null parts as ''."""
-    return F.concat_ws("-", _text(series), _text(invoice_no), _text(claim_id))
+    return _sql(f"concat_ws('-', {_text_sql(series)}, {_text_sql(invoice_no)}, {_text_sql(claim_id)})")
 
 
 # ---------------------------------------------------------------- labels
 
 
 def category_of(
-    total: ColumnOrName = "total_items",
-    batch_filed: ColumnOrName = "items_batch_filed",
-    batch_unfiled: ColumnOrName = "items_batch_unfiled",
-    nobatch_filed: ColumnOrName = "items_nobatch_filed",
-    nobatch_unfiled: ColumnOrName = "items_nobatch_unfiled",
+    total: str = "total_items",
+    batch_filed: str = "items_batch_filed",
+    batch_unfiled: str = "items_batch_unfiled",
+    nobatch_filed: str = "items_nobatch_filed",
+    nobatch_unfiled: str = "items_nobatch_unfiled",
 ) -> Column:
     """Filing category from the item counters of one invoice (A2).
 
     The checks run in the fixed order T1, T2, T3, T4; an invoice whose items
     do not all share one condition is Mixed.
     """
-    t = _col(total)
     t1, t2, t3, t4, mixed = CATEGORIES
-    return (
-        F.when(_col(batch_filed) == t, F.lit(t1))
-        .when(_col(batch_unfiled) == t, F.lit(t2))
-        .when(_col(nobatch_unfiled) == t, F.lit(t3))
-        .when(_col(nobatch_filed) == t, F.lit(t4))
-        .otherwise(F.lit(mixed))
+    return _sql(
+        f"CASE WHEN {batch_filed} = {total} THEN '{t1}' WHEN {batch_unfiled} = {total} THEN '{t2}' "
+        f"WHEN {nobatch_unfiled} = {total} THEN '{t3}' WHEN {nobatch_filed} = {total} THEN '{t4}' ELSE '{mixed}' END"
     )
 
 
-def item_filing_status(batch_no: ColumnOrName = "batch_no", filed_on: ColumnOrName = "filed_on") -> Column:
+def item_filing_status(batch_no: str = "batch_no", filed_on: str = "filed_on") -> Column:
     """Item label (P7): filed, else batch only, else missing."""
-    batch = _col(batch_no)
-    return (
-        F.when(is_filed(filed_on), F.lit(ITEM_FILED))
-        .when(batch.isNotNull() & (batch != 0), F.lit(ITEM_BATCH_ONLY))
-        .otherwise(F.lit(ITEM_MISSING))
+    return _sql(
+        f"CASE WHEN {is_filed_sql(filed_on)} THEN '{ITEM_FILED}' "
+        f"WHEN {batch_no} IS NOT NULL AND {batch_no} <> 0 THEN '{ITEM_BATCH_ONLY}' ELSE '{ITEM_MISSING}' END"
     )
 
 
@@ -164,7 +178,10 @@ def parse_day(value: str | _dt.date) -> _dt.date:
 __all__ = [
     "has_batch",
     "is_filed",
+    "has_batch_sql",
+    "is_filed_sql",
     "flag_conditions",
+    "flag_conditions_sql",
     "invoice_label",
     "invoice_key",
     "category_of",

@@ -49,7 +49,7 @@ def in_date_range(
 
 def valid_status(items: DataFrame) -> DataFrame:
     """keep items whose status is one of the valid states (null drops)."""
-    return items.filter(F.col("status").isin(*VALID_STATUSES))
+    return items.filter("status IN (" + ", ".join(f"'{s}'" for s in VALID_STATUSES) + ")")
 
 
 def fill_defaults(df: DataFrame) -> DataFrame:
@@ -75,14 +75,29 @@ def cast_schema(df: DataFrame) -> DataFrame:
     return df.withColumns(casts) if casts else df
 
 
+def _cleaned_columns(df: DataFrame) -> list[str]:
+    """P1 + P2 as one projection: forced types, then 0 for null batch, value and balance."""
+    cols = []
+    for name, dtype in df.dtypes:
+        c = f"`{name}`"
+        if name in _FORCED_TYPES and dtype != _FORCED_TYPES[name]:
+            c = f"CAST({c} AS {_FORCED_TYPES[name]})"
+        if name in ("batch_no", "disputed_value", "open_balance"):
+            c = f"coalesce({c}, CAST(0 AS {_FORCED_TYPES[name]}))"
+        cols.append(f"{c} AS `{name}`")
+    return cols
+
+
 def clean_headers(headers: DataFrame, start=None, end=None) -> DataFrame:
-    """Headers after the date filter, with forced types and a 0 balance for null."""
-    return fill_defaults(cast_schema(in_date_range(headers, start, end)))
+    """Headers after the date filter (F1), with forced types and a 0 balance for null."""
+    filtered = in_date_range(headers, start, end)
+    return filtered.selectExpr(*_cleaned_columns(filtered))
 
 
 def clean_items(items: DataFrame) -> DataFrame:
-    """Items in a valid state, with forced types and 0 for null batch and value."""
-    return fill_defaults(cast_schema(valid_status(items)))
+    """Items in a valid state (F2), with forced types and 0 for null batch and value."""
+    filtered = valid_status(items)
+    return filtered.selectExpr(*_cleaned_columns(filtered))
 
 
 def join_items_headers(items: DataFrame, headers: DataFrame) -> DataFrame:

@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import category_of, flag_conditions, invoice_label
+from ..functions.columns import category_of, flag_conditions_sql, invoice_label
 from ..schema import BASE_COLUMNS, COUNTER_COLUMNS, INVOICE_KEY, VALID_STATUSES
 from .base import join_items_headers
 
@@ -36,14 +36,11 @@ _HEADER_VALUES = ["payer", "notified_on", "open_balance", "dispute_type"]
 
 def claim_stats(items: DataFrame) -> DataFrame:
     """Per claim: item count, the four flag counters, first disputed / last answered date, status counters."""
-    conds = flag_conditions()
-    return items.groupBy("claim_id").agg(
-        F.count(F.lit(1)).alias("total_items"),
-        *[F.count_if(cond).alias(name) for name, cond in conds.items()],
-        F.min("disputed_on").alias("disputed_on"),
-        F.max("answered_on").alias("answered_on"),
-        *[F.count_if(F.col("status") == s).alias(name) for s, name in STATUS_COUNTERS.items()],
-    )
+    aggs = ["count(1) AS total_items"]
+    aggs += [f"count_if({cond}) AS {name}" for name, cond in flag_conditions_sql().items()]
+    aggs += ["min(disputed_on) AS disputed_on", "max(answered_on) AS answered_on"]
+    aggs += [f"count_if(status = '{s}') AS {name}" for s, name in STATUS_COUNTERS.items()]
+    return items.groupBy("claim_id").agg(*[F.expr(a) for a in aggs])
 
 
 def claim_categories(items: DataFrame) -> DataFrame:
@@ -73,17 +70,16 @@ def invoices(headers: DataFrame, items: DataFrame) -> DataFrame:
     """
     stats = claim_stats(items)
     heads = invoice_heads(headers)
-    copies = F.col("copies")
     counters = COUNTER_COLUMNS + list(STATUS_COUNTERS.values())
     return heads.join(stats, "claim_id", "inner").select(
         "claim_id",
         "series",
         "invoice_no",
         invoice_label().alias("invoice_label"),
-        *[F.col(f"first.{c}").alias(c) for c in _HEADER_VALUES],
+        *[F.expr(f"first.{c} AS {c}") for c in _HEADER_VALUES],
         "disputed_on",
         "answered_on",
-        *[(F.col(c) * copies).alias(c) for c in counters],
+        *[F.expr(f"{c} * copies AS {c}") for c in counters],
         category_of().alias("category"),
     )
 

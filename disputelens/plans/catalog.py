@@ -36,8 +36,15 @@ CHART_MIN = 500
 SEARCH_TEXT = "F3400\n\n  F5452 \r\nF3400\n\t\nF1299\nNOPE1\n NOPE1\n"
 
 
+_TABLES: dict = {}
+
+
 def _tables(spark: SparkSession, sf_dir: str):
-    return project_driver_tables(spark, sf_dir)
+    """The two input tables of ``sf_dir``, defined once per session (like registered views)."""
+    key = (id(spark), spark.sparkContext.applicationId, sf_dir)
+    if key not in _TABLES:
+        _TABLES[key] = project_driver_tables(spark, sf_dir)
+    return _TABLES[key]
 
 
 def _disputes(spark, sf_dir, rng=(None, None)) -> C.Disputes:
