@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import display_date, invoice_label, money_sum, zero_to_null
+from ..functions.columns import display_date, money_sum
 from ..schema import COUNTER_COLUMNS, PAGE_SIZE, REPORT_COLUMNS, ROW_DETAIL, ROW_SUMMARY
 
 # O1: series, number, claim, label, then detail before summary; nulls first.
@@ -25,20 +25,20 @@ def summary_rows(invoices: DataFrame) -> DataFrame:
     present) are kept for ordering and filtering; ``report_columns`` drops them.
     """
     extra = ["category"] if "category" in invoices.columns else []
-    return invoices.select(
+    return invoices.selectExpr(
         "notified_on",
         "invoice_label",
         "claim_id",
         "payer",
         "disputed_on",
         "answered_on",
-        F.lit(None).cast("long").alias("batch_no"),
-        F.lit(None).cast("date").alias("filed_on"),
-        F.lit(None).cast("string").alias("status"),
-        F.col("open_balance").alias("amount"),
+        "CAST(NULL AS BIGINT) AS batch_no",
+        "CAST(NULL AS DATE) AS filed_on",
+        "CAST(NULL AS STRING) AS status",
+        "open_balance AS amount",
         "dispute_type",
         *COUNTER_COLUMNS,
-        F.lit(ROW_SUMMARY).alias("row_kind"),
+        f"'{ROW_SUMMARY}' AS row_kind",
         "series",
         "invoice_no",
         *extra,
@@ -48,20 +48,20 @@ def summary_rows(invoices: DataFrame) -> DataFrame:
 def detail_rows(base: DataFrame) -> DataFrame:
     """Item rows in report layout (P5: batch 0 shown as null; counters null)."""
     extra = ["category"] if "category" in base.columns else []
-    return base.select(
+    return base.selectExpr(
         "notified_on",
-        invoice_label().alias("invoice_label"),
+        "concat(coalesce(CAST(series AS STRING), ''), coalesce(CAST(invoice_no AS STRING), '')) AS invoice_label",
         "claim_id",
         "payer",
         "disputed_on",
         "answered_on",
-        zero_to_null("batch_no").alias("batch_no"),
+        "nullif(batch_no, 0) AS batch_no",
         "filed_on",
         "status",
-        F.col("disputed_value").alias("amount"),
+        "disputed_value AS amount",
         "dispute_type",
-        *[F.lit(None).cast("long").alias(c) for c in COUNTER_COLUMNS],
-        F.lit(ROW_DETAIL).alias("row_kind"),
+        *[f"CAST(NULL AS BIGINT) AS {c}" for c in COUNTER_COLUMNS],
+        f"'{ROW_DETAIL}' AS row_kind",
         "series",
         "invoice_no",
         *extra,

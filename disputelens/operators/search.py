@@ -73,26 +73,38 @@ def _maybe_broadcast(df: DataFrame, small: bool) -> DataFrame:
     return F.broadcast(df) if small else df
 
 
-def matched_headers(headers: DataFrame, ids: DataFrame, small: bool) -> DataFrame:
+def label_headers(headers: DataFrame) -> DataFrame:
+    """Headers with their printed label (the search key)."""
+    return headers.withColumn("invoice_label", invoice_label())
+
+
+def matched_headers(labelled: DataFrame, ids: DataFrame, small: bool) -> DataFrame:
     """Header rows whose label is searched, once per occurrence of the label in ``ids``."""
-    labelled = headers.withColumn("invoice_label", invoice_label())
     return labelled.join(_maybe_broadcast(ids.select("invoice_label"), small), "invoice_label", "inner")
 
 
-def search_found(headers: DataFrame, items: DataFrame, ids: DataFrame, small: bool) -> DataFrame:
+def matched_items(items: DataFrame, labelled: DataFrame, ids: DataFrame, small: bool) -> DataFrame:
+    """Items of the claims that carry a searched label (a semi join on claim_id).
+
+    The claim list is tiny next to the items; adaptive execution turns the
+    semi join into a broadcast once its real size is known. Summaries and
+    detail rows both start from this relation, so the item scan is shared.
+    """
+    labels = ids.select("invoice_label").distinct()
+    claims = labelled.join(_maybe_broadcast(labels, small), "invoice_label", "left_semi").select("claim_id").distinct()
+    return items.join(claims, "claim_id", "left_semi")
+
+
+def search_found(its: DataFrame, labelled: DataFrame, ids: DataFrame, small: bool) -> DataFrame:
     """J3 + U2: base items of the searched labels, repeated once per repetition of the label."""
-    heads = matched_headers(headers, ids, small).drop("invoice_label")
-    return join_items_headers(items, heads)
+    heads = matched_headers(labelled, ids, small).drop("invoice_label")
+    return join_items_headers(its, heads)
 
 
-def found_invoices(headers: DataFrame, items: DataFrame, ids: DataFrame, small: bool) -> DataFrame:
+def found_invoices(its: DataFrame, labelled: DataFrame, ids: DataFrame, small: bool) -> DataFrame:
     """Invoices (one row each, counters not yet repeated) whose label is searched."""
     labels = ids.select("invoice_label").distinct()
-    heads = headers.withColumn("invoice_label", invoice_label()).join(
-        _maybe_broadcast(labels, small), "invoice_label", "left_semi"
-    )
-    claims = heads.select("claim_id").distinct()
-    its = items.join(claims, "claim_id", "left_semi")
+    heads = labelled.join(_maybe_broadcast(labels, small), "invoice_label", "left_semi")
     return invoices(heads.drop("invoice_label"), its)
 
 
@@ -127,7 +139,9 @@ __all__ = [
     "BROADCAST_MAX_IDS",
     "clean_id_lines",
     "clean_ids",
+    "label_headers",
     "matched_headers",
+    "matched_items",
     "search_found",
     "found_invoices",
     "repeat_counters",

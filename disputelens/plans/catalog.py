@@ -194,8 +194,9 @@ def q25_report_export(spark, sf_dir):
 
 def q26_search_export(spark, sf_dir):
     path = scratch_path(spark, "search-export")
-    report = _search(spark, sf_dir).report
-    if not export_search(report, path):
+    res = _search(spark, sf_dir)
+    report = res.report
+    if not export_search(report, path, probe=res.found):
         return display_headings(report)  # no hits: nothing written, same (empty) table
     return spark.read.parquet(path)
 

@@ -177,13 +177,47 @@ def paged_summaries(
 # ---------------------------------------------------------------- R3 search
 
 
-@dataclass
 class SearchResult:
-    report: DataFrame  # found invoices: summary + detail rows, sorted
-    missing: DataFrame  # (pos, invoice_label) of ids without a hit
-    balance: DataFrame  # one row: open balance of the found invoices
-    hits: DataFrame  # every cleaned id with found flag and item count
-    ids: DataFrame  # cleaned ids (pos, invoice_label)
+    """R3 result; each table is built on first access.
+
+    ``report``   found invoices: summary + detail rows, sorted
+    ``missing``  (pos, invoice_label) of searched labels without a hit
+    ``balance``  one row: open balance of the found invoices
+    ``hits``     every cleaned line with found flag and item count
+    ``ids``      the cleaned search lines (pos, invoice_label)
+    """
+
+    def __init__(self, spark: SparkSession, headers: DataFrame, items: DataFrame, ids):
+        d = Disputes(headers, items)
+        self.ids, self._small = S.clean_ids(spark, ids)
+        self._labelled = S.label_headers(d.headers)
+        self._items = d.items
+
+    @cached_property
+    def _its(self) -> DataFrame:
+        return S.matched_items(self._items, self._labelled, self.ids, self._small)
+
+    @cached_property
+    def found(self) -> DataFrame:
+        return S.found_invoices(self._its, self._labelled, self.ids, self._small)
+
+    @cached_property
+    def report(self) -> DataFrame:
+        summary = R.summary_rows(S.repeat_counters(self.found, self.ids)).drop("category")
+        detail = R.detail_rows(S.search_found(self._its, self._labelled, self.ids, self._small))
+        return R.report_columns(R.report_order(R.stack(summary, detail)))
+
+    @cached_property
+    def missing(self) -> DataFrame:
+        return S.search_missing(self.ids, self.found)
+
+    @cached_property
+    def balance(self) -> DataFrame:
+        return S.search_balance(self.found)
+
+    @cached_property
+    def hits(self) -> DataFrame:
+        return S.search_hits(self.ids, self.found)
 
 
 def search(spark: SparkSession, headers: DataFrame, items: DataFrame, ids) -> SearchResult:
@@ -192,19 +226,7 @@ def search(spark: SparkSession, headers: DataFrame, items: DataFrame, ids) -> Se
     Repeating a number repeats its rows (and doubles its counters) but its
     balance counts once; numbers without a hit are listed in input order.
     """
-    d = Disputes(headers, items)
-    cleaned, small = S.clean_ids(spark, ids)
-    found = S.found_invoices(d.headers, d.items, cleaned, small)
-    summary = R.summary_rows(S.repeat_counters(found, cleaned)).drop("category")
-    detail = R.detail_rows(S.search_found(d.headers, d.items, cleaned, small))
-    report = R.report_columns(R.report_order(R.stack(summary, detail)))
-    return SearchResult(
-        report=report,
-        missing=S.search_missing(cleaned, found),
-        balance=S.search_balance(found),
-        hits=S.search_hits(cleaned, found),
-        ids=cleaned,
-    )
+    return SearchResult(spark, headers, items, ids)
 
 
 # ---------------------------------------------------------------- R4 claim detail

@@ -52,9 +52,15 @@ def export_report(rows: DataFrame, path: str, fmt: str = "parquet", mode: str =
     return path
 
 
-def export_search(report: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite") -> bool:
-    """S3: write the search report as one table; nothing is written when there are no hits."""
-    if report.isEmpty():
+def export_search(
+    report: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite", probe: DataFrame | None = None
+) -> bool:
+    """S3: write the search report as one table; nothing is written when there are no hits.
+
+    ``probe`` is a cheaper relation that is empty exactly when the report is
+    (the found invoices); the emptiness check then does not run the sort.
+    """
+    if (probe if probe is not None else report).isEmpty():
         return False
     _writer(display_headings(report), fmt, mode).save(path)
     return True
