@@ -91,25 +91,48 @@ def classify_invoices(headers: DataFrame, items: DataFrame) -> DataFrame:
     )
 
 
-def label_items(headers: DataFrame, items: DataFrame) -> DataFrame:
+# A claim with more items than this is "hot". There are at most
+# (number of items / HOT_CLAIM_ITEMS) hot claims - at most a million for a
+# trillion items - so their (claim_id, category) list has a proven bound and is
+# broadcast; every other claim has at most this many rows in any one task.
+HOT_CLAIM_ITEMS = 1_000_000
+
+
+def label_items(headers: DataFrame, items: DataFrame, hot_items: int = HOT_CLAIM_ITEMS) -> DataFrame:
     """Every base item with its invoice's category.
 
     The original computes four conditional counts over a window per invoice;
     here the category comes from the per-claim aggregate and is joined back,
-    so no window ever holds a whole (possibly huge) invoice in one task.
+    so no window ever holds a whole invoice in one task. The join back is
+    split: items of hot claims take their category from a broadcast (map
+    side) and then meet their headers in a join that adaptive execution can
+    split; items of all other claims join by shuffle, category and headers on
+    the same claim_id partitioning.
     """
-    base = join_items_headers(items, headers)
-    return base.join(claim_categories(items), "claim_id", "inner").select(*BASE_COLUMNS, "category")
-
-
-def items_of_category(headers: DataFrame, items: DataFrame, categories: list[str]) -> DataFrame:
-    """Base items whose invoice is in one of ``categories`` (a semi join)."""
-    wanted = claim_categories(items).filter(F.col("category").isin(*categories)).select("claim_id")
-    base = join_items_headers(items, headers)
-    return base.join(wanted, "claim_id", "left_semi").select(*BASE_COLUMNS)
+    cats = claim_stats(items).select("claim_id", "total_items", category_of().alias("category"))
+    hot = cats.filter(F.col("total_items") > hot_items).select("claim_id", "category")
+    cold = cats.filter(F.col("total_items") <= hot_items).select("claim_id", "category")
+    hot_items_df = items.join(F.broadcast(hot), "claim_id", "inner")
+    cold_items_df = items.join(F.broadcast(hot.select("claim_id")), "claim_id", "left_anti").join(cold, "claim_id", "inner")
+    hot_rows = join_items_headers(hot_items_df, headers).select(*BASE_COLUMNS, "category")
+    cold_rows = join_items_headers(cold_items_df, headers).select(*BASE_COLUMNS, "category")
+    return hot_rows.unionByName(cold_rows)
+
+
+def items_of_category(
+    headers: DataFrame, items: DataFrame, categories: list[str], hot_items: int = HOT_CLAIM_ITEMS
+) -> DataFrame:
+    """Base items whose invoice is in one of ``categories``.
+
+    The category filter is pushed below the join back, so it acts as a semi
+    join on the per-claim categories.
+    """
+    labelled = label_items(headers, items, hot_items)
+    return labelled.filter(F.col("category").isin(*categories)).select(*BASE_COLUMNS)
 
 
 __all__ = [
+    "HOT_CLAIM_ITEMS",
     "STATUS_COUNTERS",
     "claim_stats",
     "claim_categories",

@@ -16,6 +16,10 @@ from ..schema import COUNTER_COLUMNS, PAGE_SIZE, REPORT_COLUMNS, ROW_DETAIL, ROW
 
 # O1: series, number, claim, label, then detail before summary; nulls first.
 SORT_KEYS = ["series", "invoice_no", "claim_id", "invoice_label", "row_kind"]
+# Deterministic tie-breakers inside one invoice (the original leaves that
+# order open). They also let the range partitioner split an invoice that holds
+# a large share of all rows over many tasks instead of sorting it in one.
+TIE_BREAKERS = ["disputed_on", "answered_on", "status", "amount", "batch_no", "filed_on"]
 
 
 def summary_rows(invoices: DataFrame) -> DataFrame:
@@ -77,7 +81,7 @@ def order_columns(keys: list[str] = SORT_KEYS) -> list[Column]:
     return [F.col(k).asc_nulls_first() for k in keys]
 
 
-def report_order(df: DataFrame, keys: list[str] = SORT_KEYS) -> DataFrame:
+def report_order(df: DataFrame, keys: list[str] = SORT_KEYS + TIE_BREAKERS) -> DataFrame:
     """O1: the report's row order (a global, range-partitioned sort)."""
     return df.orderBy(*order_columns(keys))
 

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.reports import SORT_KEYS, order_columns
+from ..operators.reports import SORT_KEYS, TIE_BREAKERS, order_columns
 from ..schema import EXPORT_HEADINGS, REPORT_COLUMNS, ROW_KIND_TEXT
 
 
@@ -46,7 +46,7 @@ def export_report(rows: DataFrame, path: str, fmt: str = "parquet", mode: str =
     ``rows`` are unsorted report rows with the sort keys and ``category``
     (``Disputes.report_rows()``).
     """
-    ordered = rows.orderBy(F.col("category"), *order_columns(SORT_KEYS))
+    ordered = rows.orderBy(F.col("category"), *order_columns(SORT_KEYS + TIE_BREAKERS))
     out = display_headings(ordered, keep=["category"])
     _writer(out, fmt, mode).partitionBy("category").save(path)
     return path
