@@ -18,6 +18,7 @@ from ..operators import kpis as K
 from ..operators import reports as R
 from ..operators import search as S
 from ..schema import PAGE_SIZE, ROW_DETAIL, TOP_N
+from ..session import ensure_checkpoint_dir
 
 
 @dataclass
@@ -71,30 +72,36 @@ class Disputes:
 class Dashboard:
     """Every KPI table of the dashboard for one date range.
 
-    The KPIs all read ``invoices``; ``materialize()`` persists it (memory and
-    disk, lineage kept, so a lost executor only recomputes its blocks) so the
-    tables below are computed from one pass over the inputs. ``close()``
-    releases it. Usable as a context manager.
+    All KPIs read ``invoices``. ``materialize()`` computes it once for all of
+    them: by default it is persisted (memory and disk; lineage kept, so a lost
+    executor only recomputes its own blocks); with ``reliable=True`` it is
+    checkpointed into ``spark.checkpoint.dir`` (shared storage on a cluster),
+    which cuts the lineage so the KPI jobs never go back to the raw tables.
+    ``close()`` releases a persisted relation. Usable as a context manager.
     """
 
     disputes: Disputes
     top_n: int = TOP_N
-    _persisted: bool = field(default=False, init=False)
+    reliable: bool = False
+    _persisted: DataFrame | None = field(default=None, init=False)
+    _checkpointed: DataFrame | None = field(default=None, init=False)
 
     @property
     def invoices(self) -> DataFrame:
-        return self.disputes.invoices
+        return self._checkpointed if self._checkpointed is not None else self.disputes.invoices
 
     def materialize(self) -> "Dashboard":
-        if not self._persisted:
-            self.invoices.persist(StorageLevel.MEMORY_AND_DISK)
-            self._persisted = True
+        if self.reliable and self._checkpointed is None:
+            ensure_checkpoint_dir(self.disputes.headers_raw.sparkSession)
+            self._checkpointed = self.disputes.invoices.checkpoint(eager=True)
+        elif not self.reliable and self._persisted is None:
+            self._persisted = self.disputes.invoices.persist(StorageLevel.MEMORY_AND_DISK)
         return self
 
     def close(self) -> None:
-        if self._persisted:
-            self.invoices.unpersist()
-            self._persisted = False
+        if self._persisted is not None:
+            self._persisted.unpersist()
+            self._persisted = None
 
     def __enter__(self) -> "Dashboard":
         return self.materialize()
@@ -143,8 +150,10 @@ class Dashboard:
         }
 
 
-def dashboard(headers: DataFrame, items: DataFrame, start=None, end=None, top_n: int = TOP_N) -> Dashboard:
-    return Dashboard(Disputes(headers, items, start, end), top_n)
+def dashboard(
+    headers: DataFrame, items: DataFrame, start=None, end=None, top_n: int = TOP_N, reliable: bool = False
+) -> Dashboard:
+    return Dashboard(Disputes(headers, items, start, end), top_n, reliable)
 
 
 # ---------------------------------------------------------------- R2 paged summaries

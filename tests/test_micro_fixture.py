@@ -127,3 +127,20 @@ def test_available_range(micro):
     headers, _ = micro
     r = C.available_range(headers).first()
     assert (r.first_notified_on, r.last_notified_on) == (dt.date(2024, 1, 1), dt.date(2024, 3, 15))
+
+
+@pytest.mark.parametrize("reliable", [False, True])
+def test_dashboard_tables(micro, reliable):
+    headers, items = micro
+    with C.dashboard(headers, items, reliable=reliable) as d:
+        tables = d.tables()
+        assert set(tables) == {
+            "category_counts", "balances", "top_payers_by_count", "top_payers_by_balance",
+            "items_by_status", "integrity", "intake", "shares",
+        }
+        assert tables["integrity"].first().consistent
+        assert tables["balances"].first().total_balance == 2500.0
+        assert not d.is_empty()
+    empty = C.dashboard(headers, items, "1990-01-01", "1990-01-31")
+    assert empty.is_empty()
+    assert empty.balances().first().total_balance == 0.0
