@@ -10,8 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import money, money_sum
+from ..functions.columns import category_title, money, money_sum
 from ..schema import (
+    ALL_NOT_FILED_TITLE,
     CATEGORIES,
     FILED_CATEGORY,
     FILED_SLICE,
@@ -141,7 +142,7 @@ def intake_series(invoices: DataFrame, grain: str = "auto", column: str = "notif
 
 def choose_grain(invoices: DataFrame, column: str = "notified_on") -> DataFrame:
     """W4 alone: one row ``(span_days, grain)``; no dated invoices -> null span, daily."""
-    span = invoices.agg(F.datediff(F.max(column).cast("date"), F.min(column).cast("date")).alias("span_days"))
+    span = invoices.agg(F.datediff(F.max(column).cast("date"), F.min(column).cast("date")).cast("long").alias("span_days"))
     return span.withColumn("grain", grain_for_span(F.col("span_days")))
 
 
@@ -159,7 +160,8 @@ def category_shares(invoices: DataFrame) -> DataFrame:
 
     ``general``: filed (T1) versus not filed (T2+T3+T4+Mixed), share of all
     invoices. ``not_filed``: each not-filed category with invoices, share of
-    the not-filed total. Shares in percent with one decimal.
+    the not-filed total. Shares in percent with one decimal; ``label`` is the
+    slice label and ``title`` the page title of the invoice list it opens (P11).
     """
     counts = invoices.agg(*[F.count_if(F.col("category") == c).alias(c) for c in CATEGORIES])
     not_filed_total = sum((F.col(c) for c in NOT_FILED_CATEGORIES), F.lit(0))
@@ -174,8 +176,16 @@ def category_shares(invoices: DataFrame) -> DataFrame:
     )
     long = wide.selectExpr(f"stack({len(rows)}, {stack}) as (chart, category, label, n_invoices, whole)")
     long = long.filter((F.col("chart") == "general") | (F.col("n_invoices") > 0))
+    title = F.when(F.col("category") == ",".join(NOT_FILED_CATEGORIES), F.lit(ALL_NOT_FILED_TITLE)).otherwise(
+        category_title("category")
+    )
     return long.select(
-        "chart", "category", "label", "n_invoices", _pct(F.col("n_invoices"), F.col("whole")).alias("pct")
+        "chart",
+        "category",
+        "label",
+        title.alias("title"),
+        "n_invoices",
+        _pct(F.col("n_invoices"), F.col("whole")).alias("pct"),
     )
 
 

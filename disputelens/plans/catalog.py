@@ -21,7 +21,7 @@ from ..operators import base as B
 from ..operators import invoices as I
 from ..operators import kpis as K
 from ..operators import reports as R
-from ..schema import CATEGORIES, EXPORT_HEADINGS, REPORT_COLUMNS, ROW_KIND_TEXT
+from ..schema import ALL_NOT_FILED_TITLE, CATEGORIES, CATEGORY_TITLES, EXPORT_HEADINGS, REPORT_COLUMNS, ROW_KIND_TEXT
 from ..session import scratch_path
 from ..sources.export import display_headings, export_report, export_search
 from ..sources.layout import materialize_bucketed
@@ -219,6 +219,10 @@ def q26_search_export(spark, sf_dir):
     return spark.read.parquet(path)
 
 
+def q27g_choose_grain(spark, sf_dir):
+    return K.choose_grain(_disputes(spark, sf_dir).invoices)
+
+
 def q27_intake_auto(spark, sf_dir):
     return K.intake_series(_disputes(spark, sf_dir).invoices, "auto")
 
@@ -443,7 +447,8 @@ WHERE EXISTS (SELECT 1 FROM cat c WHERE c.claim_id = b.claim_id AND c.series IS
 top AS ({top_count})
 SELECT * FROM top WHERE payer IN ({payers}) AND n_invoices >= {CHART_MIN}"""
     q["q15_invoice_summary"] = h1_inv + f"\nSELECT {_SUMMARY_COLS} FROM cat"
-    q["q16_category_shares"] = all_inv + """,
+    t, all_title = CATEGORY_TITLES, ALL_NOT_FILED_TITLE
+    q["q16_category_shares"] = all_inv + f""",
 counts AS (
   SELECT count(*) FILTER (WHERE category = 'T1') AS t1, count(*) FILTER (WHERE category = 'T2') AS t2,
          count(*) FILTER (WHERE category = 'T3') AS t3, count(*) FILTER (WHERE category = 'T4') AS t4,
@@ -458,7 +463,10 @@ slices AS (
   UNION ALL SELECT 'not_filed', 'T4', 'Sin CC y Con FR', t4, t2 + t3 + t4 + mx FROM counts
   UNION ALL SELECT 'not_filed', 'Mixed', 'Mixtas', mx, t2 + t3 + t4 + mx FROM counts
 )
-SELECT chart, category, label, CAST(n AS BIGINT) AS n_invoices,
+SELECT chart, category, label,
+       CASE category WHEN 'T1' THEN '{t['T1']}' WHEN 'T2' THEN '{t['T2']}' WHEN 'T3' THEN '{t['T3']}'
+                     WHEN 'T4' THEN '{t['T4']}' WHEN 'Mixed' THEN '{t['Mixed']}' ELSE '{all_title}' END AS title,
+       CAST(n AS BIGINT) AS n_invoices,
        CASE WHEN whole > 0 THEN CAST((n * 2000 + whole) // (whole * 2) AS DOUBLE) / 10 END AS pct
 FROM slices WHERE chart = 'general' OR n > 0"""
     q["q17_summary_detail"] = h1_inv + f"""
@@ -542,6 +550,11 @@ UNION ALL
 SELECT {_DETAIL_COLS} FROM found_items)""",
     )
     day = "notified_on"
+    q["q27g_choose_grain"] = all_inv + f"""
+SELECT date_diff('day', min({day}), max({day})) AS span_days,
+       CASE WHEN date_diff('day', min({day}), max({day})) > 730 THEN 'year'
+            WHEN date_diff('day', min({day}), max({day})) > 90 THEN 'month' ELSE 'day' END AS grain
+FROM cat"""
     q["q27_intake_auto"] = all_inv + f""",
 span AS (SELECT date_diff('day', min({day}), max({day})) AS d FROM cat),
 g AS (SELECT CASE WHEN d > 730 THEN 'year' WHEN d > 90 THEN 'month' ELSE 'day' END AS grain FROM span)
