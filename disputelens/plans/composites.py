@@ -17,7 +17,7 @@ from ..operators import invoices as I
 from ..operators import kpis as K
 from ..operators import reports as R
 from ..operators import search as S
-from ..schema import PAGE_SIZE, ROW_DETAIL, TOP_N
+from ..schema import BASE_COLUMNS, PAGE_SIZE, ROW_DETAIL, TOP_N
 from ..session import ensure_checkpoint_dir
 
 
@@ -46,7 +46,7 @@ class Disputes:
     @cached_property
     def base(self) -> DataFrame:
         """Item-level base relation (one row per item and header copy)."""
-        return B.base_items(self.headers_raw, self.items_raw, self.start, self.end)
+        return B.join_items_headers(self.items, self.headers).select(*BASE_COLUMNS)
 
     @cached_property
     def invoices(self) -> DataFrame:

@@ -45,11 +45,21 @@ def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
     return df.select(*cols)
 
 
-def load_tables(spark: SparkSession, path: str, fmt: str = "parquet") -> tuple[DataFrame, DataFrame]:
-    """Read ``invoice_headers`` and ``dispute_items`` below ``path`` with the declared schemas."""
-    headers = spark.read.format(fmt).schema(HEADER_SCHEMA).load(os.path.join(path, f"invoice_headers.{fmt}"))
-    items = spark.read.format(fmt).schema(ITEM_SCHEMA).load(os.path.join(path, f"dispute_items.{fmt}"))
-    return conform(headers, HEADER_SCHEMA), conform(items, ITEM_SCHEMA)
+def load_tables(
+    spark: SparkSession, path: str, fmt: str = "parquet", options: dict | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """Read ``invoice_headers`` and ``dispute_items`` below ``path`` with the declared schemas.
+
+    Any file source works (``parquet``, ``orc``, ``csv``, ``json``); CSV files
+    are read with a header line unless ``options`` say otherwise.
+    """
+    opts = {"header": "true"} if fmt == "csv" else {}
+    opts.update(options or {})
+
+    def read(name, schema):
+        return spark.read.format(fmt).options(**opts).schema(schema).load(os.path.join(path, f"{name}.{fmt}"))
+
+    return conform(read("invoice_headers", HEADER_SCHEMA), HEADER_SCHEMA), conform(read("dispute_items", ITEM_SCHEMA), ITEM_SCHEMA)
 
 
 def from_legacy_columns(df: DataFrame) -> DataFrame:

@@ -239,3 +239,17 @@ def test_flag_conditions_cover_every_item(spark):
     conds = X.flag_conditions()
     out = df.select(*[F.when(c, 1).otherwise(0).alias(n) for n, c in conds.items()]).collect()
     assert all(sum(r) == 1 for r in out)
+
+
+def test_csv_tables_and_export(spark, micro):
+    headers, items = micro
+    root = scratch_path(spark, "csv-tables")
+    headers.write.option("header", "true").csv(os.path.join(root, "invoice_headers.csv"))
+    items.write.option("header", "true").csv(os.path.join(root, "dispute_items.csv"))
+    h, i = T.load_tables(spark, root, "csv")
+    d = C.Disputes(h, i)
+    assert rows(d.invoices, "claim_id", "category") == rows(C.Disputes(*micro).invoices, "claim_id", "category")
+    out = scratch_path(spark, "csv-export")
+    E.export_report(d.report_rows(), out, fmt="csv")
+    back = spark.read.option("header", "true").csv(out)
+    assert back.count() == 13 and EXPORT_HEADINGS["notified_on"] in back.columns
