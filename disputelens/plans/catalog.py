@@ -25,7 +25,7 @@ from ..schema import ALL_NOT_FILED_TITLE, CATEGORIES, CATEGORY_TITLES, EXPORT_HE
 from ..session import scratch_path
 from ..sources.export import display_headings, export_report, export_search
 from ..sources.layout import materialize_bucketed
-from ..sources.tables import project_driver_tables
+from ..sources.tables import load_tables, project_driver_tables
 from . import composites as C
 
 H1 = ("1998-01-01", "1998-06-30")
@@ -55,12 +55,22 @@ def prepare(spark: SparkSession, sf_dir: str):
     if key not in _TABLES:
         headers, items = project_driver_tables(spark, sf_dir)
         if MATERIALIZE:
-            prefix = "dl_" + hashlib.sha1(repr(key).encode()).hexdigest()[:12]
-            headers, items = materialize_bucketed(headers, items, prefix)
+            headers, items = _materialize(spark, headers, items, key)
         _TABLES[key] = (headers, items)
     return _TABLES[key]
 
 
+def _materialize(spark: SparkSession, headers, items, key):
+    prefix = "dl_" + hashlib.sha1(repr(key).encode()).hexdigest()[:12]
+    try:
+        return materialize_bucketed(headers, items, prefix)
+    except Exception:  # no usable catalog: plain Parquet in the shared folder instead
+        root = scratch_path(spark, prefix)
+        headers.write.parquet(os.path.join(root, "invoice_headers.parquet"))
+        items.write.parquet(os.path.join(root, "dispute_items.parquet"))
+        return load_tables(spark, root)
+
+
 def _tables(spark: SparkSession, sf_dir: str):
     return prepare(spark, sf_dir)
 
