@@ -110,10 +110,10 @@ def label_items(headers: DataFrame, items: DataFrame, hot_items: int = HOT_CLAIM
     the same claim_id partitioning.
     """
     cats = claim_stats(items).select("claim_id", "total_items", category_of().alias("category"))
-    hot = cats.filter(F.col("total_items") > hot_items).select("claim_id", "category")
-    cold = cats.filter(F.col("total_items") <= hot_items).select("claim_id", "category")
-    hot_items_df = items.join(F.broadcast(hot), "claim_id", "inner")
-    cold_items_df = items.join(F.broadcast(hot.select("claim_id")), "claim_id", "left_anti").join(cold, "claim_id", "inner")
+    # one broadcast of the hot list serves both branches (the exchange is reused)
+    hot = F.broadcast(cats.filter(F.col("total_items") > hot_items).select("claim_id", "category"))
+    hot_items_df = items.join(hot, "claim_id", "inner")
+    cold_items_df = items.join(hot, "claim_id", "left_anti").join(cats.drop("total_items"), "claim_id", "inner")
     hot_rows = join_items_headers(hot_items_df, headers).select(*BASE_COLUMNS, "category")
     cold_rows = join_items_headers(cold_items_df, headers).select(*BASE_COLUMNS, "category")
     return hot_rows.unionByName(cold_rows)
