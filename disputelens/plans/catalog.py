@@ -75,9 +75,20 @@ def _tables(spark: SparkSession, sf_dir: str):
     return prepare(spark, sf_dir)
 
 
+_DISPUTES: dict = {}
+
+
 def _disputes(spark, sf_dir, rng=(None, None)) -> C.Disputes:
-    headers, items = _tables(spark, sf_dir)
-    return C.Disputes(headers, items, *rng)
+    """The derived relations for one date range, defined once per session.
+
+    Only the plan definitions are shared (the original memoises its base per
+    date range the same way); every query still computes from the tables.
+    """
+    key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir), rng)
+    if key not in _DISPUTES:
+        headers, items = _tables(spark, sf_dir)
+        _DISPUTES[key] = C.Disputes(headers, items, *rng)
+    return _DISPUTES[key]
 
 
 # ---------------------------------------------------------------- queries
