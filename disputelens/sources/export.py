@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.reports import SORT_KEYS, TIE_BREAKERS, order_columns
-from ..schema import EXPORT_HEADINGS, REPORT_COLUMNS, ROW_KIND_TEXT
+from ..schema import EXPORT_HEADINGS, ITEM_SCREEN_HEADINGS, REPORT_COLUMNS, ROW_KIND_TEXT, SUMMARY_SCREEN_HEADINGS
 
 
 def row_kind_text(c: str = "row_kind"):
@@ -33,6 +33,16 @@ def display_headings(report: DataFrame, keep: list[str] | None = None) -> DataFr
     return report.select(*cols, *(keep or []))
 
 
+def screen_headings(report: DataFrame, table: str = "summary") -> DataFrame:
+    """P8, second map: the columns of an on-screen table under their screen headings.
+
+    ``table`` is ``summary`` (invoice list) or ``item`` (item drill-down);
+    the columns come out in the screen table's order.
+    """
+    headings = {"summary": SUMMARY_SCREEN_HEADINGS, "item": ITEM_SCREEN_HEADINGS}[table]
+    return report.select(*[F.col(c).alias(h) for c, h in headings.items()])
+
+
 def _writer(df: DataFrame, fmt: str, mode: str):
     w = df.write.mode(mode).format(fmt)
     if fmt == "csv":
@@ -66,4 +76,4 @@ def export_search(
     return True
 
 
-__all__ = ["display_headings", "export_report", "export_search", "row_kind_text"]
+__all__ = ["display_headings", "screen_headings", "export_report", "export_search", "row_kind_text"]

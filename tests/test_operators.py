@@ -253,3 +253,12 @@ def test_csv_tables_and_export(spark, micro):
     E.export_report(d.report_rows(), out, fmt="csv")
     back = spark.read.option("header", "true").csv(out)
     assert back.count() == 13 and EXPORT_HEADINGS["notified_on"] in back.columns
+
+
+def test_screen_headings(micro):
+    headers, items = micro
+    detail = C.claim_detail(headers, items, 1)
+    shown = E.screen_headings(detail, "item")
+    assert shown.columns[:3] == ["Factura", "No. Paciente", "Entidad"] and len(shown.columns) == 11
+    summary = E.screen_headings(R.summary_rows(C.Disputes(headers, items).invoices))
+    assert "Saldo de glosa en cartera" in summary.columns and summary.count() == 5
