@@ -16,8 +16,10 @@ from __future__ import annotations
 import os
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import scratch_path
+from .tables import load_tables
 
 
 def save_bucketed(
@@ -53,17 +55,35 @@ def bucket_count(df: DataFrame, target_bytes: int = 512 << 20, low: int = 8, hig
     return max(low, min(high, -(-size // target_bytes)))
 
 
-def materialize_bucketed(headers: DataFrame, items: DataFrame, prefix: str, path: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """Write both tables once in the bucketed layout and return them read back.
+def largest_claim(items: DataFrame) -> tuple[int, int]:
+    """(items of the largest claim, all items): one aggregate, partial on the map side."""
+    per_claim = items.groupBy("claim_id").agg(F.count(F.lit(1)).alias("n"))
+    row = per_claim.agg(F.max("n").alias("largest"), F.sum("n").alias("total")).first()
+    return int(row.largest or 0), int(row.total or 0)
+
 
-    The write cuts the lineage:
-    later queries start from the stored tables on shared storage.
+def materialize_bucketed(headers: DataFrame, items: DataFrame, prefix: str, path: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Write both tables once, bucketed by claim_id when that is safe, and return them read back.
+
+    A bucket is read by one task and never re-shuffled, so a claim holding
+    more than twice a bucket's fair share of the items would make one task
+    carry it. In that case the tables are stored as plain Parquet and the
+    joins shuffle, where adaptive execution splits the hot claim. The write
+    cuts the lineage: later queries start from the stored tables on shared
+    storage.
     """
+    spark = headers.sparkSession
     # Sized on the items (a plain scan, so Spark's estimate is the file size);
     # the header estimate goes through joins and is not meaningful without CBO.
     buckets = bucket_count(items)
+    largest, total = largest_claim(items)
+    if total and largest * buckets > 2 * total:
+        root = path or scratch_path(spark, f"{prefix}-plain")
+        headers.write.mode("overwrite").parquet(os.path.join(root, "invoice_headers.parquet"))
+        items.write.mode("overwrite").parquet(os.path.join(root, "dispute_items.parquet"))
+        return load_tables(spark, root)
     save_bucketed(headers, items, buckets, prefix, path)
-    return load_bucketed(headers.sparkSession, prefix)
+    return load_bucketed(spark, prefix)
 
 
-__all__ = ["save_bucketed", "load_bucketed", "bucket_count", "materialize_bucketed"]
+__all__ = ["save_bucketed", "load_bucketed", "bucket_count", "largest_claim", "materialize_bucketed"]

@@ -184,3 +184,20 @@ def test_hot_claim_label_join_is_split(spark):
         plan = final_plan(lab)
         assert "SortMergeJoin(skew=true)" in plan
         assert lab.filter("claim_id = 1").count() == n // 3 + 1
+
+
+def test_layout_is_bucketed_only_without_a_dominant_claim(spark, micro):
+    from disputelens.sources.layout import largest_claim, materialize_bucketed
+
+    headers, items = micro
+    assert largest_claim(items) == (3, 12)
+    # 12 items, 8 buckets: claim 5 with 3 items exceeds twice the fair share (3 > 2 * 12 / 8)
+    h, i = materialize_bucketed(headers, items, "skewcheck")
+    assert "Bucketed: true" not in i._jdf.queryExecution().executedPlan().toString()
+    assert (h.count(), i.count()) == (7, 12)
+    many = spark.range(4000).selectExpr(
+        "id % 2000 AS claim_id", "DATE'2024-01-01' AS disputed_on", "'AI' AS status", "1.0D AS disputed_value",
+        "CAST(NULL AS DATE) AS answered_on", "0L AS batch_no", "CAST(NULL AS DATE) AS filed_on",
+    )
+    h2, i2 = materialize_bucketed(headers, many, "evencheck")
+    assert "Bucketed: true" in i2.groupBy("claim_id").count()._jdf.queryExecution().executedPlan().toString()
