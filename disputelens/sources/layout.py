@@ -55,9 +55,9 @@ def bucket_count(df: DataFrame, target_bytes: int = 512 << 20, low: int = 8, hig
     return max(low, min(high, -(-size // target_bytes)))
 
 
-def largest_claim(items: DataFrame) -> tuple[int, int]:
-    """(items of the largest claim, all items): one aggregate, partial on the map side."""
-    per_claim = items.groupBy("claim_id").agg(F.count(F.lit(1)).alias("n"))
+def largest_claim(df: DataFrame) -> tuple[int, int]:
+    """(rows of the largest claim, all rows): one aggregate, partial on the map side."""
+    per_claim = df.groupBy("claim_id").agg(F.count(F.lit(1)).alias("n"))
     row = per_claim.agg(F.max("n").alias("largest"), F.sum("n").alias("total")).first()
     return int(row.largest or 0), int(row.total or 0)
 
@@ -66,7 +66,8 @@ def materialize_bucketed(headers: DataFrame, items: DataFrame, prefix: str, path
     """Write both tables once, bucketed by claim_id when that is safe, and return them read back.
 
     A bucket is read by one task and never re-shuffled, so a claim holding
-    more than twice a bucket's fair share of the items would make one task
+    more than twice a bucket's fair share of the items (or of the header
+    rows) would make one task
     carry it. In that case the tables are stored as plain Parquet and the
     joins shuffle, where adaptive execution splits the hot claim. The write
     cuts the lineage: later queries start from the stored tables on shared
@@ -76,8 +77,11 @@ def materialize_bucketed(headers: DataFrame, items: DataFrame, prefix: str, path
     # Sized on the items (a plain scan, so Spark's estimate is the file size);
     # the header estimate goes through joins and is not meaningful without CBO.
     buckets = bucket_count(items)
-    largest, total = largest_claim(items)
-    if total and largest * buckets > 2 * total:
+    dominant = False
+    for df in (items, headers):  # hot claims in items, or many header copies of one claim
+        largest, total = largest_claim(df)
+        dominant = dominant or (total > 0 and largest * buckets > 2 * total)
+    if dominant:
         root = path or scratch_path(spark, f"{prefix}-plain")
         headers.write.mode("overwrite").parquet(os.path.join(root, "invoice_headers.parquet"))
         items.write.mode("overwrite").parquet(os.path.join(root, "dispute_items.parquet"))
