@@ -48,13 +48,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
     On a cluster this is set by the job submission and points at shared
     storage; it is only read here. When it is unset (local runs, tests) a
-    private folder is created and registered.
+    private folder is registered as the context's checkpoint directory (the
+    setting itself cannot change once the session runs).
     """
     current = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if current:
         return current
     path = tempfile.mkdtemp(prefix="disputelens-ckpt-")
-    spark.conf.set("spark.checkpoint.dir", path)
     spark.sparkContext.setCheckpointDir(path)
     return spark.sparkContext.getCheckpointDir() or path
 

@@ -262,3 +262,30 @@ def test_screen_headings(micro):
     assert shown.columns[:3] == ["Factura", "No. Paciente", "Entidad"] and len(shown.columns) == 11
     summary = E.screen_headings(R.summary_rows(C.Disputes(headers, items).invoices))
     assert "Saldo de glosa en cartera" in summary.columns and summary.count() == 5
+
+
+def test_checkpoint_dir_when_unset():
+    from disputelens.session import ensure_checkpoint_dir
+
+    class Conf:
+        def get(self, key, default=None):
+            return default
+
+    class Context:
+        def __init__(self):
+            self.dir = None
+
+        def getCheckpointDir(self):
+            return self.dir
+
+        def setCheckpointDir(self, path):
+            self.dir = "file:" + path
+
+    class Session:
+        conf = Conf()
+        sparkContext = Context()
+
+    s = Session()
+    got = ensure_checkpoint_dir(s)
+    assert got.startswith("file:") and s.sparkContext.dir == got
+    assert ensure_checkpoint_dir(s) == got  # reused, not recreated
