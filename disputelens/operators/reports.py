@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import display_date, money_sum
+from ..functions.columns import display_date, money_sum, zero_to_null
 from ..schema import COUNTER_COLUMNS, PAGE_SIZE, REPORT_COLUMNS, ROW_DETAIL, ROW_SUMMARY
 
 # O1: series, number, claim, label, then detail before summary; nulls first.
@@ -72,6 +72,11 @@ def detail_rows(base: DataFrame) -> DataFrame:
     )
 
 
+def zero_batch_to_null(items: DataFrame) -> DataFrame:
+    """P5 on a frame of items: batch number 0 (no batch) shown as null."""
+    return items.withColumn("batch_no", zero_to_null("batch_no"))
+
+
 def stack(summary: DataFrame, detail: DataFrame) -> DataFrame:
     """Union by column name, columns missing on one side become null."""
     return summary.unionByName(detail, allowMissingColumns=True)
@@ -164,6 +169,7 @@ __all__ = [
     "SORT_KEYS",
     "summary_rows",
     "detail_rows",
+    "zero_batch_to_null",
     "stack",
     "report_order",
     "report_columns",

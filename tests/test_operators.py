@@ -289,3 +289,10 @@ def test_checkpoint_dir_when_unset():
     got = ensure_checkpoint_dir(s)
     assert got.startswith("file:") and s.sparkContext.dir == got
     assert ensure_checkpoint_dir(s) == got  # reused, not recreated
+
+
+def test_zero_batch_to_null(micro):
+    headers, items = micro
+    base = C.Disputes(headers, items).base
+    out = R.zero_batch_to_null(base)
+    assert out.filter("batch_no IS NULL").count() == 3 and base.filter("batch_no = 0").count() == 3
