@@ -295,4 +295,4 @@ def test_zero_batch_to_null(micro):
     headers, items = micro
     base = C.Disputes(headers, items).base
     out = R.zero_batch_to_null(base)
-    assert out.filter("batch_no IS NULL").count() == 3 and base.filter("batch_no = 0").count() == 3
+    assert out.filter("batch_no IS NULL").count() == 4 == base.filter("batch_no = 0").count()
