@@ -65,7 +65,7 @@ def clean_ids(spark: SparkSession, ids: str | list | DataFrame) -> tuple[DataFra
     if isinstance(ids, str):
         text = spark.createDataFrame([(ids,)], "text string")
         return clean_id_lines(text), len(ids.splitlines()) <= BROADCAST_MAX_IDS
-    rows = [(i, None if v is None else str(v)) for i, v in enumerate(ids)]
+    rows = [(i, str(v)) for i, v in enumerate(ids)]  # every entry as text, as the original does (None -> "None")
     return _clean(spark.createDataFrame(rows, IDS_SCHEMA)), len(rows) <= BROADCAST_MAX_IDS
 
 

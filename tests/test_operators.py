@@ -88,7 +88,7 @@ def test_clean_id_text(spark):
     assert small
     assert [tuple(r) for r in ids.orderBy("pos").collect()] == [(0, "A1"), (2, "B2"), (3, "A1"), (5, "C3")]
     ids2, _ = S.clean_ids(spark, [" A1", None, "", 12, "A1 "])
-    assert [tuple(r) for r in ids2.orderBy("pos").collect()] == [(0, "A1"), (3, "12"), (4, "A1")]
+    assert [tuple(r) for r in ids2.orderBy("pos").collect()] == [(0, "A1"), (1, "None"), (3, "12"), (4, "A1")]
 
 
 def test_paging(spark):
