@@ -105,9 +105,8 @@ def summary_detail_report(invoices: DataFrame, base: DataFrame, extra: list[str]
 
 
 def by_category(df: DataFrame, categories: list[str] | None) -> DataFrame:
-    """``category IN categories``; no filter for an empty list."""
-    cats = [c.strip() for c in (categories or []) if c and c.strip()]
-    return df.filter(F.col("category").isin(*cats)) if cats else df
+    """``category IN categories`` (values taken as given); no filter for an empty list."""
+    return df.filter(F.col("category").isin(*categories)) if categories else df
 
 
 def by_payer(df: DataFrame, payer: str | None) -> DataFrame:
