@@ -146,6 +146,33 @@ def choose_grain(invoices: DataFrame, column: str = "notified_on") -> DataFrame:
     return span.withColumn("grain", grain_for_span(F.col("span_days")))
 
 
+def dashboard_scalars(invoices: DataFrame, column: str = "notified_on") -> DataFrame:
+    """R1's scalar KPIs in one aggregation pass.
+
+    One row: invoices per category (``n_t1`` .. ``n_mixed``), total and
+    categorised invoice counts and whether they agree, the three balances, and
+    the span of notification days with the grain it selects.
+    """
+    filed = F.col("category") == FILED_CATEGORY
+    per_category = [F.count_if(F.col("category") == c).alias(f"n_{c.lower()}") for c in CATEGORIES]
+    row = invoices.agg(
+        *per_category,
+        F.count(F.lit(1)).alias("total_invoices"),
+        money_sum("open_balance").alias("total_balance"),
+        F.coalesce(F.sum(F.when(filed, money("open_balance"))).cast("double"), F.lit(0.0)).alias("filed_balance"),
+        F.coalesce(F.sum(F.when(~filed, money("open_balance"))).cast("double"), F.lit(0.0)).alias("not_filed_balance"),
+        F.datediff(F.max(column).cast("date"), F.min(column).cast("date")).cast("long").alias("span_days"),
+    )
+    categorized = sum((F.col(f"n_{c.lower()}") for c in CATEGORIES), F.lit(0).cast("long"))
+    return row.withColumns(
+        {
+            "categorized_invoices": categorized,
+            "consistent": F.col("total_invoices") == categorized,
+            "grain": grain_for_span(F.col("span_days")),
+        }
+    )
+
+
 # ---------------------------------------------------------------- charts
 
 
@@ -205,6 +232,7 @@ def payer_chart_filter(
 
 
 __all__ = [
+    "dashboard_scalars",
     "notified_range",
     "category_counts",
     "balance_kpis",

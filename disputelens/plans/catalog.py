@@ -260,6 +260,10 @@ def q27d_intake_day(spark, sf_dir):
     return K.intake_series(_disputes(spark, sf_dir, MAR).invoices, "day")
 
 
+def q28_dashboard_scalars(spark, sf_dir):
+    return K.dashboard_scalars(_disputes(spark, sf_dir, H1).invoices)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     name: fn for name, fn in sorted(globals().items()) if name[:1] == "q" and name[1:3].isdigit() and callable(fn)
 }
@@ -571,6 +575,21 @@ UNION ALL
 SELECT {_DETAIL_COLS} FROM found_items)""",
     )
     day = "notified_on"
+    q["q28_dashboard_scalars"] = h1_inv + f""",
+s AS (
+  SELECT count(*) FILTER (WHERE category = 'T1') AS n_t1, count(*) FILTER (WHERE category = 'T2') AS n_t2,
+         count(*) FILTER (WHERE category = 'T3') AS n_t3, count(*) FILTER (WHERE category = 'T4') AS n_t4,
+         count(*) FILTER (WHERE category = 'Mixed') AS n_mixed, count(*) AS total_invoices,
+         coalesce({_MONEY.format('open_balance')}, 0) AS total_balance,
+         coalesce({_MONEY.format("CASE WHEN category = 'T1' THEN open_balance END")}, 0) AS filed_balance,
+         coalesce({_MONEY.format("CASE WHEN category <> 'T1' THEN open_balance END")}, 0) AS not_filed_balance,
+         date_diff('day', min({day}), max({day})) AS span_days
+  FROM cat
+)
+SELECT *, n_t1 + n_t2 + n_t3 + n_t4 + n_mixed AS categorized_invoices,
+       total_invoices = n_t1 + n_t2 + n_t3 + n_t4 + n_mixed AS consistent,
+       CASE WHEN span_days > 730 THEN 'year' WHEN span_days > 90 THEN 'month' ELSE 'day' END AS grain
+FROM s"""
     q["q27g_choose_grain"] = all_inv + f"""
 SELECT date_diff('day', min({day}), max({day})) AS span_days,
        CASE WHEN date_diff('day', min({day}), max({day})) > 730 THEN 'year'

@@ -109,6 +109,10 @@ class Dashboard:
     def __exit__(self, *exc) -> None:
         self.close()
 
+    def scalars(self) -> DataFrame:
+        """All scalar KPIs in one row, from one aggregation pass."""
+        return K.dashboard_scalars(self.invoices)
+
     def category_counts(self) -> DataFrame:
         return K.category_counts(self.invoices)
 
@@ -139,6 +143,7 @@ class Dashboard:
 
     def tables(self) -> dict[str, DataFrame]:
         return {
+            "scalars": self.scalars(),
             "category_counts": self.category_counts(),
             "balances": self.balances(),
             "top_payers_by_count": self.top_payers_by_count(),

@@ -135,11 +135,14 @@ def test_dashboard_tables(micro, reliable):
     with C.dashboard(headers, items, reliable=reliable) as d:
         tables = d.tables()
         assert set(tables) == {
-            "category_counts", "balances", "top_payers_by_count", "top_payers_by_balance",
+            "scalars", "category_counts", "balances", "top_payers_by_count", "top_payers_by_balance",
             "items_by_status", "integrity", "intake", "shares",
         }
         assert tables["integrity"].first().consistent
         assert tables["balances"].first().total_balance == 2500.0
+        sc = tables["scalars"].first()
+        assert (sc.n_t1, sc.n_mixed, sc.total_invoices, sc.consistent, sc.span_days, sc.grain) == (1, 1, 5, True, 74, "day")
+        assert (sc.total_balance, sc.filed_balance, sc.not_filed_balance) == (2500.0, 1000.0, 1500.0)
         assert not d.is_empty()
     empty = C.dashboard(headers, items, "1990-01-01", "1990-01-31")
     assert empty.is_empty()
