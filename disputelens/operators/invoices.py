@@ -98,7 +98,9 @@ def classify_invoices(headers: DataFrame, items: DataFrame) -> DataFrame:
 HOT_CLAIM_ITEMS = 1_000_000
 
 
-def label_items(headers: DataFrame, items: DataFrame, hot_items: int = HOT_CLAIM_ITEMS) -> DataFrame:
+def label_items(
+    headers: DataFrame, items: DataFrame, hot_items: int = HOT_CLAIM_ITEMS, largest_claim: int | None = None
+) -> DataFrame:
     """Every base item with its invoice's category.
 
     The original computes four conditional counts over a window per invoice;
@@ -107,9 +109,16 @@ def label_items(headers: DataFrame, items: DataFrame, hot_items: int = HOT_CLAIM
     split: items of hot claims take their category from a broadcast (map
     side) and then meet their headers in a join that adaptive execution can
     split; items of all other claims join by shuffle, category and headers on
-    the same claim_id partitioning.
+    the same claim_id partitioning. ``largest_claim`` is the item count of the
+    largest claim when it is known (measured when the tables were stored); at
+    or below ``hot_items`` the split is skipped.
     """
     cats = claim_stats(items).select("claim_id", "total_items", category_of().alias("category"))
+    if largest_claim is not None and largest_claim <= hot_items:
+        # measured when the tables were stored: no hot claim, one join path
+        return join_items_headers(items.join(cats.drop("total_items"), "claim_id", "inner"), headers).select(
+            *BASE_COLUMNS, "category"
+        )
     # one broadcast of the hot list serves both branches (the exchange is reused)
     hot = F.broadcast(cats.filter(F.col("total_items") > hot_items).select("claim_id", "category"))
     hot_items_df = items.join(hot, "claim_id", "inner")
@@ -120,14 +129,18 @@ def label_items(headers: DataFrame, items: DataFrame, hot_items: int = HOT_CLAIM
 
 
 def items_of_category(
-    headers: DataFrame, items: DataFrame, categories: list[str], hot_items: int = HOT_CLAIM_ITEMS
+    headers: DataFrame,
+    items: DataFrame,
+    categories: list[str],
+    hot_items: int = HOT_CLAIM_ITEMS,
+    largest_claim: int | None = None,
 ) -> DataFrame:
     """Base items whose invoice is in one of ``categories``.
 
     The category filter is pushed below the join back, so it acts as a semi
     join on the per-claim categories.
     """
-    labelled = label_items(headers, items, hot_items)
+    labelled = label_items(headers, items, hot_items, largest_claim)
     return labelled.filter(F.col("category").isin(*categories)).select(*BASE_COLUMNS)
 
 

@@ -40,6 +40,7 @@ SEARCH_TEXT = "F3400\n\n  F5452 \r\nF3400\n\t\nF1299\nNOPE1\n NOPE1\n"
 
 
 _TABLES: dict = {}
+_LARGEST: dict = {}  # items of the largest claim, measured when the tables were stored
 
 # The driver tables are projected onto the two-table schema once per session
 # and stored bucketed by claim_id in the shared checkpoint folder (a table
@@ -54,9 +55,11 @@ def prepare(spark: SparkSession, sf_dir: str):
     key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir))
     if key not in _TABLES:
         headers, items = project_driver_tables(spark, sf_dir)
+        largest = None
         if MATERIALIZE:
-            headers, items = _materialize(spark, headers, items, key)
+            headers, items, largest = _materialize(spark, headers, items, key)
         _TABLES[key] = (headers, items)
+        _LARGEST[key] = largest
     return _TABLES[key]
 
 
@@ -68,7 +71,7 @@ def _materialize(spark: SparkSession, headers, items, key):
         root = scratch_path(spark, prefix)
         headers.write.parquet(os.path.join(root, "invoice_headers.parquet"))
         items.write.parquet(os.path.join(root, "dispute_items.parquet"))
-        return load_tables(spark, root)
+        return (*load_tables(spark, root), None)
 
 
 def _tables(spark: SparkSession, sf_dir: str):
@@ -87,7 +90,8 @@ def _disputes(spark, sf_dir, rng=(None, None)) -> C.Disputes:
     key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir), rng)
     if key not in _DISPUTES:
         headers, items = _tables(spark, sf_dir)
-        _DISPUTES[key] = C.Disputes(headers, items, *rng)
+        largest = _LARGEST.get(key[:2])
+        _DISPUTES[key] = C.Disputes(headers, items, *rng, largest_claim=largest)
     return _DISPUTES[key]
 
 
@@ -147,7 +151,7 @@ def q12_items_by_status(spark, sf_dir):
 
 def q13_items_t2_mixed(spark, sf_dir):
     d = _disputes(spark, sf_dir)
-    return I.items_of_category(d.headers, d.items, ["T2", "Mixed"])
+    return I.items_of_category(d.headers, d.items, ["T2", "Mixed"], largest_claim=d.largest_claim)
 
 
 def q14_payer_chart_filter(spark, sf_dir):

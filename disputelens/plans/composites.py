@@ -34,6 +34,7 @@ class Disputes:
     items_raw: DataFrame
     start: object = None
     end: object = None
+    largest_claim: int | None = None  # items of the largest claim, when measured on the stored tables
 
     @cached_property
     def headers(self) -> DataFrame:
@@ -54,7 +55,7 @@ class Disputes:
         return I.invoices(self.headers, self.items)
 
     def labelled_items(self) -> DataFrame:
-        return I.label_items(self.headers, self.items)
+        return I.label_items(self.headers, self.items, largest_claim=self.largest_claim)
 
     def report(self) -> DataFrame:
         """P6 over the whole range: summary + detail rows, sorted, 17 columns."""

@@ -62,8 +62,11 @@ def largest_claim(df: DataFrame) -> tuple[int, int]:
     return int(row.largest or 0), int(row.total or 0)
 
 
-def materialize_bucketed(headers: DataFrame, items: DataFrame, prefix: str, path: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """Write both tables once, bucketed by claim_id when that is safe, and return them read back.
+def materialize_bucketed(
+    headers: DataFrame, items: DataFrame, prefix: str, path: str | None = None
+) -> tuple[DataFrame, DataFrame, int]:
+    """Write both tables once, bucketed by claim_id when that is safe; return them read back
+    with the item count of the largest claim (all items, before the status filter).
 
     A bucket is read by one task and never re-shuffled, so a claim holding
     more than twice a bucket's fair share of the items (or of the header
@@ -78,16 +81,18 @@ def materialize_bucketed(headers: DataFrame, items: DataFrame, prefix: str, path
     # the header estimate goes through joins and is not meaningful without CBO.
     buckets = bucket_count(items)
     dominant = False
+    largest_items = 0
     for df in (items, headers):  # hot claims in items, or many header copies of one claim
         largest, total = largest_claim(df)
+        largest_items = largest_items or largest
         dominant = dominant or (total > 0 and largest * buckets > 2 * total)
     if dominant:
         root = path or scratch_path(spark, f"{prefix}-plain")
         headers.write.mode("overwrite").parquet(os.path.join(root, "invoice_headers.parquet"))
         items.write.mode("overwrite").parquet(os.path.join(root, "dispute_items.parquet"))
-        return load_tables(spark, root)
+        return (*load_tables(spark, root), largest_items)
     save_bucketed(headers, items, buckets, prefix, path)
-    return load_bucketed(spark, prefix)
+    return (*load_bucketed(spark, prefix), largest_items)
 
 
 __all__ = ["save_bucketed", "load_bucketed", "bucket_count", "largest_claim", "materialize_bucketed"]

@@ -148,7 +148,10 @@ def test_hot_claim_isolation_gives_the_same_rows(spark, micro):
     default = rows(I.label_items(d.headers, d.items))
     all_hot = rows(I.label_items(d.headers, d.items, hot_items=0))
     some_hot = rows(I.label_items(d.headers, d.items, hot_items=1))
-    assert default == all_hot == some_hot and len(default) == 8
+    measured = rows(I.label_items(d.headers, d.items, largest_claim=3))  # single-join path
+    assert default == all_hot == some_hot == measured and len(default) == 8
+    plan = I.label_items(d.headers, d.items, largest_claim=3)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" not in plan
     t2m = I.items_of_category(d.headers, d.items, ["T2", "Mixed"], hot_items=1)
     assert sorted(r.claim_id for r in t2m.collect()) == [2, 5, 5]
 
@@ -192,12 +195,13 @@ def test_layout_is_bucketed_only_without_a_dominant_claim(spark, micro):
     headers, items = micro
     assert largest_claim(items) == (3, 12)
     # 12 items, 8 buckets: claim 5 with 3 items exceeds twice the fair share (3 > 2 * 12 / 8)
-    h, i = materialize_bucketed(headers, items, "skewcheck")
+    h, i, largest = materialize_bucketed(headers, items, "skewcheck")
+    assert largest == 3
     assert "Bucketed: true" not in i._jdf.queryExecution().executedPlan().toString()
     assert (h.count(), i.count()) == (7, 12)
     many = spark.range(4000).selectExpr(
         "id % 2000 AS claim_id", "DATE'2024-01-01' AS disputed_on", "'AI' AS status", "1.0D AS disputed_value",
         "CAST(NULL AS DATE) AS answered_on", "0L AS batch_no", "CAST(NULL AS DATE) AS filed_on",
     )
-    h2, i2 = materialize_bucketed(headers, many, "evencheck")
+    h2, i2, _ = materialize_bucketed(headers, many, "evencheck")
     assert "Bucketed: true" in i2.groupBy("claim_id").count()._jdf.queryExecution().executedPlan().toString()
