@@ -296,3 +296,28 @@ def test_zero_batch_to_null(micro):
     base = C.Disputes(headers, items).base
     out = R.zero_batch_to_null(base)
     assert out.filter("batch_no IS NULL").count() == 4 == base.filter("batch_no = 0").count()
+
+
+def test_jdbc_tables_map_the_original_columns(spark, micro):
+    # no database may be started here: the reader is replaced by frames with the original column names
+    from unittest import mock
+
+    from disputelens.schema import LEGACY_COLUMNS
+
+    headers, items = micro
+    back = {v: k for k, v in LEGACY_COLUMNS.items()}
+    legacy = {
+        "glo_cab_test": headers.select([headers[c].alias(back[c]) for c in headers.columns]).withColumn("extra", F.lit(1)),
+        "glo_det": items.select([items[c].alias(back[c]) for c in items.columns]),
+    }
+    calls = []
+
+    def fake_jdbc(url, table, properties=None):
+        calls.append((url, table, properties))
+        return legacy[table]
+
+    with mock.patch.object(type(spark.read), "jdbc", side_effect=fake_jdbc, autospec=False):
+        h, i = T.load_jdbc_tables(spark, "jdbc:mysql://db/x", {"user": "u"})
+    assert [c[1] for c in calls] == ["glo_cab_test", "glo_det"]
+    assert h.columns == [f.name for f in HEADER_SCHEMA.fields] and i.columns == [f.name for f in ITEM_SCHEMA.fields]
+    assert rows(C.Disputes(h, i).invoices, "claim_id", "category") == rows(C.Disputes(*micro).invoices, "claim_id", "category")
