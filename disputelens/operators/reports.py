@@ -143,6 +143,23 @@ def page(df: DataFrame, number: int, size: int = PAGE_SIZE, keys: list[str] = SO
     return df.orderBy(*order_columns(keys)).offset((number - 1) * size).limit(size)
 
 
+def page_after(df: DataFrame, after: tuple | None, size: int = PAGE_SIZE, keys: list[str] = SORT_KEYS[:-1]) -> DataFrame:
+    """O2 for deep pages: the ``size`` rows that follow the key tuple ``after``.
+
+    ``after`` is the sort key of the last row of the previous page (``None``
+    for the first page). The rows are compared as one struct, whose ordering
+    puts nulls first like the page order, so each partition keeps only
+    ``size`` rows however deep the page is.
+    """
+    if size < 1:
+        raise ValueError("size starts at 1")
+    if after is not None:
+        types = dict(df.dtypes)
+        bound = F.struct(*[F.lit(v).cast(types[k]).alias(k) for k, v in zip(keys, after, strict=True)])
+        df = df.filter(F.struct(*[F.col(k) for k in keys]) > bound)
+    return df.orderBy(*order_columns(keys)).limit(size)
+
+
 def page_totals(df: DataFrame, number: int, size: int = PAGE_SIZE, column: str = "amount") -> DataFrame:
     """Totals that go with a page: rows, pages, money total before paging."""
     return df.agg(
@@ -179,6 +196,7 @@ __all__ = [
     "by_claim",
     "filtered_balance",
     "page",
+    "page_after",
     "page_totals",
     "format_page_rows",
 ]

@@ -174,18 +174,23 @@ def paged_summaries(
     page: int = 1,
     payer: str | None = None,
     size: int = PAGE_SIZE,
+    after: tuple | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """R2: one page of invoice summaries and its totals.
 
     Summaries come straight from the invoice aggregate (no detail rows are
     built). No dates means all dates, no categories means all categories.
+    ``after`` (the series, number, claim and label of the previous page's last
+    row) selects the next page by key instead of by number, at the same cost
+    for any depth.
     Returns ``(rows, totals)``: rows in report layout plus
     ``category``, dates as text, null text as ''; totals with page, row
     count, page count and the money total of all filtered rows.
     """
     d = Disputes(headers, items, start, end)
     summaries = R.by_payer(R.by_category(R.summary_rows(d.invoices), categories), payer)
-    rows = R.report_columns(R.page(summaries, page, size), extra=["category"])
+    picked = R.page(summaries, page, size) if after is None else R.page_after(summaries, after, size)
+    rows = R.report_columns(picked, extra=["category"])
     return R.format_page_rows(rows), R.page_totals(summaries, page, size)
 
 

@@ -321,3 +321,29 @@ def test_jdbc_tables_map_the_original_columns(spark, micro):
     assert [c[1] for c in calls] == ["glo_cab_test", "glo_det"]
     assert h.columns == [f.name for f in HEADER_SCHEMA.fields] and i.columns == [f.name for f in ITEM_SCHEMA.fields]
     assert rows(C.Disputes(h, i).invoices, "claim_id", "category") == rows(C.Disputes(*micro).invoices, "claim_id", "category")
+
+
+def test_keyset_pages_equal_numbered_pages(spark):
+    data = [(None if i % 7 == 0 else f"S{i % 3}", None if i % 11 == 0 else i % 5, i, f"L{i}", float(i)) for i in range(57)]
+    df = spark.createDataFrame(data, "series string, invoice_no long, claim_id long, invoice_label string, amount double")
+    keys = ["series", "invoice_no", "claim_id", "invoice_label"]
+    after, got = None, []
+    for n in range(1, 5):
+        rows_ = R.page_after(df, after, 20).collect()
+        assert rows_ == R.page(df, n, 20).collect()
+        got += rows_
+        if rows_:
+            after = tuple(rows_[-1][k] for k in keys)
+    assert len(got) == 57
+
+
+def test_paged_summaries_by_key(micro):
+    headers, items = micro
+    cats = ["T2", "T3", "T4", "Mixed"]
+    first, _ = C.paged_summaries(headers, items, None, None, cats, 1, size=2)
+    last = first.collect()[-1]
+    d = C.Disputes(headers, items)
+    key = d.invoices.filter(f"claim_id = {last.claim_id}").select("series", "invoice_no", "claim_id", "invoice_label").first()
+    nxt, _ = C.paged_summaries(headers, items, None, None, cats, size=2, after=tuple(key))
+    second, _ = C.paged_summaries(headers, items, None, None, cats, 2, size=2)
+    assert nxt.collect() == second.collect()
