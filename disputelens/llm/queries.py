@@ -4,8 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import fingerprints, licenses, mixing, secrets
-from .common import documents
+from . import fingerprints, licenses, mixing, packing, secrets, token_store
+from .common import documents, shared_dir
+
+
+def tokenizer_path() -> str:
+    """The public tokenizer file of the token queries, as installed on every machine."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path("word_bpe_49k.json"))
 
 
 def op1_license_scan(spark, sf_dir):
@@ -25,15 +32,28 @@ def op2_secret_scan(spark, sf_dir):
     )
 
 
+def op3_token_store(spark, sf_dir):
+    path = shared_dir(spark, "token-store")
+    token_store.write(documents(spark, sf_dir), path, tokenizer_path(), end_id=2)
+    return token_store.read(spark, path)
+
+
 def op4_multiset_fingerprint(spark, sf_dir):
     return fingerprints.compare_edited(documents(spark, sf_dir))
 
 
+def op9_tournament_pack(spark, sf_dir):
+    pieces = packing.pack(documents(spark, sf_dir), tokenizer_path(), end_id=1)
+    return pieces.select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
+    )
+
+
 def op10_curriculum_mix(spark, sf_dir):
     mix = mixing.ordered(mixing.plan(documents(spark, sf_dir)))
     return mix.select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_secret_scan, op4_multiset_fingerprint, op10_curriculum_mix)}
+QUERIES = {name: f for name, f in list(globals().items()) if name.startswith("op")}
 
 ORACLE_SQL: dict[str, str] = {}
