@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import fingerprints, licenses, mixing, packing, secrets, token_store
+from . import fingerprints, language_id, licenses, mixing, packing, quality, secrets, token_store
 from .common import documents, shared_dir
 
 
@@ -42,6 +42,25 @@ def op4_multiset_fingerprint(spark, sf_dir):
     return fingerprints.compare_edited(documents(spark, sf_dir))
 
 
+def _remainder(n: int):
+    """crc32 of the document's id as text, modulo n."""
+    return F.crc32(F.col("doc_id").cast("string")) % n
+
+
+def op5_language_id(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    texts = language_id.learn(docs.filter(_remainder(4) != 2))
+    found = language_id.predict(docs, texts)
+    return found.select("doc_id", (_remainder(4) == 2).alias("held_out"), "lang_pred", "score")
+
+
+def op6_neighbour_quality(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").filter(_remainder(3) != 1)
+    found = quality.score(docs, quality.learn(docs, labels))
+    return found.select("doc_id", (_remainder(3) == 1).alias("held_out"), "score", "predicted")
+
+
 def op9_tournament_pack(spark, sf_dir):
     pieces = packing.pack(documents(spark, sf_dir), tokenizer_path(), end_id=1)
     return pieces.select(
