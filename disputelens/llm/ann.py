@@ -130,13 +130,13 @@ def search(vectors: DataFrame, is_query, k: int = 5, block: int = BLOCK, query_b
     queries = index.filter(is_query).dropDuplicates(["vec_id"])
     blocks, query_blocks = partitions_for(index.count(), block), partitions_for(queries.count(), query_block)
     dealt = index.select(
-        F.pmod(F.xxhash64("vec_id", "embedding"), F.lit(blocks)).alias("block"),
+        F.pmod(F.xxhash64("vec_id", "embedding"), F.lit(blocks).cast("long")).alias("block"),
         F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("query_block"),
         "vec_id",
         "embedding",
     )
     asked = queries.select(
-        F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("long").alias("block"),
+        F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"),
         F.pmod(F.xxhash64("vec_id"), F.lit(query_blocks)).cast("int").alias("query_block"),
         "vec_id",
         "embedding",

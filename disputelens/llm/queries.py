@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import ann, fingerprints, language_id, licenses, mixing, packing, quality, secrets, token_store
+from . import ann, fingerprints, language_id, licenses, mixing, neardup, packing, quality, secrets, token_store
 from .common import documents, shared_dir
 
 
@@ -61,6 +61,10 @@ def op6_neighbour_quality(spark, sf_dir):
     return found.select("doc_id", (_remainder(3) == 1).alias("held_out"), "score", "predicted")
 
 
+def op7_tensored_minhash(spark, sf_dir):
+    return neardup.classes(documents(spark, sf_dir))
+
+
 def op8_prefix_forest(spark, sf_dir):
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     return ann.search(vectors, F.col("vec_id") % 50 == 0, k=5)
