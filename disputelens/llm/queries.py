@@ -42,23 +42,23 @@ def op4_multiset_fingerprint(spark, sf_dir):
     return fingerprints.compare_edited(documents(spark, sf_dir))
 
 
-def _remainder(n: int):
-    """crc32 of the document's id as text, modulo n."""
-    return F.crc32(F.col("doc_id").cast("string")) % n
+def held_back(column: str, n: int, remainder: int):
+    """Whether crc32 of an id as text leaves ``remainder`` modulo ``n``; false for null."""
+    return F.coalesce(F.crc32(F.col(column).cast("string")) % n == remainder, F.lit(False))
 
 
 def op5_language_id(spark, sf_dir):
     docs = documents(spark, sf_dir)
-    texts = language_id.learn(docs.filter(_remainder(4) != 2))
+    texts = language_id.learn(docs.filter(~held_back("doc_id", 4, 2)))
     found = language_id.predict(docs, texts)
-    return found.select("doc_id", (_remainder(4) == 2).alias("held_out"), "lang_pred", "score")
+    return found.select("doc_id", held_back("doc_id", 4, 2).alias("held_out"), "lang_pred", "score")
 
 
 def op6_neighbour_quality(spark, sf_dir):
     docs = documents(spark, sf_dir)
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").filter(_remainder(3) != 1)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").filter(~held_back("doc_id", 3, 1))
     found = quality.score(docs, quality.learn(docs, labels))
-    return found.select("doc_id", (_remainder(3) == 1).alias("held_out"), "score", "predicted")
+    return found.select("doc_id", held_back("doc_id", 3, 1).alias("held_out"), "score", "predicted")
 
 
 def op7_tensored_minhash(spark, sf_dir):
