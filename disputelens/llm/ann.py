@@ -36,7 +36,7 @@ from .common import partitions_for, pick, ship_package
 TREES = 32
 BITS = 32
 ASCENT = 1.0  # entries in the ranges of all trees, times the rows of the block
-LEAST = 64  # entries at least
+LEAST = 64  # rows at least: a block of no more is compared whole
 BLOCK = 2048  # mean rows of an index block
 QUERY_BLOCK = 8192
 SEED = 8
@@ -91,7 +91,7 @@ def nearest(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, row_id
     """The k nearest candidates of each query in one block, as (query, row, cosine)."""
     q_norm, r_norm = np.sqrt((queries * queries).sum(1)), np.sqrt((rows * rows).sum(1))
     forest = Forest(rows / r_norm[:, None])
-    enough = max(LEAST, int(ASCENT * len(rows)))
+    enough = max(TREES * min(LEAST, len(rows)), int(ASCENT * len(rows)))
     out = []
     for q, places in enumerate(forest.candidates(queries / q_norm[:, None], enough)):
         places = places[row_ids[places] != query_ids[q]]

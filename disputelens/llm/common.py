@@ -27,8 +27,12 @@ def pick(df: DataFrame, *names: str) -> DataFrame:
     return plain.select(*[F.col(f"_c{i}").alias(n) for i, n in zip(at, names)])
 
 
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The ``documents`` table with its own columns only."""
+    return pick(spark.read.parquet(f"{sf_dir}/documents.parquet"), *COLUMNS)
 
 
 def ascii_lower(c: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from . import ann, fingerprints, language_id, licenses, mixing, neardup, packing, quality, secrets, token_store
 from .common import documents, shared_dir
+from .oracle import ORACLE_SQL  # noqa: F401
 
 
 def tokenizer_path() -> str:
@@ -84,4 +85,3 @@ def op10_curriculum_mix(spark, sf_dir):
 
 QUERIES = {name: f for name, f in list(globals().items()) if name.startswith("op")}
 
-ORACLE_SQL: dict[str, str] = {}

@@ -1,0 +1,159 @@
+"""Defined results on nulls, empty and long texts, ties, repeated rows, clashing columns and empty tables."""
+
+from __future__ import annotations
+
+import numpy as np
+import pytest
+
+import corpus_pipeline
+from disputelens.llm import ann, fingerprints, language_id, licenses, mixing, neardup, packing, quality, secrets, token_store
+from disputelens.llm.common import shared_dir
+
+from .conftest import LONG, UGLY
+
+
+def by_id(df, *cols):
+    out = {}
+    for r in df.select("doc_id", *cols).collect():
+        out.setdefault(r[0], []).append(tuple(r)[1:] if len(cols) > 1 else r[1])
+    return {k: sorted(v, key=str) for k, v in out.items()}
+
+
+def test_licenses(ugly):
+    got = by_id(licenses.scan(ugly), "n_words", "base_labels")
+    assert got[1] == [(9, "")]  # rows that repeat doc_id and text give one row
+    assert len(got[2]) == 2 and len(got[None]) == 2
+    assert got[3] == got[4] == got[5] == [(0, "")]
+    assert got[7] == [(2, "mit")]
+    assert got[6] == [(len(LONG.replace("=", " ").split()), "")]
+
+
+def test_secrets(ugly):
+    got = by_id(secrets.scan(ugly), "base")
+    assert len(got[1]) == 1 and len(got[2]) == 2
+    assert got[3] == got[4] == got[5] == [[]]
+    assert len(got[6][0]) == 4000
+    first = got[6][0][0]
+    assert (first["kind"], LONG[first["start"] : first["stop"]]) == (0, "password=abcdef1234567890")
+    text = UGLY[11][1]
+    found = got[8][0][0]
+    assert text[found["start"] : found["stop"]] == "token: 'abc.def-ghi"
+
+
+def test_redaction(ugly):
+    out = secrets.redact(ugly).collect()
+    assert len(out) == len(UGLY) and out[0].asDict().keys() == {"doc_id", "text", "lang", "source", "n_chars"}
+    long = next(r for r in out if r["doc_id"] == 6)
+    assert long["text"].count("[SECRET]") == 4000 and "abcdef" not in long["text"]
+    assert long["n_chars"] == len(long["text"])
+    assert next(r for r in out if r["doc_id"] == 3)["text"] is None
+
+
+def test_fingerprints(ugly):
+    got = fingerprints.compare_edited(ugly).collect()
+    assert len(got) == len(UGLY)
+    same = {r["fingerprint"] for r in got if r["doc_id"] == 1}
+    assert len(same) == 1 and any(r["fingerprint"] in same for r in got if r["doc_id"] == 2)
+    assert all(0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1 for r in got)
+    assert {r["n_chars"] for r in got if r["doc_id"] in (3, 4)} == {0}
+
+
+def test_token_store(spark, ugly, tokenizer):
+    path = shared_dir(spark, "test-store")
+    token_store.write(ugly, path, tokenizer, end_id=2)
+    got = token_store.read(spark, path)
+    rows = sorted(tuple(r) for r in got.select("start", "n_tokens").collect())
+    assert len(rows) == len(UGLY)
+    assert [r[0] for r in rows] == [sum(n for _, n in rows[:i]) for i in range(len(rows))]
+    ids = by_id(got, "n_tokens")
+    assert ids[3] == ids[4] == ids[5] == [1] and len(ids[None]) == 2 and len(ids[1]) == 2
+    assert list(token_store.fetch(spark, path, 4)) == [2]
+    assert token_store.fetch(spark, path, 4711) is None
+
+
+def test_language(ugly):
+    texts = language_id.learn(ugly)
+    assert set(texts) <= {"en", "de", "es"}
+    got = by_id(language_id.predict(ugly, texts), "lang_pred", "score")
+    assert got[3] == got[4] == got[5] == got[9] == [("und", 0.0)]
+    assert len(got[1]) == 2 and got[6][0][0] == "en"
+    assert by_id(language_id.predict(ugly, {}), "lang_pred")[1] == ["und", "und"]
+
+
+def test_quality(spark, ugly):
+    marks = [(1, 1), (1, 0), (2, None), (6, 0), (7, 1), (None, 1)]
+    labels = spark.createDataFrame(marks, "doc_id long, quality int")
+    model = quality.learn(ugly, labels)
+    assert len(model.labels) == 3
+    got = by_id(quality.score(ugly, model), "score")
+    assert len(got[1]) == 2 and all(0 <= x <= 1 for v in got.values() for x in v)
+    assert got[3] == got[4]
+    untrained = quality.learn(ugly, labels.limit(0))
+    assert set(sum(by_id(quality.score(ugly, untrained), "score").values(), [])) == {0.5}
+
+
+def test_near_duplicates(ugly):
+    got = by_id(neardup.classes(ugly), "n_shingles", "component_id", "kept")
+    assert got[1] == [(5, 1, True)] * 2
+    assert sorted(got[2]) == [(4, 2, True), (5, 1, False)]
+    assert got[3] == [(0, 3, True)] and got[4] == [(0, 4, True)] and got[5] == [(0, 5, True)]
+    assert sorted(got[None]) == [(0, None, True), (4, None, True)]
+    assert got[7] == [(1, 7, True)]
+
+
+def test_packing(ugly, tokenizer):
+    got = packing.pack(ugly, tokenizer, end_id=1).collect()
+    assert sorted({r["doc_tokens"] for r in got if r["doc_id"] in (3, 4, 5)}) == [1]
+    assert len([r for r in got if r["doc_id"] == 1]) == 2
+    assert {r["doc_id"] for r in got} == {r[0] for r in UGLY}
+
+
+def test_mixing(ugly):
+    got = by_id(mixing.plan(ugly), "size", "taken")
+    assert got[3] == got[4] == got[5] == [(0, 0)]
+    assert len(got[1]) == 2 and len(got[None]) == 2
+    assert all(t <= 3 * s for v in got.values() for s, t in v)
+    again = by_id(mixing.plan(ugly, buckets=16), "size", "taken")
+    assert got == again
+    assert mixing.curriculum(ugly).columns == ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def test_neighbours(spark):
+    nan, inf = float("nan"), float("inf")
+    rows = [(0, [1.0, 0.0]), (1, [2.0, 0.0]), (2, [1.0, 1.0]), (3, None), (4, [0.0, 0.0]), (5, [nan, 1.0]), (6, [inf, 1.0])]
+    rows += [(7, [None, 1.0]), (8, [1.0]), (None, [1.0, 0.0]), (2, [1.0, 1.0]), (9, [5.0, 0.0]), (50, [1.0, 2.0]), (100, None)]
+    df = spark.createDataFrame([(*r, "x") for r in rows], "vec_id long, embedding array<double>, score string")
+    got = ann.search(df, "vec_id % 50 = 0", k=3).orderBy("query_id", "rank").collect()
+    assert [tuple(r)[:3] for r in got] == [(0, 1, 1), (0, 2, 9), (0, 3, 2), (50, 1, 2), (50, 2, 0), (50, 3, 1)]
+    assert got[0]["score"] == 1.0 and got[2]["score"] == 1 / np.sqrt(2.0) or abs(got[2]["score"] - 0.5**0.5) < 1e-15
+    assert ann.search(df.limit(0), "vec_id % 50 = 0").count() == 0
+
+
+def test_empty_tables(spark, nothing, tokenizer):
+    path = shared_dir(spark, "test-store")
+    token_store.write(nothing, path, tokenizer, end_id=2)
+    model = quality.learn(nothing, spark.createDataFrame([], "doc_id long, quality int"))
+    for df in (
+        licenses.scan(nothing),
+        secrets.scan(nothing),
+        secrets.redact(nothing),
+        fingerprints.compare_edited(nothing),
+        token_store.read(spark, path),
+        language_id.predict(nothing, language_id.learn(nothing)),
+        quality.score(nothing, model),
+        neardup.classes(nothing),
+        packing.pack(nothing, tokenizer, end_id=1),
+        mixing.ordered(mixing.plan(nothing)),
+        mixing.curriculum(nothing),
+    ):
+        assert df.count() == 0
+
+
+@pytest.mark.parametrize("stage", range(5))
+def test_stages(spark, ugly, stage):
+    from .conftest import SF
+
+    out = corpus_pipeline.STAGES[stage][1](spark, ugly, SF)
+    if stage < 4:
+        assert out.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+    assert out.count() > 0
