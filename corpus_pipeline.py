@@ -18,12 +18,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from disputelens.llm import mixing, neardup, packing, quality, secrets
-from disputelens.llm.common import documents, pick, stored
+from disputelens.llm.common import COLUMNS, documents, pick, stored
 from disputelens.llm.queries import held_back, tokenizer_path
 
-COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-
-
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the nearest-neighbour vote does not predict to be bad."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").filter(~held_back("doc_id", 3, 1))
