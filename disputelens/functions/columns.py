@@ -67,11 +67,6 @@ def flag_conditions_sql(batch_no: str = "batch_no", filed_on: str = "filed_on")
     }
 
 
-def flag_conditions(batch_no: str = "batch_no", filed_on: str = "filed_on") -> dict[str, Column]:
-    """The four item conditions behind the categories, by counter name."""
-    return {k: _sql(v) for k, v in flag_conditions_sql(batch_no, filed_on).items()}
-
-
 # ---------------------------------------------------------------- keys
 
 
@@ -119,9 +114,9 @@ def item_filing_status(batch_no: str = "batch_no", filed_on: str = "filed_on") -
     )
 
 
-def zero_to_null(c: ColumnOrName) -> Column:
+def zero_to_null_sql(c: str) -> str:
     """P5: a batch number of 0 means "no batch" and is shown as null."""
-    return F.nullif(_col(c), F.lit(0).cast("long"))
+    return f"nullif({c}, 0)"
 
 
 # ---------------------------------------------------------------- money
@@ -180,13 +175,12 @@ __all__ = [
     "is_filed",
     "has_batch_sql",
     "is_filed_sql",
-    "flag_conditions",
     "flag_conditions_sql",
     "invoice_label",
     "invoice_key",
     "category_of",
     "item_filing_status",
-    "zero_to_null",
+    "zero_to_null_sql",
     "money",
     "money_sum",
     "display_money",

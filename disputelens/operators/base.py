@@ -52,12 +52,6 @@ def valid_status(items: DataFrame) -> DataFrame:
     return items.filter("status IN (" + ", ".join(f"'{s}'" for s in VALID_STATUSES) + ")")
 
 
-def fill_defaults(df: DataFrame) -> DataFrame:
-    """Null batch number, item value and balance become 0."""
-    fills = {c: 0 for c in ("batch_no", "disputed_value", "open_balance") if c in df.columns}
-    return df.na.fill(fills) if fills else df
-
-
 _FORCED_TYPES = {
     "notified_on": "date",
     "disputed_on": "date",
@@ -69,14 +63,8 @@ _FORCED_TYPES = {
 }
 
 
-def cast_schema(df: DataFrame) -> DataFrame:
-    """Dates without time of day, batch as long, money as double."""
-    casts = {c: F.col(c).cast(t) for c, t in _FORCED_TYPES.items() if c in df.columns and dict(df.dtypes)[c] != t}
-    return df.withColumns(casts) if casts else df
-
-
-def _cleaned_columns(df: DataFrame) -> list[str]:
-    """P1 + P2 as one projection: forced types, then 0 for null batch, value and balance."""
+def cleaned_columns(df: DataFrame) -> list[str]:
+    """P1 + P2 as one projection: dates without time of day, batch as long, money as double; 0 for null batch, value and balance."""
     cols = []
     for name, dtype in df.dtypes:
         c = f"`{name}`"
@@ -91,13 +79,13 @@ def _cleaned_columns(df: DataFrame) -> list[str]:
 def clean_headers(headers: DataFrame, start=None, end=None) -> DataFrame:
     """Headers after the date filter (F1), with forced types and a 0 balance for null."""
     filtered = in_date_range(headers, start, end)
-    return filtered.selectExpr(*_cleaned_columns(filtered))
+    return filtered.selectExpr(*cleaned_columns(filtered))
 
 
 def clean_items(items: DataFrame) -> DataFrame:
     """Items in a valid state (F2), with forced types and 0 for null batch and value."""
     filtered = valid_status(items)
-    return filtered.selectExpr(*_cleaned_columns(filtered))
+    return filtered.selectExpr(*cleaned_columns(filtered))
 
 
 def join_items_headers(items: DataFrame, headers: DataFrame) -> DataFrame:
@@ -134,8 +122,7 @@ def with_item_filing_status(df: DataFrame) -> DataFrame:
 __all__ = [
     "in_date_range",
     "valid_status",
-    "fill_defaults",
-    "cast_schema",
+    "cleaned_columns",
     "clean_headers",
     "clean_items",
     "join_items_headers",

@@ -43,11 +43,6 @@ def claim_stats(items: DataFrame) -> DataFrame:
     return items.groupBy("claim_id").agg(*[F.expr(a) for a in aggs])
 
 
-def claim_categories(items: DataFrame) -> DataFrame:
-    """``(claim_id, category)``: the category shared by every invoice of the claim."""
-    return claim_stats(items).select("claim_id", category_of().alias("category"))
-
-
 def invoice_heads(headers: DataFrame) -> DataFrame:
     """One row per invoice key with the number of header copies and its header values.
 
@@ -91,64 +86,45 @@ def classify_invoices(headers: DataFrame, items: DataFrame) -> DataFrame:
     )
 
 
-# A claim with more items than this is "hot". There are at most
-# (number of items / HOT_CLAIM_ITEMS) hot claims - at most a million for a
-# trillion items - so their (claim_id, category) list has a proven bound and is
-# broadcast; every other claim has at most this many rows in any one task.
-HOT_CLAIM_ITEMS = 1_000_000
+def in_claims(items: DataFrame, headers: DataFrame) -> DataFrame:
+    """Items whose claim has one of ``headers``: a semi join on claim_id.
+
+    With a date range, headers are few; items of other claims are dropped
+    before anything is aggregated or labelled.
+    """
+    return items.join(headers.select("claim_id").distinct(), "claim_id", "left_semi")
 
 
-def label_items(
-    headers: DataFrame, items: DataFrame, hot_items: int = HOT_CLAIM_ITEMS, largest_claim: int | None = None
-) -> DataFrame:
+def label_items(headers: DataFrame, items: DataFrame) -> DataFrame:
     """Every base item with its invoice's category.
 
     The original computes four conditional counts over a window per invoice;
-    here the category comes from the per-claim aggregate and is joined back,
-    so no window ever holds a whole invoice in one task. The join back is
-    split: items of hot claims take their category from a broadcast (map
-    side) and then meet their headers in a join that adaptive execution can
-    split; items of all other claims join by shuffle, category and headers on
-    the same claim_id partitioning. ``largest_claim`` is the item count of the
-    largest claim when it is known (measured when the tables were stored); at
-    or below ``hot_items`` the split is skipped.
+    here the category is a property of the claim, so it is joined to the
+    headers (one row per header) and reaches the items in the one join they
+    need anyway. That is a plain sort-merge join on claim_id: adaptive
+    execution splits a claim that is large in items, in headers or in both.
     """
-    cats = claim_stats(items).select("claim_id", "total_items", category_of().alias("category"))
-    if largest_claim is not None and largest_claim <= hot_items:
-        # measured when the tables were stored: no hot claim, one join path
-        return join_items_headers(items.join(cats.drop("total_items"), "claim_id", "inner"), headers).select(
-            *BASE_COLUMNS, "category"
-        )
-    # one broadcast of the hot list serves both branches (the exchange is reused)
-    hot = F.broadcast(cats.filter(F.col("total_items") > hot_items).select("claim_id", "category"))
-    hot_items_df = items.join(hot, "claim_id", "inner")
-    cold_items_df = items.join(hot, "claim_id", "left_anti").join(cats.drop("total_items"), "claim_id", "inner")
-    hot_rows = join_items_headers(hot_items_df, headers).select(*BASE_COLUMNS, "category")
-    cold_rows = join_items_headers(cold_items_df, headers).select(*BASE_COLUMNS, "category")
-    return hot_rows.unionByName(cold_rows)
-
-
-def items_of_category(
-    headers: DataFrame,
-    items: DataFrame,
-    categories: list[str],
-    hot_items: int = HOT_CLAIM_ITEMS,
-    largest_claim: int | None = None,
-) -> DataFrame:
+    categories = claim_stats(items).select("claim_id", category_of().alias("category"))
+    labelled = headers.join(categories, "claim_id", "inner")
+    # "| 0" hides that these rows are already dealt by claim_id: they are dealt again (headers only,
+    # few next to the items), and a join between two fresh exchanges is one that can be split
+    labelled = labelled.withColumn("claim_id", F.col("claim_id").bitwiseOR(F.lit(0).cast("long")))
+    return join_items_headers(items, labelled).select(*BASE_COLUMNS, "category")
+
+
+def items_of_category(headers: DataFrame, items: DataFrame, categories: list[str]) -> DataFrame:
     """Base items whose invoice is in one of ``categories``.
 
     The category filter is pushed below the join back, so it acts as a semi
     join on the per-claim categories.
     """
-    labelled = label_items(headers, items, hot_items, largest_claim)
-    return labelled.filter(F.col("category").isin(*categories)).select(*BASE_COLUMNS)
+    return label_items(headers, items).filter(F.col("category").isin(*categories)).select(*BASE_COLUMNS)
 
 
 __all__ = [
-    "HOT_CLAIM_ITEMS",
     "STATUS_COUNTERS",
     "claim_stats",
-    "claim_categories",
+    "in_claims",
     "invoice_heads",
     "invoices",
     "classify_invoices",

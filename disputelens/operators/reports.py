@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import display_date, money_sum, zero_to_null
+from ..functions.columns import display_date, money_sum, zero_to_null_sql
 from ..schema import COUNTER_COLUMNS, PAGE_SIZE, REPORT_COLUMNS, ROW_DETAIL, ROW_SUMMARY
 
 # O1: series, number, claim, label, then detail before summary; nulls first.
@@ -59,7 +59,7 @@ def detail_rows(base: DataFrame) -> DataFrame:
         "payer",
         "disputed_on",
         "answered_on",
-        "nullif(batch_no, 0) AS batch_no",
+        f"{zero_to_null_sql('batch_no')} AS batch_no",
         "filed_on",
         "status",
         "disputed_value AS amount",
@@ -72,11 +72,6 @@ def detail_rows(base: DataFrame) -> DataFrame:
     )
 
 
-def zero_batch_to_null(items: DataFrame) -> DataFrame:
-    """P5 on a frame of items: batch number 0 (no batch) shown as null."""
-    return items.withColumn("batch_no", zero_to_null("batch_no"))
-
-
 def stack(summary: DataFrame, detail: DataFrame) -> DataFrame:
     """Union by column name, columns missing on one side become null."""
     return summary.unionByName(detail, allowMissingColumns=True)
@@ -126,11 +121,6 @@ def by_claim(df: DataFrame, claim_id: int) -> DataFrame:
     return df.filter(F.col("claim_id") == F.lit(int(claim_id)))
 
 
-def filtered_balance(summaries: DataFrame, column: str = "amount") -> DataFrame:
-    """A10: money total over all rows (before paging); 0 when empty."""
-    return summaries.agg(money_sum(column).alias("balance"))
-
-
 def page(df: DataFrame, number: int, size: int = PAGE_SIZE, keys: list[str] = SORT_KEYS[:-1]) -> DataFrame:
     """O2: rows ``(number-1)*size`` .. ``number*size-1`` in ``keys`` order.
 
@@ -160,10 +150,13 @@ def page_after(df: DataFrame, after: tuple | None, size: int = PAGE_SIZE, keys:
     return df.orderBy(*order_columns(keys)).limit(size)
 
 
-def page_totals(df: DataFrame, number: int, size: int = PAGE_SIZE, column: str = "amount") -> DataFrame:
-    """Totals that go with a page: rows, pages, money total before paging."""
+def page_totals(df: DataFrame, number: int | None, size: int = PAGE_SIZE, column: str = "amount") -> DataFrame:
+    """A10 and the totals of a page: rows, pages, money total before paging.
+
+    ``number`` is null for a page found by key, whose number is not known.
+    """
     return df.agg(
-        F.lit(int(number)).alias("page"),
+        F.lit(number).cast("int").alias("page"),
         F.count(F.lit(1)).alias("total_rows"),
         F.ceil(F.count(F.lit(1)) / F.lit(size)).cast("long").alias("total_pages"),
         money_sum(column).alias("balance"),
@@ -185,7 +178,6 @@ __all__ = [
     "SORT_KEYS",
     "summary_rows",
     "detail_rows",
-    "zero_batch_to_null",
     "stack",
     "report_order",
     "report_columns",
@@ -194,7 +186,6 @@ __all__ = [
     "by_payer",
     "by_row_kind",
     "by_claim",
-    "filtered_balance",
     "page",
     "page_after",
     "page_totals",

@@ -1,15 +1,15 @@
 """Bulk search by printed invoice number: F7 J3 J4 A11.
 
 The search input is a list of invoice labels pasted by a user (one per
-line). It is small next to the tables, and its size is known on the driver,
-so it is broadcast when it has at most ``BROADCAST_MAX_IDS`` entries; a larger
-list (or one given as a DataFrame) is joined by shuffle, and adaptive
-execution still broadcasts it at runtime if it turns out small.
-
-The labels match header rows only (a label is series + number), so the
-search first reduces the header scan to the matching claims, then keeps only
-the items of those claims (a semi join), and builds summaries and details
-from those few rows instead of from the whole base.
+line). The labels match header rows only (a label is series + number), so a
+search first reduces the header scan to the matching rows and stores them;
+their claims then reduce the item scan, and summaries, details, balance and
+missing labels all start from these few rows.
+
+Broadcasts have a checked bound: a list given as text or values is broadcast
+when it has at most ``BROADCAST_MAX_IDS`` entries, the stored claims when
+they have been counted and are no more than that; anything larger is joined by
+shuffle. The rows are the same either way.
 """
 
 from __future__ import annotations
@@ -79,33 +79,30 @@ def label_headers(headers: DataFrame) -> DataFrame:
 
 
 def matched_headers(labelled: DataFrame, ids: DataFrame, small: bool) -> DataFrame:
-    """Header rows whose label is searched, once per occurrence of the label in ``ids``."""
-    return labelled.join(_maybe_broadcast(ids.select("invoice_label"), small), "invoice_label", "inner")
+    """Header rows whose label is searched, each once, with the label's number of ``repeats``."""
+    repeats = ids.groupBy("invoice_label").agg(F.count(F.lit(1)).alias("repeats"))
+    return labelled.join(_maybe_broadcast(repeats, small), "invoice_label", "inner")
 
 
-def matched_items(items: DataFrame, labelled: DataFrame, ids: DataFrame, small: bool) -> DataFrame:
+def matched_items(items: DataFrame, matched: DataFrame, max_claims: int = BROADCAST_MAX_IDS) -> DataFrame:
     """Items of the claims that carry a searched label (a semi join on claim_id).
 
-    The claim list is tiny next to the items; adaptive execution turns the
-    semi join into a broadcast once its real size is known. Summaries and
-    detail rows both start from this relation, so the item scan is shared.
+    ``matched`` is the stored result of ``matched_headers``; its claims are
+    counted, so that the items need no shuffle while the claims are few.
     """
-    labels = ids.select("invoice_label").distinct()
-    claims = labelled.join(_maybe_broadcast(labels, small), "invoice_label", "left_semi").select("claim_id").distinct()
-    return items.join(claims, "claim_id", "left_semi")
+    claims = matched.select("claim_id").distinct()
+    return items.join(_maybe_broadcast(claims, claims.count() <= max_claims), "claim_id", "left_semi")
 
 
-def search_found(its: DataFrame, labelled: DataFrame, ids: DataFrame, small: bool) -> DataFrame:
+def search_found(its: DataFrame, matched: DataFrame) -> DataFrame:
     """J3 + U2: base items of the searched labels, repeated once per repetition of the label."""
-    heads = matched_headers(labelled, ids, small).drop("invoice_label")
-    return join_items_headers(its, heads)
+    heads = matched.withColumn("_", F.explode(F.sequence(F.lit(1).cast("long"), F.col("repeats"))))
+    return join_items_headers(its, heads.drop("invoice_label", "repeats", "_"))
 
 
-def found_invoices(its: DataFrame, labelled: DataFrame, ids: DataFrame, small: bool) -> DataFrame:
+def found_invoices(its: DataFrame, matched: DataFrame) -> DataFrame:
     """Invoices (one row each, counters not yet repeated) whose label is searched."""
-    labels = ids.select("invoice_label").distinct()
-    heads = labelled.join(_maybe_broadcast(labels, small), "invoice_label", "left_semi")
-    return invoices(heads.drop("invoice_label"), its)
+    return invoices(matched.drop("invoice_label", "repeats"), its)
 
 
 def repeat_counters(found: DataFrame, ids: DataFrame) -> DataFrame:

@@ -9,8 +9,6 @@ so it also checks the pre-aggregation the Spark side uses.
 
 from __future__ import annotations
 
-import hashlib
-import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,10 +19,9 @@ from ..operators import base as B
 from ..operators import invoices as I
 from ..operators import kpis as K
 from ..operators import reports as R
-from ..schema import ALL_NOT_FILED_TITLE, CATEGORIES, CATEGORY_TITLES, EXPORT_HEADINGS, REPORT_COLUMNS, ROW_KIND_TEXT
+from ..schema import ALL_NOT_FILED_TITLE, CATEGORIES, CATEGORY_TITLES, EXPORT_HEADINGS, LEGACY_COLUMNS, REPORT_COLUMNS, ROW_KIND_TEXT, SEARCH_SHEET, SHEET_NAMES
 from ..session import scratch_path
-from ..sources.export import display_headings, export_report, export_search
-from ..sources.layout import materialize_bucketed
+from ..sources.export import display_headings
 from ..sources.tables import load_tables, project_driver_tables
 from . import composites as C
 
@@ -40,40 +37,26 @@ SEARCH_TEXT = "F3400\n\n  F5452 \r\nF3400\n\t\nF1299\nNOPE1\n NOPE1\n"
 
 
 _TABLES: dict = {}
-_LARGEST: dict = {}  # items of the largest claim, measured when the tables were stored
 
 # The driver tables are projected onto the two-table schema once per session
-# and stored bucketed by claim_id in the shared checkpoint folder (a table
-# Spark derives from the given ones); every query then starts from the two
-# tables, as the original does, instead of re-joining orders, customer and
+# and stored as Parquet in the shared checkpoint folder (tables Spark derives
+# from the given ones); every query then starts from the two tables through
+# the loader, as the original does, instead of re-joining orders, customer and
 # nation each time.
-MATERIALIZE = True
 
 
 def prepare(spark: SparkSession, sf_dir: str):
-    """The two input tables of ``sf_dir`` for this session (built on first use)."""
-    key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir))
+    """The two input tables of ``sf_dir`` for this session (stored on first use)."""
+    key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _TABLES:
         headers, items = project_driver_tables(spark, sf_dir)
-        largest = None
-        if MATERIALIZE:
-            headers, items, largest = _materialize(spark, headers, items, key)
-        _TABLES[key] = (headers, items)
-        _LARGEST[key] = largest
+        root = scratch_path(spark, "disputes")
+        headers.write.parquet(f"{root}/invoice_headers.parquet")
+        items.write.parquet(f"{root}/dispute_items.parquet")
+        _TABLES[key] = load_tables(spark, root)
     return _TABLES[key]
 
 
-def _materialize(spark: SparkSession, headers, items, key):
-    prefix = "dl_" + hashlib.sha1(repr(key).encode()).hexdigest()[:12]
-    try:
-        return materialize_bucketed(headers, items, prefix)
-    except Exception:  # no usable catalog: plain Parquet in the shared folder instead
-        root = scratch_path(spark, prefix)
-        headers.write.parquet(os.path.join(root, "invoice_headers.parquet"))
-        items.write.parquet(os.path.join(root, "dispute_items.parquet"))
-        return (*load_tables(spark, root), None)
-
-
 def _tables(spark: SparkSession, sf_dir: str):
     return prepare(spark, sf_dir)
 
@@ -87,11 +70,9 @@ def _disputes(spark, sf_dir, rng=(None, None)) -> C.Disputes:
     Only the plan definitions are shared (the original memoises its base per
     date range the same way); every query still computes from the tables.
     """
-    key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir), rng)
+    key = (spark.sparkContext.applicationId, sf_dir, rng)
     if key not in _DISPUTES:
-        headers, items = _tables(spark, sf_dir)
-        largest = _LARGEST.get(key[:2])
-        _DISPUTES[key] = C.Disputes(headers, items, *rng, largest_claim=largest)
+        _DISPUTES[key] = C.Disputes(*_tables(spark, sf_dir), *rng)
     return _DISPUTES[key]
 
 
@@ -151,7 +132,7 @@ def q12_items_by_status(spark, sf_dir):
 
 def q13_items_t2_mixed(spark, sf_dir):
     d = _disputes(spark, sf_dir)
-    return I.items_of_category(d.headers, d.items, ["T2", "Mixed"], largest_claim=d.largest_claim)
+    return I.items_of_category(d.headers, d.items, ["T2", "Mixed"])
 
 
 def q14_payer_chart_filter(spark, sf_dir):
@@ -160,7 +141,7 @@ def q14_payer_chart_filter(spark, sf_dir):
 
 
 def q15_invoice_summary(spark, sf_dir):
-    summary = R.summary_rows(_disputes(spark, sf_dir, H1).invoices)
+    summary = R.summary_rows(_disputes(spark, sf_dir).invoices)
     return R.report_columns(summary)
 
 
@@ -169,6 +150,10 @@ def q16_category_shares(spark, sf_dir):
 
 
 def q17_summary_detail(spark, sf_dir):
+    return _disputes(spark, sf_dir).report()
+
+
+def q17r_summary_detail_range(spark, sf_dir):
     return _disputes(spark, sf_dir, H1).report()
 
 
@@ -216,7 +201,7 @@ def q23b_search_balance(spark, sf_dir):
 
 
 def q24_display(spark, sf_dir):
-    summary = R.summary_rows(_disputes(spark, sf_dir, H1).invoices)
+    summary = R.summary_rows(_disputes(spark, sf_dir).invoices)
     return summary.select(
         "invoice_label",
         "claim_id",
@@ -231,19 +216,21 @@ def q24_display(spark, sf_dir):
 
 def q25_report_export(spark, sf_dir):
     path = scratch_path(spark, "report-export")
-    rows = _disputes(spark, sf_dir, H1).report_rows()
-    export_report(rows, path)
-    # read back with the written schema (no inference job); category comes from the directories
-    return spark.read.schema(display_headings(rows, keep=["category"]).schema).parquet(path)
+    d = _disputes(spark, sf_dir)
+    shown = display_headings(d.report_rows().withColumn("sheet", F.lit("")), keep=["sheet"])
+    if not C.report(*_tables(spark, sf_dir), path):
+        return shown.limit(0)  # nothing to export: nothing written
+    # read back with the written schema (no inference job); the sheet comes from the directories
+    return spark.read.schema(shown.schema).parquet(path)
 
 
 def q26_search_export(spark, sf_dir):
     path = scratch_path(spark, "search-export")
-    res = _search(spark, sf_dir)
-    report = res.report
-    if not export_search(report, path, probe=res.found):
-        return display_headings(report)  # no hits: nothing written, same (empty) table
-    return spark.read.schema(display_headings(report).schema).parquet(path)
+    d = _disputes(spark, sf_dir)
+    shown = display_headings(d.report_rows().withColumn("sheet", F.lit("")), keep=["sheet"])
+    if not C.search_report(spark, *_tables(spark, sf_dir), SEARCH_TEXT, path):
+        return shown.limit(0)  # no hits: nothing written
+    return spark.read.schema(shown.schema).parquet(path)
 
 
 def q27g_choose_grain(spark, sf_dir):
@@ -259,15 +246,43 @@ def q27y_intake_year(spark, sf_dir):
 
 
 def q27m_intake_month(spark, sf_dir):
-    return K.intake_series(_disputes(spark, sf_dir, H1).invoices, "month")
+    return K.intake_series(_disputes(spark, sf_dir).invoices, "month")
 
 
 def q27d_intake_day(spark, sf_dir):
-    return K.intake_series(_disputes(spark, sf_dir, MAR).invoices, "day")
+    return K.intake_series(_disputes(spark, sf_dir).invoices, "day")
+
+
+def q27gm_choose_grain_month(spark, sf_dir):
+    return K.choose_grain(_disputes(spark, sf_dir, H1).invoices)
+
+
+def q27gd_choose_grain_day(spark, sf_dir):
+    return K.choose_grain(_disputes(spark, sf_dir, MAR).invoices)
 
 
 def q28_dashboard_scalars(spark, sf_dir):
-    return K.dashboard_scalars(_disputes(spark, sf_dir, H1).invoices)
+    return K.dashboard_scalars(_disputes(spark, sf_dir).invoices)
+
+
+def q29_loaded_tables(spark, sf_dir):
+    """S1 on stored tables as users have them: original column names in another order, decimal money, day timestamps."""
+    headers, items = _tables(spark, sf_dir)
+    root = scratch_path(spark, "foreign")
+    original = {v: k for k, v in LEGACY_COLUMNS.items()}
+    for df, name, money in ((headers, "invoice_headers", "open_balance"), (items, "dispute_items", "disputed_value")):
+        turned = df.select(*reversed(df.columns)).withColumn(money, F.col(money).cast("decimal(18,2)"))
+        turned.withColumnsRenamed({c: original[c] for c in turned.columns}).write.parquet(f"{root}/{name}.parquet")
+    return C.Disputes(*load_tables(spark, root)).base
+
+
+def q30_dashboard(spark, sf_dir):
+    """Every KPI table, all from one stored invoice relation."""
+    return C.dashboard(*_tables(spark, sf_dir), reliable=True).materialize().long()
+
+
+def q30r_dashboard_range(spark, sf_dir):
+    return C.dashboard(*_tables(spark, sf_dir), *H1, reliable=True).materialize().long()
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -280,15 +295,16 @@ _HEADERS_SQL = """
 invoice_headers AS (
   SELECT o.o_orderkey AS claim_id,
          CASE WHEN o.o_orderkey % 50 = 0 THEN NULL ELSE concat('F', substr(o.o_orderpriority, 1, 1)) END AS series,
-         o.o_custkey AS invoice_no,
-         CASE WHEN o.o_orderkey % 97 = 0 THEN NULL ELSE n.n_name END AS payer,
+         o.o_custkey + CASE WHEN copy = 1 AND o.o_orderkey % 10 IN (0, 3) THEN 1000000000 ELSE 0 END AS invoice_no,
+         CASE WHEN o.o_orderkey % 97 = 0 THEN NULL WHEN copy = 1 THEN concat('A', n.n_name) ELSE n.n_name END AS payer,
          o.o_orderstatus AS dispute_type,
-         CASE WHEN o.o_orderkey % 41 = 0 THEN NULL ELSE o.o_totalprice END AS open_balance,
+         CASE WHEN o.o_orderkey % 41 = 0 THEN NULL ELSE o.o_totalprice + copy * 100 END AS open_balance,
          CASE WHEN o.o_orderkey % 211 = 0 THEN NULL
               ELSE o.o_orderdate + to_seconds(o.o_orderkey * 7 % 86400) END AS notified_on
   FROM orders o
   JOIN customer c ON o.o_custkey = c.c_custkey
   JOIN nation n ON c.c_nationkey = n.n_nationkey
+  JOIN (VALUES (0), (1)) v(copy) ON copy = 0 OR o.o_orderkey % 10 IN (0, 3, 4, 7)
 )"""
 
 _ITEMS_SQL = """
@@ -332,11 +348,14 @@ def _base_sql(rng=(None, None), name: str = "base") -> str:
 
 _LABEL = "coalesce(series, '') || coalesce(CAST(invoice_no AS VARCHAR), '')"
 
+# "First" header values: all four from the header with the smallest tuple, nulls first.
+_FIRST = "ORDER BY payer NULLS FIRST, notified_on NULLS FIRST, open_balance NULLS FIRST, dispute_type NULLS FIRST"
+
 _INVOICES_SQL = f"""
 inv AS (
   SELECT series, invoice_no, claim_id, {_LABEL} AS invoice_label,
-         min(payer) AS payer, min(notified_on) AS notified_on, min(open_balance) AS open_balance,
-         min(dispute_type) AS dispute_type, min(disputed_on) AS disputed_on, max(answered_on) AS answered_on,
+         first(payer {_FIRST}) AS payer, first(notified_on {_FIRST}) AS notified_on,
+         first(open_balance {_FIRST}) AS open_balance, first(dispute_type {_FIRST}) AS dispute_type, min(disputed_on) AS disputed_on, max(answered_on) AS answered_on,
          count(*) AS total_items,
          count(*) FILTER (WHERE batch_no <> 0 AND filed_on IS NOT NULL) AS items_batch_filed,
          count(*) FILTER (WHERE batch_no <> 0 AND filed_on IS NULL) AS items_batch_unfiled,
@@ -399,6 +418,12 @@ def _ids_cte() -> str:
     return _IDS_SQL.replace("'{text}'", f"({literal})")
 
 
+def _shares_cte(sql: str) -> str:
+    """The statements of q16 as further common tables, the last one named ``shares``."""
+    tables, select = sql.rsplit("\nSELECT chart,", 1)
+    return f"{tables}, shares AS (SELECT chart,{select})"
+
+
 def _oracle() -> dict[str, str]:
     all_base = _with(_HEADERS_SQL, _ITEMS_SQL, _base_sql())
     h1_base = _with(_HEADERS_SQL, _ITEMS_SQL, _base_sql(H1))
@@ -477,7 +502,7 @@ WHERE EXISTS (SELECT 1 FROM cat c WHERE c.claim_id = b.claim_id AND c.series IS
     q["q14_payer_chart_filter"] = all_inv + f""",
 top AS ({top_count})
 SELECT * FROM top WHERE payer IN ({payers}) AND n_invoices >= {CHART_MIN}"""
-    q["q15_invoice_summary"] = h1_inv + f"\nSELECT {_SUMMARY_COLS} FROM cat"
+    q["q15_invoice_summary"] = all_inv + f"\nSELECT {_SUMMARY_COLS} FROM cat"
     t, all_title = CATEGORY_TITLES, ALL_NOT_FILED_TITLE
     q["q16_category_shares"] = all_inv + f""",
 counts AS (
@@ -500,7 +525,8 @@ SELECT chart, category, label,
        CAST(n AS BIGINT) AS n_invoices,
        CASE WHEN whole > 0 THEN CAST((n * 2000 + whole) // (whole * 2) AS DOUBLE) / 10 END AS pct
 FROM slices WHERE chart = 'general' OR n > 0"""
-    q["q17_summary_detail"] = h1_inv + f"""
+    for key, inv in (("q17_summary_detail", all_inv), ("q17r_summary_detail_range", h1_inv)):
+        q[key] = inv + f"""
 SELECT {_SUMMARY_COLS} FROM cat
 UNION ALL
 SELECT {_DETAIL_COLS} FROM base"""
@@ -548,7 +574,7 @@ SELECT {_DETAIL_COLS} FROM found_items"""
 SELECT pos, invoice_label FROM ids WHERE invoice_label NOT IN (SELECT invoice_label FROM found) ORDER BY pos"""
     q["q23b_search_balance"] = search + f"""
 SELECT coalesce({_MONEY.format('open_balance')}, 0) AS balance FROM found"""
-    q["q24_display"] = h1_inv + """
+    q["q24_display"] = all_inv + """
 SELECT invoice_label, claim_id,
        coalesce(upper(substr(payer, 1, 1)) || lower(substr(payer, 2)), '') AS payer_title,
        coalesce(strftime(notified_on, '%d/%m/%Y'), '') AS notified_on,
@@ -563,7 +589,8 @@ FROM cat"""
         f"CASE row_kind WHEN 'summary' THEN '{ROW_KIND_TEXT['summary']}' ELSE '{ROW_KIND_TEXT['detail']}' END"
         f' AS "{EXPORT_HEADINGS["row_kind"]}"'
     )
-    q["q25_report_export"] = h1_inv + f""",
+    sheet = "CASE category " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in SHEET_NAMES.items()) + " END AS sheet"
+    q["q25_report_export"] = all_inv + f""",
 rows AS (
   SELECT {_SUMMARY_COLS}, category FROM cat
   UNION ALL
@@ -572,16 +599,16 @@ rows AS (
         JOIN cat c ON b.claim_id = c.claim_id AND b.series IS NOT DISTINCT FROM c.series
                    AND b.invoice_no IS NOT DISTINCT FROM c.invoice_no) x
 )
-SELECT {shown}, {kind}, category FROM rows"""
+SELECT {shown}, {kind}, {sheet} FROM rows"""
     q["q26_search_export"] = q["q22_search_found"].replace(
         f"SELECT {_SUMMARY_COLS} FROM rep_found\nUNION ALL\nSELECT {_DETAIL_COLS} FROM found_items",
-        f"""SELECT {shown}, {kind} FROM (
+        f"""SELECT {shown}, {kind}, '{SEARCH_SHEET}' AS sheet FROM (
 SELECT {_SUMMARY_COLS} FROM rep_found
 UNION ALL
 SELECT {_DETAIL_COLS} FROM found_items)""",
     )
     day = "notified_on"
-    q["q28_dashboard_scalars"] = h1_inv + f""",
+    q["q28_dashboard_scalars"] = all_inv + f""",
 s AS (
   SELECT count(*) FILTER (WHERE category = 'T1') AS n_t1, count(*) FILTER (WHERE category = 'T2') AS n_t2,
          count(*) FILTER (WHERE category = 'T3') AS n_t3, count(*) FILTER (WHERE category = 'T4') AS n_t4,
@@ -596,7 +623,8 @@ SELECT *, n_t1 + n_t2 + n_t3 + n_t4 + n_mixed AS categorized_invoices,
        total_invoices = n_t1 + n_t2 + n_t3 + n_t4 + n_mixed AS consistent,
        CASE WHEN span_days > 730 THEN 'year' WHEN span_days > 90 THEN 'month' ELSE 'day' END AS grain
 FROM s"""
-    q["q27g_choose_grain"] = all_inv + f"""
+    for key, inv in (("q27g_choose_grain", all_inv), ("q27gm_choose_grain_month", h1_inv), ("q27gd_choose_grain_day", mar_inv)):
+        q[key] = inv + f"""
 SELECT date_diff('day', min({day}), max({day})) AS span_days,
        CASE WHEN date_diff('day', min({day}), max({day})) > 730 THEN 'year'
             WHEN date_diff('day', min({day}), max({day})) > 90 THEN 'month' ELSE 'day' END AS grain
@@ -608,12 +636,38 @@ SELECT CAST(date_trunc(g.grain, c.{day}) AS DATE) AS bucket, g.grain, count(*) A
 FROM cat c, g WHERE c.{day} IS NOT NULL GROUP BY 1, 2"""
     for key, inv, grain in (
         ("q27y_intake_year", all_inv, "year"),
-        ("q27m_intake_month", h1_inv, "month"),
-        ("q27d_intake_day", mar_inv, "day"),
+        ("q27m_intake_month", all_inv, "month"),
+        ("q27d_intake_day", all_inv, "day"),
     ):
         q[key] = inv + f"""
 SELECT CAST(date_trunc('{grain}', {day}) AS DATE) AS bucket, count(*) AS n_invoices
 FROM cat WHERE {day} IS NOT NULL GROUP BY 1"""
+    q["q29_loaded_tables"] = q["q02_base_items"]
+    shares = q["q16_category_shares"].removeprefix(all_inv)
+    for key, inv in (("q30_dashboard", all_inv), ("q30r_dashboard_range", h1_inv)):
+        q[key] = inv + f""",
+pc AS ({top_count}),
+pb AS (SELECT payer, {_MONEY.format('open_balance')} AS total_balance FROM cat WHERE {not_filed} GROUP BY payer
+       ORDER BY total_balance DESC, payer ASC NULLS FIRST LIMIT 15),
+span AS (SELECT date_diff('day', min({day}), max({day})) AS d FROM cat),
+g AS (SELECT CASE WHEN d > 730 THEN 'year' WHEN d > 90 THEN 'month' ELSE 'day' END AS grain FROM span)
+{_shares_cte(shares)}
+SELECT 'scalar' AS kpi, 'total_invoices' AS key, count(*)::DOUBLE AS value FROM cat
+UNION ALL SELECT 'scalar', 'categorized_invoices', count(*)::DOUBLE FROM cat WHERE category IN ('T1', 'T2', 'T3', 'T4', 'Mixed')
+UNION ALL SELECT 'scalar', 'total_balance', coalesce({_MONEY.format('open_balance')}, 0) FROM cat
+UNION ALL SELECT 'scalar', 'filed_balance', coalesce({_MONEY.format("CASE WHEN category = 'T1' THEN open_balance END")}, 0) FROM cat
+UNION ALL SELECT 'scalar', 'not_filed_balance', coalesce({_MONEY.format("CASE WHEN category <> 'T1' THEN open_balance END")}, 0) FROM cat
+UNION ALL SELECT 'scalar', 'span_days', d::DOUBLE FROM span
+UNION ALL SELECT 'category', category, count(*)::DOUBLE FROM cat GROUP BY category
+UNION ALL SELECT 'payer_count', payer, n_invoices::DOUBLE FROM pc
+UNION ALL SELECT 'payer_balance', payer, total_balance FROM pb
+UNION ALL SELECT 'status', b.status, count(*)::DOUBLE
+  FROM base b JOIN cat c
+    ON b.claim_id = c.claim_id AND b.series IS NOT DISTINCT FROM c.series AND b.invoice_no IS NOT DISTINCT FROM c.invoice_no
+  WHERE c.{not_filed} GROUP BY b.status
+UNION ALL SELECT 'intake_' || g.grain, CAST(CAST(date_trunc(g.grain, c.{day}) AS DATE) AS VARCHAR), count(*)::DOUBLE
+  FROM cat c, g WHERE c.{day} IS NOT NULL GROUP BY ALL
+UNION ALL SELECT 'share_' || chart, category, pct FROM shares"""
     return q
 
 

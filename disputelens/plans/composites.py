@@ -7,7 +7,7 @@ what to show or write.
 from __future__ import annotations
 
 from dataclasses import dataclass, field
-from functools import cached_property
+from functools import cached_property, reduce
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -18,7 +18,8 @@ from ..operators import kpis as K
 from ..operators import reports as R
 from ..operators import search as S
 from ..schema import BASE_COLUMNS, PAGE_SIZE, ROW_DETAIL, TOP_N
-from ..session import ensure_checkpoint_dir
+from ..session import checkpointed
+from ..sources.export import export_report, export_search
 
 
 @dataclass
@@ -34,7 +35,6 @@ class Disputes:
     items_raw: DataFrame
     start: object = None
     end: object = None
-    largest_claim: int | None = None  # items of the largest claim, when measured on the stored tables
 
     @cached_property
     def headers(self) -> DataFrame:
@@ -42,7 +42,9 @@ class Disputes:
 
     @cached_property
     def items(self) -> DataFrame:
-        return B.clean_items(self.items_raw)
+        """Valid items; with a date range only those of the range's claims."""
+        items = B.clean_items(self.items_raw)
+        return items if self.start is None and self.end is None else I.in_claims(items, self.headers)
 
     @cached_property
     def base(self) -> DataFrame:
@@ -55,7 +57,7 @@ class Disputes:
         return I.invoices(self.headers, self.items)
 
     def labelled_items(self) -> DataFrame:
-        return I.label_items(self.headers, self.items, largest_claim=self.largest_claim)
+        return I.label_items(self.headers, self.items)
 
     def report(self) -> DataFrame:
         """P6 over the whole range: summary + detail rows, sorted, 17 columns."""
@@ -93,8 +95,7 @@ class Dashboard:
 
     def materialize(self) -> "Dashboard":
         if self.reliable and self._checkpointed is None:
-            ensure_checkpoint_dir(self.disputes.headers_raw.sparkSession)
-            self._checkpointed = self.disputes.invoices.checkpoint(eager=True)
+            self._checkpointed = checkpointed(self.disputes.invoices)
         elif not self.reliable and self._persisted is None:
             self._persisted = self.disputes.invoices.persist(StorageLevel.MEMORY_AND_DISK)
         return self
@@ -155,6 +156,22 @@ class Dashboard:
             "shares": self.shares(),
         }
 
+    def long(self) -> DataFrame:
+        """Every KPI as one table ``(kpi, key, value)``; counts as numbers, a null payer as null key."""
+        s = self.scalars()
+        names = ["total_invoices", "categorized_invoices", "total_balance", "filed_balance", "not_filed_balance", "span_days"]
+        pairs = ", ".join(f"'{n}', CAST({n} AS DOUBLE)" for n in names)
+        parts = [
+            s.selectExpr(f"stack({len(names)}, {pairs}) AS (key, value)").selectExpr("'scalar' AS kpi", "key", "value"),
+            self.category_counts().selectExpr("'category' AS kpi", "category AS key", "CAST(n_invoices AS DOUBLE) AS value"),
+            self.top_payers_by_count().selectExpr("'payer_count' AS kpi", "payer AS key", "CAST(n_invoices AS DOUBLE) AS value"),
+            self.top_payers_by_balance().selectExpr("'payer_balance' AS kpi", "payer AS key", "total_balance AS value"),
+            self.items_by_status().selectExpr("'status' AS kpi", "status AS key", "CAST(n_items AS DOUBLE) AS value"),
+            self.intake().selectExpr("concat('intake_', grain) AS kpi", "CAST(bucket AS STRING) AS key", "CAST(n_invoices AS DOUBLE) AS value"),
+            self.shares().selectExpr("concat('share_', chart) AS kpi", "category AS key", "pct AS value"),
+        ]
+        return reduce(DataFrame.unionByName, parts)
+
 
 def dashboard(
     headers: DataFrame, items: DataFrame, start=None, end=None, top_n: int = TOP_N, reliable: bool = False
@@ -184,14 +201,15 @@ def paged_summaries(
     row) selects the next page by key instead of by number, at the same cost
     for any depth.
     Returns ``(rows, totals)``: rows in report layout plus
-    ``category``, dates as text, null text as ''; totals with page, row
-    count, page count and the money total of all filtered rows.
+    ``category``, dates as text, null text as ''; totals with page (null for a
+    page found by key), row count, page count and the money total of all
+    filtered rows.
     """
     d = Disputes(headers, items, start, end)
     summaries = R.by_payer(R.by_category(R.summary_rows(d.invoices), categories), payer)
     picked = R.page(summaries, page, size) if after is None else R.page_after(summaries, after, size)
     rows = R.report_columns(picked, extra=["category"])
-    return R.format_page_rows(rows), R.page_totals(summaries, page, size)
+    return R.format_page_rows(rows), R.page_totals(summaries, page if after is None else None, size)
 
 
 # ---------------------------------------------------------------- R3 search
@@ -200,6 +218,9 @@ def paged_summaries(
 class SearchResult:
     """R3 result; each table is built on first access.
 
+    The matched headers and the items of their claims are stored once (in the
+    shared checkpoint folder); every table below reads only these.
+
     ``report``   found invoices: summary + detail rows, sorted
     ``missing``  (pos, invoice_label) of searched labels without a hit
     ``balance``  one row: open balance of the found invoices
@@ -213,18 +234,22 @@ class SearchResult:
         self._labelled = S.label_headers(d.headers)
         self._items = d.items
 
+    @cached_property
+    def _matched(self) -> DataFrame:
+        return checkpointed(S.matched_headers(self._labelled, self.ids, self._small))
+
     @cached_property
     def _its(self) -> DataFrame:
-        return S.matched_items(self._items, self._labelled, self.ids, self._small)
+        return checkpointed(S.matched_items(self._items, self._matched))
 
     @cached_property
     def found(self) -> DataFrame:
-        return S.found_invoices(self._its, self._labelled, self.ids, self._small)
+        return S.found_invoices(self._its, self._matched)
 
     @cached_property
     def report(self) -> DataFrame:
         summary = R.summary_rows(S.repeat_counters(self.found, self.ids)).drop("category")
-        detail = R.detail_rows(S.search_found(self._its, self._labelled, self.ids, self._small))
+        detail = R.detail_rows(S.search_found(self._its, self._matched))
         return R.report_columns(R.report_order(R.stack(summary, detail)))
 
     @cached_property
@@ -249,6 +274,27 @@ def search(spark: SparkSession, headers: DataFrame, items: DataFrame, ids) -> Se
     return SearchResult(spark, headers, items, ids)
 
 
+# ---------------------------------------------------------------- R5 downloads
+
+
+def report(headers: DataFrame, items: DataFrame, path: str, start=None, end=None, fmt: str = "parquet") -> bool:
+    """The categorised report of a date range below ``path``, one directory per sheet.
+
+    False, and nothing written, when the range has no item.
+    """
+    rows = Disputes(headers, items, start, end).report_rows()
+    if rows.isEmpty():
+        return False
+    export_report(rows, path, fmt)
+    return True
+
+
+def search_report(spark: SparkSession, headers: DataFrame, items: DataFrame, ids, path: str, fmt: str = "parquet") -> bool:
+    """The report of a search below ``path`` as one sheet; False, and nothing written, without a hit."""
+    res = SearchResult(spark, headers, items, ids)
+    return export_search(res.report, path, fmt, probe=res.found)
+
+
 # ---------------------------------------------------------------- R4 claim detail
 
 
@@ -278,6 +324,8 @@ __all__ = [
     "paged_summaries",
     "SearchResult",
     "search",
+    "report",
+    "search_report",
     "claim_detail",
     "available_range",
 ]

@@ -197,6 +197,7 @@ SHEET_NAMES = {
     "T4": "Sin CC y Con FR",
     "Mixed": "Mixtas",
 }
+SEARCH_SHEET = "Resultado Búsqueda"
 
 # Category -> page title of the invoice list.
 CATEGORY_TITLES = {
@@ -219,7 +220,6 @@ NOT_FILED_SLICES = {
 }
 
 # Column names of the original database tables -> names used here.
-LEGACY_TABLES = {"glo_cab_test": "invoice_headers", "glo_det": "dispute_items"}
 LEGACY_COLUMNS = {
     "fechanotificacion": "notified_on",
     "tipo": "dispute_type",

@@ -29,17 +29,21 @@ RECOMMENDED_CONF = {
 
 
 def build_session(
-    master: str = "local[8]", shuffle_partitions: int = 8, app_name: str = "disputelens", extra: dict | None = None
+    master: str | None = None, shuffle_partitions: int | None = None, app_name: str = "disputelens", extra: dict | None = None
 ) -> SparkSession:
-    """Local session with the recommended settings (tests, bench, examples)."""
-    builder = SparkSession.builder.master(master).appName(app_name)
-    for key, value in {**RECOMMENDED_CONF, "spark.sql.shuffle.partitions": str(shuffle_partitions)}.items():
-        builder = builder.config(key, value)
-    for key, value in (extra or {}).items():
-        builder = builder.config(key, value)
+    """A session with the recommended settings.
+
+    Master and shuffle partitions are those of the submission unless given.
+    """
+    settings = dict(RECOMMENDED_CONF)
+    if shuffle_partitions is not None:
+        settings["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
+    settings |= extra or {}
+    builder = SparkSession.builder.appName(app_name).config(map=settings)
+    if master is not None:
+        builder = builder.master(master)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    ensure_checkpoint_dir(spark)
     return spark
 
 
@@ -47,18 +51,27 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
     On a cluster this is set by the job submission and points at shared
-    storage; it is only read here. When it is unset (local runs, tests) a
-    private folder is registered as the context's checkpoint directory (the
-    setting itself cannot change once the session runs).
+    storage; it is only read here. When it is unset, a local master (one
+    machine) gets a private folder as the context's checkpoint directory; on
+    any other master that folder would exist on the driver alone, so this
+    raises ``RuntimeError``.
     """
     current = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if current:
         return current
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     path = tempfile.mkdtemp(prefix="disputelens-ckpt-")
     spark.sparkContext.setCheckpointDir(path)
     return spark.sparkContext.getCheckpointDir() or path
 
 
+def checkpointed(df):
+    """``df`` computed once and kept in the shared checkpoint folder; its lineage ends there."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared checkpoint folder."""
     root = ensure_checkpoint_dir(spark)

@@ -1,9 +1,9 @@
 """Writing reports.
 
 The original writes a spreadsheet with one sheet per category. Here a sheet
-becomes a partition directory (``category=T1`` ...), so every executor
+becomes a partition directory (``sheet=Radicadas`` ...), so every executor
 writes its own files in parallel and empty categories simply never appear.
-Rows are range-sorted by (category, report order) before the write, so the
+Rows are range-sorted by (sheet, report order) before the write, so the
 files of each directory, read in name order, keep the report order.
 """
 
@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.reports import SORT_KEYS, TIE_BREAKERS, order_columns
-from ..schema import EXPORT_HEADINGS, ITEM_SCREEN_HEADINGS, REPORT_COLUMNS, ROW_KIND_TEXT, SUMMARY_SCREEN_HEADINGS
+from ..schema import EXPORT_HEADINGS, ITEM_SCREEN_HEADINGS, REPORT_COLUMNS, ROW_KIND_TEXT, SEARCH_SHEET, SHEET_NAMES, SUMMARY_SCREEN_HEADINGS
 
 
 def row_kind_text(c: str = "row_kind"):
@@ -21,6 +21,12 @@ def row_kind_text(c: str = "row_kind"):
     return F.create_map(*pairs)[F.col(c)]
 
 
+def sheet_name(c: str = "category"):
+    """The sheet of a category."""
+    pairs = [x for k, v in SHEET_NAMES.items() for x in (F.lit(k), F.lit(v))]
+    return F.create_map(*pairs)[F.col(c)]
+
+
 def display_headings(report: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """Report columns renamed to their export headings; row kinds as display text.
 
@@ -51,29 +57,31 @@ def _writer(df: DataFrame, fmt: str, mode: str):
 
 
 def export_report(rows: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite") -> str:
-    """Write the categorised report, one directory per non-empty category.
+    """Write the categorised report, one directory per non-empty sheet (category).
 
     ``rows`` are unsorted report rows with the sort keys and ``category``
     (``Disputes.report_rows()``).
     """
-    ordered = rows.orderBy(F.col("category"), *order_columns(SORT_KEYS + TIE_BREAKERS))
-    out = display_headings(ordered, keep=["category"])
-    _writer(out, fmt, mode).partitionBy("category").save(path)
+    named = rows.withColumn("sheet", sheet_name())
+    ordered = named.orderBy(F.col("sheet"), *order_columns(SORT_KEYS + TIE_BREAKERS))
+    out = display_headings(ordered, keep=["sheet"])
+    _writer(out, fmt, mode).partitionBy("sheet").save(path)
     return path
 
 
 def export_search(
     report: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite", probe: DataFrame | None = None
 ) -> bool:
-    """S3: write the search report as one table; nothing is written when there are no hits.
+    """S3: write the search report as the sheet ``SEARCH_SHEET``; nothing is written when there are no hits.
 
     ``probe`` is a cheaper relation that is empty exactly when the report is
     (the found invoices); the emptiness check then does not run the sort.
     """
     if (probe if probe is not None else report).isEmpty():
         return False
-    _writer(display_headings(report), fmt, mode).save(path)
+    out = display_headings(report.withColumn("sheet", F.lit(SEARCH_SHEET)), keep=["sheet"])
+    _writer(out, fmt, mode).partitionBy("sheet").save(path)
     return True
 
 
-__all__ = ["display_headings", "screen_headings", "export_report", "export_search", "row_kind_text"]
+__all__ = ["display_headings", "screen_headings", "export_report", "export_search", "row_kind_text", "sheet_name"]

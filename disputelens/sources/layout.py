@@ -7,8 +7,14 @@ join, ``claim_stats`` and the join of the two need no shuffle of the large
 tables at all. This pays off when the same tables serve many queries
 (dashboards); writing the layout costs one shuffle of each table.
 
+A bucket is read by one task and never split, so this layout is for data in
+which no claim dominates; with a dominating claim leave the tables as they
+are, and adaptive execution splits the claim. The choice is the caller's;
+nothing here switches by itself, and the registered queries use plain tables.
+
 The tables are written as external catalog tables at a path on shared
-storage (by default below ``spark.checkpoint.dir``).
+storage (by default below ``spark.checkpoint.dir``); ``drop_bucketed`` removes
+them from the catalog.
 """
 
 from __future__ import annotations
@@ -16,10 +22,8 @@ from __future__ import annotations
 import os
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from .tables import load_tables
 
 
 def save_bucketed(
@@ -49,50 +53,16 @@ def load_bucketed(spark: SparkSession, prefix: str = "disputes") -> tuple[DataFr
     return spark.table(f"{prefix}_invoice_headers"), spark.table(f"{prefix}_dispute_items")
 
 
-def bucket_count(df: DataFrame, target_bytes: int = 512 << 20, low: int = 8, high: int = 65536) -> int:
+def drop_bucketed(spark: SparkSession, prefix: str = "disputes") -> None:
+    """Remove both tables from the catalog; their files stay at their path."""
+    for name in ("invoice_headers", "dispute_items"):
+        spark.sql(f"DROP TABLE IF EXISTS {prefix}_{name}")
+
+
+def bucket_count(df: DataFrame, target_bytes: int = 512 << 20, low: int = 8) -> int:
     """Buckets for ``df`` so that one bucket holds about ``target_bytes`` (Spark's own size estimate)."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return max(low, min(high, -(-size // target_bytes)))
-
-
-def largest_claim(df: DataFrame) -> tuple[int, int]:
-    """(rows of the largest claim, all rows): one aggregate, partial on the map side."""
-    per_claim = df.groupBy("claim_id").agg(F.count(F.lit(1)).alias("n"))
-    row = per_claim.agg(F.max("n").alias("largest"), F.sum("n").alias("total")).first()
-    return int(row.largest or 0), int(row.total or 0)
-
-
-def materialize_bucketed(
-    headers: DataFrame, items: DataFrame, prefix: str, path: str | None = None
-) -> tuple[DataFrame, DataFrame, int]:
-    """Write both tables once, bucketed by claim_id when that is safe; return them read back
-    with the item count of the largest claim (all items, before the status filter).
-
-    A bucket is read by one task and never re-shuffled, so a claim holding
-    more than twice a bucket's fair share of the items (or of the header
-    rows) would make one task
-    carry it. In that case the tables are stored as plain Parquet and the
-    joins shuffle, where adaptive execution splits the hot claim. The write
-    cuts the lineage: later queries start from the stored tables on shared
-    storage.
-    """
-    spark = headers.sparkSession
-    # Sized on the items (a plain scan, so Spark's estimate is the file size);
-    # the header estimate goes through joins and is not meaningful without CBO.
-    buckets = bucket_count(items)
-    dominant = False
-    largest_items = 0
-    for df in (items, headers):  # hot claims in items, or many header copies of one claim
-        largest, total = largest_claim(df)
-        largest_items = largest_items or largest
-        dominant = dominant or (total > 0 and largest * buckets > 2 * total)
-    if dominant:
-        root = path or scratch_path(spark, f"{prefix}-plain")
-        headers.write.mode("overwrite").parquet(os.path.join(root, "invoice_headers.parquet"))
-        items.write.mode("overwrite").parquet(os.path.join(root, "dispute_items.parquet"))
-        return (*load_tables(spark, root), largest_items)
-    save_bucketed(headers, items, buckets, prefix, path)
-    return (*load_bucketed(spark, prefix), largest_items)
-
-
-__all__ = ["save_bucketed", "load_bucketed", "bucket_count", "largest_claim", "materialize_bucketed"]
+    return max(low, -(-size // target_bytes))
+
+
+__all__ = ["save_bucketed", "load_bucketed", "drop_bucketed", "bucket_count"]

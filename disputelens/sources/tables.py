@@ -48,18 +48,22 @@ def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
 def load_tables(
     spark: SparkSession, path: str, fmt: str = "parquet", options: dict | None = None
 ) -> tuple[DataFrame, DataFrame]:
-    """Read ``invoice_headers`` and ``dispute_items`` below ``path`` with the declared schemas.
+    """Read ``invoice_headers`` and ``dispute_items`` below ``path``.
 
-    Any file source works (``parquet``, ``orc``, ``csv``, ``json``); CSV files
-    are read with a header line unless ``options`` say otherwise.
+    Files are read with the schema they carry; columns are then found by name
+    (the names used here or the original database names), cast to the declared
+    types, and a missing one raises ``ValueError``. Any file source works
+    (``parquet``, ``orc``, ``csv``, ``json``). CSV files need a header line and
+    are read as text by its names, unless ``options`` say otherwise.
     """
     opts = {"header": "true"} if fmt == "csv" else {}
     opts.update(options or {})
 
     def read(name, schema):
-        return spark.read.format(fmt).options(**opts).schema(schema).load(os.path.join(path, f"{name}.{fmt}"))
+        df = spark.read.format(fmt).options(**opts).load(f"{path.rstrip('/')}/{name}.{fmt}")
+        return conform(from_legacy_columns(df), schema)
 
-    return conform(read("invoice_headers", HEADER_SCHEMA), HEADER_SCHEMA), conform(read("dispute_items", ITEM_SCHEMA), ITEM_SCHEMA)
+    return read("invoice_headers", HEADER_SCHEMA), read("dispute_items", ITEM_SCHEMA)
 
 
 def from_legacy_columns(df: DataFrame) -> DataFrame:
@@ -73,10 +77,15 @@ def load_jdbc_tables(
     """Read both tables from a database that uses the original column names.
 
     Filters on the returned frames (date range, claim, status) are pushed into
-    the database query by Spark's JDBC source. For big tables pass
-    ``partitionColumn``/``lowerBound``/``upperBound``/``numPartitions`` in
-    ``properties`` (claim id is the natural partition column).
+    the database query by Spark's JDBC source. ``properties`` must name
+    ``partitionColumn``, ``lowerBound``, ``upperBound`` and ``numPartitions``
+    (claim id is the natural partition column): without them Spark reads each
+    whole table through one connection in one task, so that raises.
     """
+    needed = ("partitionColumn", "lowerBound", "upperBound", "numPartitions")
+    missing = [p for p in needed if p not in properties]
+    if missing:
+        raise ValueError(f"missing properties for a partitioned read: {missing}")
     headers = from_legacy_columns(spark.read.jdbc(url, header_table, properties=properties))
     items = from_legacy_columns(spark.read.jdbc(url, item_table, properties=properties))
     return conform(headers, HEADER_SCHEMA), conform(items, ITEM_SCHEMA)
@@ -114,14 +123,18 @@ DRIVER_SCHEMAS = {
 _HEADER_EXPRS = [
     "o_orderkey AS claim_id",
     "CASE WHEN o_orderkey % 50 = 0 THEN NULL ELSE concat('F', substr(o_orderpriority, 1, 1)) END AS series",
-    "o_custkey AS invoice_no",
-    "CASE WHEN o_orderkey % 97 = 0 THEN NULL ELSE n_name END AS payer",
+    # a second invoice of the same claim, or a copy of the same invoice
+    "o_custkey + CASE WHEN copy = 1 AND o_orderkey % 10 IN (0, 3) THEN 1000000000 ELSE 0 END AS invoice_no",
+    "CASE WHEN o_orderkey % 97 = 0 THEN NULL WHEN copy = 1 THEN concat('A', n_name) ELSE n_name END AS payer",
     "o_orderstatus AS dispute_type",
-    "CASE WHEN o_orderkey % 41 = 0 THEN NULL ELSE o_totalprice END AS open_balance",
+    "CASE WHEN o_orderkey % 41 = 0 THEN NULL ELSE o_totalprice + copy * 100 END AS open_balance",
     "CASE WHEN o_orderkey % 211 = 0 THEN NULL"
     " ELSE o_orderdate + make_dt_interval(0, 0, 0, o_orderkey * 7 % 86400) END AS notified_on",
 ]
 
+# Claims ending in 0 or 3 carry a second invoice, claims ending in 4 or 7 a second header of the same invoice.
+_COPIES = "CASE WHEN o_orderkey % 10 IN (0, 3, 4, 7) THEN array(0, 1) ELSE array(0) END"
+
 _STATUS_EXPR = (
     "CASE WHEN l_partkey % 29 = 0 THEN NULL "
     + " ".join(f"WHEN l_returnflag = '{f}' AND l_linestatus = '{s}' THEN '{v}'" for f, s, v in _STATUS_BY_FLAGS)
@@ -154,7 +167,7 @@ def project_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     joined = orders.join(customer, orders.o_custkey == customer.c_custkey).join(
         F.broadcast(nation), customer.c_nationkey == nation.n_nationkey
     )
-    return joined.selectExpr(*_HEADER_EXPRS)
+    return joined.selectExpr("*", f"explode({_COPIES}) AS copy").selectExpr(*_HEADER_EXPRS)
 
 
 def project_items(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -167,13 +180,6 @@ def project_driver_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame,
     return conform(project_headers(spark, sf_dir), HEADER_SCHEMA), conform(project_items(spark, sf_dir), ITEM_SCHEMA)
 
 
-def tables_for(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Stored tables if ``path`` has them, else the projection of the driver tables."""
-    if os.path.exists(os.path.join(path, "invoice_headers.parquet")):
-        return load_tables(spark, path)
-    return project_driver_tables(spark, path)
-
-
 __all__ = [
     "conform",
     "load_tables",
@@ -182,5 +188,4 @@ __all__ = [
     "project_headers",
     "project_items",
     "project_driver_tables",
-    "tables_for",
 ]

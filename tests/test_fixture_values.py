@@ -16,37 +16,38 @@ def q(spark):
 
 
 def test_base_and_invoices(q):
-    assert q("q02_base_items").count() == 4816
-    assert q("q06_invoice_category").count() == 1432
-    assert q("q03_base_items_h1").count() == 437
+    assert q("q02_base_items").count() == 6759
+    assert q("q06_invoice_category").count() == 1722
+    assert q("q03_base_items_h1").count() == 630
 
 
 def test_balances(q):
     r = q("q09_balance_kpis").first()
-    assert (r.total_balance, r.filed_balance, r.not_filed_balance) == (348920470.67, 76798845.31, 272121625.36)
+    assert (r.total_balance, r.filed_balance, r.not_filed_balance) == (421765093.54, 114633845.96, 307131247.58)
 
 
 def test_top_payers(q):
     assert [tuple(r) for r in q("q10_top_payers_count").collect()][:3] == [
-        ("NATION_19", 98),
-        ("NATION_11", 92),
-        ("NATION_10", 72),
+        ("NATION_11", 68),
+        ("NATION_19", 66),
+        ("NATION_10", 58),
     ]
     assert [tuple(r) for r in q("q11_top_payers_balance").collect()][:3] == [
-        ("NATION_11", 23471022.70),
-        ("NATION_19", 22064084.60),
-        ("NATION_13", 17325491.93),
+        ("NATION_11", 17485112.87),
+        ("NATION_19", 14199952.85),
+        ("NATION_13", 13877505.97),
     ]
     assert q("q10_top_payers_count").count() == 15
 
 
 def test_status_and_years(q):
-    assert [r.n_items for r in q("q12_items_by_status").collect()] == [743, 716, 821, 763, 752]
-    assert [r.n_invoices for r in q("q27y_intake_year").orderBy("bucket").collect()] == [225, 215, 208, 235, 223, 202, 116]
+    assert [r.n_items for r in q("q12_items_by_status").collect()] == [1036, 1008, 1127, 1052, 1032]
+    assert [r.n_invoices for r in q("q27y_intake_year").orderBy("bucket").collect()] == [270, 262, 252, 280, 273, 237, 138]
 
 
 def test_report_page_and_detail(q):
-    assert q("q17_summary_detail").count() == 570
+    assert q("q17_summary_detail").count() == 6759 + 1722
+    assert q("q17r_summary_detail_range").count() == 787
     t = q("q18t_page_totals").first()
-    assert (t.total_rows, t.balance) == (30, 7785507.68)
-    assert q("q20_claim_detail").count() == 5
+    assert (t.total_rows, t.balance) == (17, 4856543.16)
+    assert q("q20_claim_detail").count() == 10

@@ -14,7 +14,7 @@ from disputelens.operators import kpis as K
 from disputelens.operators import reports as R
 from disputelens.operators import search as S
 from disputelens.plans import composites as C
-from disputelens.schema import EXPORT_HEADINGS, HEADER_SCHEMA, ITEM_SCHEMA
+from disputelens.schema import EXPORT_HEADINGS, HEADER_SCHEMA, ITEM_SCHEMA, SEARCH_SHEET, SHEET_NAMES
 from disputelens.session import scratch_path
 from disputelens.sources import export as E
 from disputelens.sources import tables as T
@@ -117,7 +117,7 @@ def test_filters(micro):
     assert R.by_category(s, ["T2", "T3"]).count() == 2
     assert R.by_payer(s, "EPS B").count() == 2
     assert R.by_payer(s, "eps b").count() == 0
-    assert R.filtered_balance(R.by_payer(s, "EPS B")).first().balance == 700.0
+    assert R.page_totals(R.by_payer(s, "EPS B"), 1).first().balance == 700.0
     with pytest.raises(ValueError):
         R.by_row_kind(s, "other")
 
@@ -183,17 +183,12 @@ def test_export_report(spark, micro):
     d = C.Disputes(*micro)
     path = scratch_path(spark, "test-export")
     E.export_report(d.report_rows(), path)
-    assert sorted(p for p in os.listdir(path) if p.startswith("category=")) == [
-        "category=Mixed",
-        "category=T1",
-        "category=T2",
-        "category=T3",
-        "category=T4",
-    ]
+    sheets = {r.sheet for r in spark.read.parquet(path).select("sheet").distinct().collect()}
+    assert sheets == set(SHEET_NAMES.values())
     back = spark.read.parquet(path)
     assert back.count() == 13
     assert EXPORT_HEADINGS["row_kind"] in back.columns
-    t1 = spark.read.parquet(os.path.join(path, "category=T1"))
+    t1 = spark.read.parquet(os.path.join(path, f"sheet={SHEET_NAMES['T1']}"))
     assert [r[EXPORT_HEADINGS["row_kind"]] for r in t1.collect()] == ["Detalle Ítem", "Detalle Ítem", "Resumen Factura"]
 
 
@@ -210,12 +205,68 @@ def test_load_tables_roundtrip(spark, micro):
     root = scratch_path(spark, "tables")
     headers.write.parquet(os.path.join(root, "invoice_headers.parquet"))
     items.write.parquet(os.path.join(root, "dispute_items.parquet"))
-    h, i = T.tables_for(spark, root)
+    h, i = T.load_tables(spark, root)
     assert [(f.name, f.dataType) for f in h.schema.fields] == [(f.name, f.dataType) for f in HEADER_SCHEMA.fields]
     assert [(f.name, f.dataType) for f in i.schema.fields] == [(f.name, f.dataType) for f in ITEM_SCHEMA.fields]
     assert (h.count(), i.count()) == (7, 12)
 
 
+def _stored(headers, items, root):
+    headers.write.parquet(os.path.join(root, "invoice_headers.parquet"))
+    items.write.parquet(os.path.join(root, "dispute_items.parquet"))
+
+
+def test_load_tables_by_name_and_type(spark, micro):
+    headers, items = micro
+    root = scratch_path(spark, "foreign")
+    turned = headers.select(*reversed(headers.columns)).withColumn("open_balance", F.col("open_balance").cast("decimal(18,2)"))
+    _stored(turned.withColumnRenamed("claim_id", "gl_docn"), items.withColumn("disputed_on", F.col("disputed_on").cast("timestamp")), root)
+    h, i = T.load_tables(spark, root)
+    assert rows(h) == rows(headers) and rows(i) == rows(items)
+
+
+def test_load_tables_missing_column(spark, micro):
+    headers, items = micro
+    root = scratch_path(spark, "missing")
+    _stored(headers.drop("payer"), items, root)
+    with pytest.raises(ValueError, match="payer"):
+        T.load_tables(spark, root)
+
+
+def test_load_csv_in_any_column_order(spark, micro):
+    headers, items = micro
+    root = scratch_path(spark, "csv-order")
+    headers.select(*reversed(headers.columns)).write.option("header", "true").csv(os.path.join(root, "invoice_headers.csv"))
+    items.write.option("header", "true").csv(os.path.join(root, "dispute_items.csv"))
+    h, i = T.load_tables(spark, root, "csv")
+    assert rows(h, "claim_id", "series", "open_balance") == rows(headers, "claim_id", "series", "open_balance")
+
+
+def test_range_reduces_items_below_the_aggregate(micro):
+    d = C.Disputes(*micro, "2024-01-01", "2024-01-31")
+    plan = d.invoices._jdf.queryExecution().optimizedPlan().toString()
+    after = plan[plan.index("Aggregate [claim_id") :]
+    assert "LeftSemi" in after
+    assert rows(d.invoices, "claim_id") == [(1,), (2,)]
+
+
+def test_reports(spark, micro):
+    path = scratch_path(spark, "r5")
+    assert C.report(*micro, path, "2024-01-01", "2024-01-31")
+    assert spark.read.parquet(path).count() == 5
+    assert not C.report(*micro, path + "-none", "1999-01-01", "1999-01-31") and not os.path.exists(path + "-none")
+    assert C.search_report(spark, *micro, "FCR101", path + "-search")
+    assert {r.sheet for r in spark.read.parquet(path + "-search").collect()} == {SEARCH_SHEET}
+    assert not C.search_report(spark, *micro, "NOPE", path + "-nothing") and not os.path.exists(path + "-nothing")
+
+
+def test_search_broadcast_bound_does_not_change_rows(spark, micro):
+    res = C.search(spark, *micro, "FCR100\nFCR101")
+    small = S.matched_items(res._items, res._matched)
+    large = S.matched_items(res._items, res._matched, max_claims=0)
+    assert rows(small) == rows(large) and len(rows(small)) == 5
+
+
 def test_in_date_range_pushdown(spark):
     h, _ = T.project_driver_tables(spark, "/root/testdata/sf0.001")
     plan = B.in_date_range(h, "1998-01-01", "1998-06-30")._jdf.queryExecution().optimizedPlan().toString()
@@ -231,13 +282,12 @@ def test_money_sum_order_independent(spark):
 
 def test_zero_to_null(spark):
     df = spark.createDataFrame([(0,), (5,), (None,)], "b long")
-    assert [r[0] for r in df.select(X.zero_to_null("b")).collect()] == [None, 5, None]
+    assert [r[0] for r in df.selectExpr(X.zero_to_null_sql("b")).collect()] == [None, 5, None]
 
 
 def test_flag_conditions_cover_every_item(spark):
     df = spark.createDataFrame([(0, None), (0, dt.date(2024, 1, 1)), (3, None), (3, dt.date(2024, 1, 1))], "batch_no long, filed_on date")
-    conds = X.flag_conditions()
-    out = df.select(*[F.when(c, 1).otherwise(0).alias(n) for n, c in conds.items()]).collect()
+    out = df.selectExpr(*[f"int({c}) AS {n}" for n, c in X.flag_conditions_sql().items()]).collect()
     assert all(sum(r) == 1 for r in out)
 
 
@@ -272,6 +322,8 @@ def test_checkpoint_dir_when_unset():
             return default
 
     class Context:
+        master = "local[2]"
+
         def __init__(self):
             self.dir = None
 
@@ -289,13 +341,11 @@ def test_checkpoint_dir_when_unset():
     got = ensure_checkpoint_dir(s)
     assert got.startswith("file:") and s.sparkContext.dir == got
     assert ensure_checkpoint_dir(s) == got  # reused, not recreated
-
-
-def test_zero_batch_to_null(micro):
-    headers, items = micro
-    base = C.Disputes(headers, items).base
-    out = R.zero_batch_to_null(base)
-    assert out.filter("batch_no IS NULL").count() == 4 == base.filter("batch_no = 0").count()
+    far = Session()
+    far.sparkContext = Context()
+    far.sparkContext.master = "spark://host:7077"
+    with pytest.raises(RuntimeError):
+        ensure_checkpoint_dir(far)  # the folder would exist on the driver alone
 
 
 def test_jdbc_tables_map_the_original_columns(spark, micro):
@@ -317,7 +367,10 @@ def test_jdbc_tables_map_the_original_columns(spark, micro):
         return legacy[table]
 
     with mock.patch.object(type(spark.read), "jdbc", side_effect=fake_jdbc, autospec=False):
-        h, i = T.load_jdbc_tables(spark, "jdbc:mysql://db/x", {"user": "u"})
+        with pytest.raises(ValueError, match="partitionColumn"):
+            T.load_jdbc_tables(spark, "jdbc:mysql://db/x", {"user": "u"})  # one connection for a whole table
+        split = {"partitionColumn": "gl_docn", "lowerBound": "1", "upperBound": "9", "numPartitions": "2"}
+        h, i = T.load_jdbc_tables(spark, "jdbc:mysql://db/x", {"user": "u", **split})
     assert [c[1] for c in calls] == ["glo_cab_test", "glo_det"]
     assert h.columns == [f.name for f in HEADER_SCHEMA.fields] and i.columns == [f.name for f in ITEM_SCHEMA.fields]
     assert rows(C.Disputes(h, i).invoices, "claim_id", "category") == rows(C.Disputes(*micro).invoices, "claim_id", "category")
@@ -344,6 +397,7 @@ def test_paged_summaries_by_key(micro):
     last = first.collect()[-1]
     d = C.Disputes(headers, items)
     key = d.invoices.filter(f"claim_id = {last.claim_id}").select("series", "invoice_no", "claim_id", "invoice_label").first()
-    nxt, _ = C.paged_summaries(headers, items, None, None, cats, size=2, after=tuple(key))
+    nxt, totals = C.paged_summaries(headers, items, None, None, cats, size=2, after=tuple(key))
+    assert totals.first().page is None  # the number of a page found by key is not known
     second, _ = C.paged_summaries(headers, items, None, None, cats, 2, size=2)
     assert nxt.collect() == second.collect()

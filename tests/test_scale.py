@@ -98,7 +98,7 @@ def test_filters_reach_the_scans(spark, stored):
 
 def test_columns_are_pruned(spark, stored):
     headers, items = stored
-    plan = final_plan(I.claim_categories(B.clean_items(items)))
+    plan = final_plan(I.claim_stats(B.clean_items(items)).select("claim_id", "total_items", "items_batch_filed"))
     scan = [line for line in plan.splitlines() if "FileScan parquet" in line][0]
     assert "disputed_value" not in scan and "answered_on" not in scan
 
@@ -115,8 +115,11 @@ def test_invoices_use_partial_aggregation_and_no_window(spark, stored):
 
 def test_search_broadcasts_only_bounded_lists(spark, micro):
     headers, items = micro
-    small = C.search(spark, headers, items, ["FCR100"]).report
-    assert "BroadcastExchange" in small._jdf.queryExecution().executedPlan().toString()
+    res = C.search(spark, headers, items, ["FCR100"])
+    matched = S.matched_headers(res._labelled, res.ids, True)
+    assert "BroadcastExchange" in matched._jdf.queryExecution().executedPlan().toString()
+    its = S.matched_items(res._items, res._matched)
+    assert "BroadcastExchange" in its._jdf.queryExecution().executedPlan().toString()
     ids = spark.createDataFrame([(0, "FCR100")], "pos long, raw string")
     cleaned, may_broadcast = S.clean_ids(spark, ids)
     assert not may_broadcast
@@ -142,17 +145,10 @@ def test_report_sort_splits_a_hot_invoice(spark):
 
 
 
-def test_hot_claim_isolation_gives_the_same_rows(spark, micro):
-    headers, items = micro
-    d = C.Disputes(headers, items)
-    default = rows(I.label_items(d.headers, d.items))
-    all_hot = rows(I.label_items(d.headers, d.items, hot_items=0))
-    some_hot = rows(I.label_items(d.headers, d.items, hot_items=1))
-    measured = rows(I.label_items(d.headers, d.items, largest_claim=3))  # single-join path
-    assert default == all_hot == some_hot == measured and len(default) == 8
-    plan = I.label_items(d.headers, d.items, largest_claim=3)._jdf.queryExecution().optimizedPlan().toString()
-    assert "Union" not in plan
-    t2m = I.items_of_category(d.headers, d.items, ["T2", "Mixed"], hot_items=1)
+def test_items_of_category(micro):
+    d = C.Disputes(*micro)
+    assert len(rows(I.label_items(d.headers, d.items))) == 8
+    t2m = I.items_of_category(d.headers, d.items, ["T2", "Mixed"])
     assert sorted(r.claim_id for r in t2m.collect()) == [2, 5, 5]
 
 
@@ -183,25 +179,19 @@ def test_hot_claim_label_join_is_split(spark):
         },
     ):
         d = C.Disputes(headers, items)
-        lab = I.label_items(d.headers, d.items, hot_items=1000).selectExpr("claim_id", "category", "disputed_value * 1.37 AS v")
+        lab = I.label_items(d.headers, d.items).selectExpr("claim_id", "category", "disputed_value * 1.37 AS v")
         plan = final_plan(lab)
         assert "SortMergeJoin(skew=true)" in plan
         assert lab.filter("claim_id = 1").count() == n // 3 + 1
 
 
-def test_layout_is_bucketed_only_without_a_dominant_claim(spark, micro):
-    from disputelens.sources.layout import largest_claim, materialize_bucketed
+def test_bucketed_layout_needs_no_shuffle(spark, micro):
+    from disputelens.sources.layout import drop_bucketed, load_bucketed, save_bucketed
 
     headers, items = micro
-    assert largest_claim(items) == (3, 12)
-    # 12 items, 8 buckets: claim 5 with 3 items exceeds twice the fair share (3 > 2 * 12 / 8)
-    h, i, largest = materialize_bucketed(headers, items, "skewcheck")
-    assert largest == 3
-    assert "Bucketed: true" not in i._jdf.queryExecution().executedPlan().toString()
+    save_bucketed(headers, items, 4, "layoutcheck")
+    h, i = load_bucketed(spark, "layoutcheck")
+    plan = i.groupBy("claim_id").count()._jdf.queryExecution().executedPlan().toString()
+    assert "Bucketed: true" in plan and "Exchange" not in plan
     assert (h.count(), i.count()) == (7, 12)
-    many = spark.range(4000).selectExpr(
-        "id % 2000 AS claim_id", "DATE'2024-01-01' AS disputed_on", "'AI' AS status", "1.0D AS disputed_value",
-        "CAST(NULL AS DATE) AS answered_on", "0L AS batch_no", "CAST(NULL AS DATE) AS filed_on",
-    )
-    h2, i2, _ = materialize_bucketed(headers, many, "evencheck")
-    assert "Bucketed: true" in i2.groupBy("claim_id").count()._jdf.queryExecution().executedPlan().toString()
+    drop_bucketed(spark, "layoutcheck")
