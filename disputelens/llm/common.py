@@ -95,5 +95,11 @@ def ship_package(spark: SparkSession) -> None:
     _SHIPPED.add(app)
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` computed once and kept in ``spark.checkpoint.dir`` until it is no longer referenced."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
+
+
 def partitions_for(rows: int, rows_each: int) -> int:
     return max(1, -(-rows // rows_each))

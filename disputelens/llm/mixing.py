@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACES, pick, text_or_empty, words_of
+from .common import SPACES, checkpointed, pick, text_or_empty, words_of
 
 WEIGHTS = (1, 2, 3)  # of the sources in code point order, repeating
 CAP = 3  # passes over a document at most
@@ -110,7 +110,7 @@ def plan(docs: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     words still wanted. Words are counted once; the counts (a few bytes per
     document) are checkpointed, since sums, targets and places all need them.
     """
-    counted = sized(docs).checkpoint()
+    counted = checkpointed(sized(docs))
     shift = LINE_BITS - (buckets.bit_length() - 1)
     counted = counted.withColumn("bucket", F.shiftrightunsigned("line", shift))
     sums = counted.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))

@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import pick, text_or_empty
+from .common import checkpointed, pick, text_or_empty
 
 # The patterns of the base, and how long what they find must be.
 ASSIGN = "((?i:password|passwd|secret|token|api_?key))[\"']?\\x20*[:=]\\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
@@ -112,7 +112,7 @@ def spans(docs: DataFrame, samples: DataFrame | None = None) -> DataFrame:
     """All secrets: ``doc_id, text_key, kind, start, stop, ratio`` (null ratio for the fixed patterns)."""
     spark = docs.sparkSession
     d = pick(docs, "doc_id", "text").withColumn("text", text_or_empty()).withColumn("text_key", F.xxhash64("text"))
-    found = matches(d).checkpoint()  # a few rows per text; both branches below need them
+    found = checkpointed(matches(d))  # a few rows per text; both branches below need them
     found = found.dropDuplicates(["doc_id", "text_key", "kind", "start", "stop"])
     model = F.broadcast(train(spark, labelled_samples(d) if samples is None else samples))  # alphabet squared
     runs = found.filter(F.col("kind") == 3)
