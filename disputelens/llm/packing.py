@@ -26,11 +26,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import partitions_for, pick, ship_package, text_or_empty
-from .tokens import encoder
+from .tokens import encoder, id_type
 
 LENGTH = 2048
-GROUP_DOCS = 512  # mean documents in a group
+GROUP_DOCS = 256  # mean documents in a group
 MIN_PIECE = 16  # free room smaller than this is padded
+ROWS = 256  # documents encoded at a time
 SEED = 9
 
 
@@ -129,22 +130,24 @@ def pack(
     ship_package(docs.sparkSession)
     d = pick(docs, "doc_id", "text").withColumn("text", text_or_empty())
     groups = partitions_for(docs.count(), group_docs)
-    key = F.xxhash64(F.lit(SEED), "doc_id", "text")
+    key, dtype = F.xxhash64(F.lit(SEED), "doc_id", "text"), id_type(tokenizer)
     dealt = d.select(F.pmod(key, F.lit(groups)).alias("bundle"), key.alias("key"), "doc_id", "text")
 
     def encode(batches):
         code = encoder(tokenizer)
         for batch in batches:
-            ids = [code.encode(t) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("bundle"), batch.column("key"), batch.column("doc_id"), pa.array(ids, pa.binary())],
-                names=["bundle", "key", "doc_id", "ids"],
-            )
+            for at in range(0, len(batch), ROWS):  # few texts and ids at a time outside Arrow
+                part = batch.slice(at, ROWS)
+                ids = [code.encode(t) for t in part.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("bundle"), part.column("key"), part.column("doc_id"), pa.array(ids, pa.binary())],
+                    names=["bundle", "key", "doc_id", "ids"],
+                )
 
     def pack_group(frame: pd.DataFrame) -> pd.DataFrame:
-        code = encoder(tokenizer)
         frame = frame.sort_values(["doc_id", "key"], kind="stable")
-        ids = [np.append(np.frombuffer(b, code.dtype).astype("<u4"), np.uint32(end_id)) for b in frame["ids"]]
+        end = np.array([end_id], dtype).tobytes()
+        ids = [np.frombuffer(b + end, dtype) for b in frame["ids"]]
         keys, bundle = frame["doc_id"].tolist(), int(frame["bundle"].iloc[0])
         rows = []
         for s, sequence in enumerate(pack_lengths([len(x) for x in ids], length, min_piece)):

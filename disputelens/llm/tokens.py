@@ -16,8 +16,8 @@ import re
 
 import numpy as np
 
-KEPT_PIECES = 400_000  # entries of each table; later pieces are encoded anew each time
-KEPT_WORDS = 400_000
+KEPT_PIECES = 200_000  # entries of each table; later pieces are encoded anew each time
+KEPT_WORDS = 300_000
 
 # The normaliser and splitter for which the short way holds.
 NORMALIZER = {
@@ -47,6 +47,14 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(others)}
 
 
+def id_type(path: str) -> str:
+    """The smallest unsigned little-endian type that holds every id of a tokenizer file."""
+    with open(path, encoding="utf-8") as f:
+        rules = json.load(f)
+    last = max([len(rules["model"]["vocab"]) - 1, *(t["id"] for t in rules["added_tokens"])])
+    return "<u2" if last < 1 << 16 else "<u4"
+
+
 class Encoder:
     """``encode(text)`` gives the ids of a whole text as little-endian bytes of ``dtype``."""
 
@@ -56,7 +64,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             rules = json.load(f)
-        self.dtype = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+        self.dtype = id_type(path)
         self.pieces: dict[str, bytes] = {"": b""}
         self.words: dict[str, bytes] = {}
         pre = (rules.get("pre_tokenizer") or {}).get("pretokenizers") or [{}, {}]
