@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import checkpointed
+
 ROUNDS = 60  # the number needed grows with the log of the longest path; reaching this raises
 
 
@@ -15,11 +17,9 @@ def components(links: DataFrame) -> DataFrame:
     ones, to the smallest node it knows, until nothing changes. Each round is
     checkpointed to the shared folder; the driver sees one row per round.
     """
-    edges = links.filter(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo"))
-    edges = edges.distinct().checkpoint()
-    mark = _mark(edges)
+    edges, mark = _edges(links), None
     for _ in range(ROUNDS):
-        edges = _small_star(_large_star(edges)).checkpoint()
+        edges = checkpointed(_small_star(_large_star(edges)))
         before, mark = mark, _mark(edges)
         if mark == before:
             break
@@ -29,20 +29,35 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("hi").alias("node"), F.col("lo").alias("label")).unionByName(roots)
 
 
+def rough_labels(links: DataFrame, rounds: int = 1) -> DataFrame:
+    """``(node, label)`` after few rounds: nodes of one label are connected, but connected nodes may differ in label."""
+    edges = _edges(links)
+    for _ in range(rounds):
+        edges = checkpointed(_small_star(_large_star(edges)))
+    return edges.groupBy(F.col("hi").alias("node")).agg(F.min("lo").alias("label"))
+
+
+def _edges(links: DataFrame) -> DataFrame:
+    ends = (F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo"))
+    return checkpointed(links.filter(F.col("a") != F.col("b")).select(*ends))
+
+
 def _mark(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("hi", "lo") / 2.0**40), F.bit_xor(F.xxhash64("hi", "lo"))).first())
+    return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("hi", "lo"))).first())
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
-    both = edges.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionByName(edges.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
+    """Every larger neighbour of a node gets the node's smallest neighbour (or itself); may repeat rows."""
+    ends = F.array(F.struct(F.col("hi").alias("u"), F.col("lo").alias("v")), F.struct(F.col("lo").alias("u"), F.col("hi").alias("v")))
+    both = edges.select(F.explode(ends).alias("e")).select("e.u", "e.v")
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    out = both.join(least, "u").filter(F.col("v") > F.col("u"))
-    return out.select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
+    return both.join(least, "u").filter("v > u").select(F.col("v").alias("hi"), F.col("m").alias("lo"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
+    """A node and its smaller neighbours all get the smallest of them."""
     least = edges.groupBy("hi").agg(F.min("lo").alias("m"))
-    joined = edges.join(least, "hi")
-    own = least.select("hi", F.col("m").alias("lo"))
-    rest = joined.filter(F.col("lo") != F.col("m")).select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
-    return own.unionByName(rest).distinct()
+    lower = F.struct(F.col("lo").alias("hi"), F.col("m").alias("lo"))
+    own = F.struct("hi", F.col("m").alias("lo"))
+    pairs = F.when(F.col("lo") == F.col("m"), F.array(own)).otherwise(F.array(own, lower))
+    return edges.join(least, "hi").select(F.explode(pairs).alias("e")).select("e.hi", "e.lo").distinct()

@@ -18,13 +18,19 @@ How it stays in bounds:
   through a partial aggregation), so exact copies never meet;
 * half-bands that only one node has are dropped before keys are combined;
 * a key shared by ``STAR_FROM`` nodes or more first links each node with the
-  smallest one only, and of these pairs each node keeps the ``STAR_PAIRS``
-  sharing most keys; the confirmed ones merge large groups;
-* then only keys whose nodes are still in different components are looked at:
-  per key, the nodes outside its largest component are compared with all its
-  nodes, in blocks of ``BLOCK``, on 64-byte sketches of 64 minhashes. Pairs in
-  different components whose estimated similarity is within five standard
-  errors of the threshold or above it are confirmed on full sets.
+  smallest one only, and of these pairs each node keeps the ``BEST_PAIRS``
+  sharing most keys; the confirmed ones give most nodes of a large group one
+  label;
+* keys whose nodes have different labels are looked at again: the nodes
+  outside a key's most frequent label are compared with one block (about
+  ``BLOCK`` nodes) of the key on sketches of 256 minhashes, and each node's
+  ``BEST_PAIRS`` likeliest pairs are confirmed;
+* what still has different labels after that is compared with all nodes of the
+  key, block by block, and all pairs whose estimated similarity is above
+  ``LEAST_ESTIMATE`` are confirmed.
+
+So every pair that shares a key is either in one component already, or
+confirmed, or more than four standard errors below the threshold by its sketch.
 
 Sets are made anew for the nodes that share a key and stored once; texts are
 shuffled once. Nothing but counts reaches the driver.
@@ -43,17 +49,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import pick, ship_package, stored, text_or_empty
-from .components import components
+from .common import checkpointed, pick, ship_package, stored, text_or_empty
+from .components import components, rough_labels
 
 WORDS = 5  # in a shingle
 PERCENT = 75  # least similarity of a link
 HALVES = 12  # half-bands in each of the two collections
 ROWS = 2  # minhashes in a half-band
-SKETCH = 64  # minhashes compared before full sets are; the first 2 x HALVES x ROWS make the keys
-LEAST_ESTIMATE = 0.75 - 5 * (0.75 * 0.25 / SKETCH) ** 0.5  # five standard errors below the threshold
+SKETCH = 256  # minhashes compared before full sets are; the first 2 x HALVES x ROWS make the keys
+LEAST_ESTIMATE = 0.75 - 4 * (0.75 * 0.25 / SKETCH) ** 0.5  # four standard errors below the threshold
 STAR_FROM = 4
-STAR_PAIRS = 3
+BEST_PAIRS = 3  # that a node keeps of its pairs with stars, or of its likeliest pairs
 BLOCK = 512
 CHUNK = 1 << 21  # bytes of text worked on at a time
 SEED = 7
@@ -193,14 +199,21 @@ def signature_batches(batches):
 
 
 def set_batches(batches):
-    """(node, text) to (node, members): the sorted hashes of the full set."""
+    """(node, key_a, text) to (node, members): the sorted hashes of the full set.
+
+    Rows whose text is not the node's (another text of the same doc_id) are left out.
+    """
     shingler = _shingler()
     for batch in batches:
         rows = []
         for _, data, starts in _chunks(batch.column("text")):
             hashes, counts = shingler.sets(data, starts)
-            rows += [x.tobytes() for x in np.split(hashes, np.cumsum(counts)[:-1])]
-        yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(rows, pa.binary())], names=["node", "members"])
+            rows += np.split(hashes, np.cumsum(counts)[:-1])
+        with np.errstate(over="ignore"):
+            own = np.array([mix(x + U(1)).sum(dtype=U) for x in rows], U).view(np.int64) == batch.column("key_a").to_numpy()
+        members = pa.array([x.tobytes() for x in rows], pa.binary())
+        made = pa.RecordBatch.from_arrays([batch.column("node"), members], names=["node", "members"])
+        yield made.filter(pa.array(own))
 
 
 def linked_batches(batches):
@@ -214,8 +227,12 @@ def linked_batches(batches):
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def compared_batches(batches):
-    """Rows of (key, block), sorted by them, to the pairs worth a look: different components, likely similar."""
+def compared_batches(batches, best: bool):
+    """Rows of (key, block), sorted by them, to pairs (a, b, same) of different labels that may be similar.
+
+    ``best`` keeps only the likeliest partner of each probe in each key and
+    block; else every pair comes once, by the first key it shares.
+    """
     held: list[pa.RecordBatch] = []
 
     def pairs(rows: pa.Table):
@@ -224,8 +241,10 @@ def compared_batches(batches):
         sizes = rows["n_shingles"].to_numpy()
         sketch = np.frombuffer(b"".join(rows["sketch"].to_pylist()), np.uint8).reshape(-1, SKETCH)
         key, block = rows["key"].to_numpy(), rows["block"].to_numpy()
+        halves = rows["halves"].combine_chunks().flatten().to_numpy().reshape(-1, 2 * HALVES)
+        nth = rows["nth"].to_numpy()
         cut = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (block[1:] != block[:-1]), True])
-        found = []
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
         for lo, hi in zip(cut[:-1], cut[1:]):
             own = np.arange(lo, hi)
             members, probes = own[member[lo:hi]], own[probe[lo:hi]]
@@ -235,11 +254,21 @@ def compared_batches(batches):
                 small = np.minimum(sizes[p][:, None], sizes[members][None, :])
                 large = np.maximum(sizes[p][:, None], sizes[members][None, :])
                 good = (same >= LEAST_ESTIMATE) & (100 * small >= PERCENT * large) & (label[p][:, None] != label[members][None, :])
+                if best and len(members):
+                    same = np.where(good, same, -1)
+                    good &= np.arange(len(members)) == same.argmax(1)[:, None]
                 i, j = np.nonzero(good)
-                found.append(np.stack([node[p[i]], node[members[j]]]))
-        a, b = np.concatenate(found, 1) if found else np.zeros((2, 0), np.int64)
-        lo, hi = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1) if len(a) else (a, b)
-        return pa.RecordBatch.from_arrays([pa.array(lo, pa.int64()), pa.array(hi, pa.int64())], names=["a", "b"])
+                a, b = p[i], members[j]
+                if not best and len(a):
+                    # a pair is reported by the first of its keys only
+                    shared = halves[a] == halves[b]
+                    first = shared[:, :HALVES].argmax(1) * HALVES + shared[:, HALVES:].argmax(1)
+                    once = (first == nth[lo]) & ~(probe[a] & probe[b] & (node[a] > node[b]))
+                    a, b, i, j = a[once], b[once], i[once], j[once]
+                found.append((a, b, same[i, j]))
+        i, j = (np.concatenate([f[k] for f in found]) for k in (0, 1))
+        columns = [pa.array(node[i]), pa.array(node[j]), pa.array(np.concatenate([f[2] for f in found]))]
+        return pa.RecordBatch.from_arrays(columns, names=["a", "b", "same"])
 
     for batch in batches:
         if not len(batch):
@@ -265,42 +294,60 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def shared_keys(nodes: DataFrame) -> DataFrame:
-    """``(node, key)`` for every table key that two nodes or more have."""
+    """``(node, key, nth)`` for every table key that two nodes or more have; ``nth`` is the table."""
     each = nodes.select("node", F.posexplode("halves").alias("nth", "half"))
     often = each.groupBy("half").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("half")
     left = each.join(often, "half", "left_semi").groupBy("node").agg(F.collect_list(F.struct("nth", "half")).alias("have"))
-    side = lambda test: F.transform(F.filter("have", test), lambda h: h["half"])
+    side = lambda test: F.filter("have", test)
     sides = left.select("node", side(lambda h: h["nth"] < HALVES).alias("xs"), side(lambda h: h["nth"] >= HALVES).alias("ys"))
     keys = sides.select("node", "ys", F.explode("xs").alias("x")).select("node", "x", F.explode("ys").alias("y"))
-    keys = keys.select("node", F.xxhash64("x", "y").alias("key"))
+    nth = F.col("x.nth") * HALVES + F.col("y.nth") - HALVES
+    keys = keys.select("node", F.xxhash64("x.half", "y.half").alias("key"), nth.alias("nth"))
     common = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
     return keys.join(common, "key", "left_semi")
 
 
+def _first(pairs: DataFrame, by) -> DataFrame:
+    """The ``BEST_PAIRS`` first pairs (a, b) of every a."""
+    rank = F.row_number().over(Window.partitionBy("a").orderBy(by, "b"))
+    return pairs.withColumn("r", rank).filter(F.col("r") <= BEST_PAIRS).select("a", "b")
+
+
 def star_pairs(keys: DataFrame) -> DataFrame:
-    """Each node with the smallest node of its larger keys, the ``STAR_PAIRS`` that share most keys."""
-    first = F.min(F.struct(F.xxhash64("node").alias("h"), "node"))
-    stars = keys.groupBy("key").agg(first.alias("first"), F.count(F.lit(1)).alias("n")).filter(F.col("n") >= STAR_FROM)
-    met = keys.join(stars.select("key", F.col("first.node").alias("star")), "key").filter("node != star")
-    votes = met.groupBy("node", "star").agg(F.count(F.lit(1)).alias("votes"))
-    rank = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("votes"), "star"))
-    return votes.withColumn("r", rank).filter(F.col("r") <= STAR_PAIRS).select(F.col("node").alias("a"), F.col("star").alias("b"))
+    """Each node with the smallest nodes of its larger keys that share most keys with it."""
+    stars = keys.groupBy("key").agg(F.min("node").alias("b"), F.count(F.lit(1)).alias("n")).filter(F.col("n") >= STAR_FROM)
+    met = keys.join(stars.select("key", "b"), "key").filter("node != b")
+    return _first(met.groupBy(F.col("node").alias("a"), "b").agg(F.count(F.lit(1)).alias("votes")), F.desc("votes"))
 
 
-def rest_pairs(keys: DataFrame, labels: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Pairs that share a key, are still in different components, and may be similar by their sketches."""
+def other_pairs(keys: DataFrame, labels: DataFrame, nodes: DataFrame, best: bool) -> DataFrame:
+    """Pairs (a, b) that share a key, have different labels, and may be similar by their sketches.
+
+    ``best``: only the likeliest pairs of each node, found in one block of each
+    of its keys; else all pairs.
+    """
     placed = keys.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     per = placed.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
     mixed = per.groupBy("key").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("labels"), F.max(F.struct("n", "label")).alias("main"))
     mixed = mixed.filter("labels > 1").select("key", F.col("main.label").alias("main"), F.ceil(F.col("n") / BLOCK).alias("blocks"))
-    own = F.pmod(F.xxhash64("node"), F.col("blocks"))
-    rows = placed.join(mixed, "key").withColumn("probe", F.col("label") != F.col("main")).withColumn("own", own)
-    every = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
-    rows = rows.withColumn("block", F.explode(F.when(F.col("probe"), every).otherwise(F.array("own"))))
-    rows = rows.withColumn("member", F.col("block") == F.col("own")).join(nodes.select("node", "n_shingles", "sketch"), "node")
-    rows = rows.select("key", "block", "node", "label", "probe", "member", "n_shingles", "sketch")
+    rows = placed.join(mixed, "key").withColumn("probe", F.col("label") != F.col("main"))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("node", "key"), F.col("blocks")))
+    if best:
+        rows = rows.withColumn("block", F.col("own"))
+    else:
+        every = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
+        rows = rows.withColumn("block", F.explode(F.when(F.col("probe"), every).otherwise(F.array("own"))))
+    rows = rows.withColumn("member", F.col("block") == F.col("own")).join(nodes.select("node", "n_shingles", "halves", "sketch"), "node")
+    rows = rows.select("key", "nth", "block", "node", "label", "probe", "member", "n_shingles", "halves", "sketch")
     dealt = rows.repartition("key", "block").sortWithinPartitions("key", "block")
-    return dealt.mapInArrow(compared_batches, "a long, b long").distinct()
+
+    def compare(batches):
+        return compared_batches(batches, best)
+
+    found = dealt.mapInArrow(compare, "a long, b long, same double")
+    if best:
+        return _first(found.groupBy("a", "b").agg(F.max("same").alias("same")), F.desc("same"))
+    return found.select("a", "b")
 
 
 def classes(docs: DataFrame) -> DataFrame:
@@ -316,14 +363,14 @@ def classes(docs: DataFrame) -> DataFrame:
     )
     nodes = stored(nodes, "nodes")
     keys = stored(shared_keys(nodes), "keys")
-    texts = d.join(keys.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    sets = stored(
-        texts.select(F.col("doc_id").alias("node"), "text").mapInArrow(set_batches, "node long, members binary").dropDuplicates(["node"]), "sets"
-    )
-    labels = components(confirmed(star_pairs(keys), sets)).checkpoint()
-    more = confirmed(rest_pairs(keys, labels, nodes), sets)
-    links = labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(more)
-    final = components(links)
+    wanted = nodes.select("node", "key_a").join(keys.select("node").distinct(), "node", "left_semi")
+    texts = d.join(wanted, d["doc_id"] == wanted["node"]).select("node", "key_a", "text")
+    sets = stored(texts.mapInArrow(set_batches, "node long, members binary"), "sets")
+    stars = checkpointed(confirmed(star_pairs(keys), sets))
+    near = stars.unionByName(confirmed(other_pairs(keys, rough_labels(stars), nodes, best=True), sets))
+    near = checkpointed(near)
+    rest = confirmed(other_pairs(keys, rough_labels(near, rounds=2), nodes, best=False), sets)
+    final = components(near.unionByName(rest))
     named = nodes.select("key_a", "key_b", "node").join(final, "node", "left")
     named = named.select("key_a", "key_b", F.coalesce("label", "node").alias("class"))
     out = signs.drop("halves", "sketch").join(named, ["key_a", "key_b"], "left")
