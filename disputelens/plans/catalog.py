@@ -31,7 +31,7 @@ PAGE_PAYER = "NATION_3"
 PAGE_NUMBER = 2
 DETAIL_CLAIM = 4
 CHART_PAYERS = ["NATION_7", "NATION_11", "NATION_23", "NATION_19", "NATION_0"]
-CHART_MIN = 500
+CHART_MIN = 400
 # Pasted search block: blank lines, padding, a CRLF line end and repeats.
 SEARCH_TEXT = "F3400\n\n  F5452 \r\nF3400\n\t\nF1299\nNOPE1\n NOPE1\n"
 
