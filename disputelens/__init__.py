@@ -5,7 +5,7 @@
 ``operators``  relational operators (base, invoices, KPIs, reports, search)
 ``plans``      user-level operations (dashboard, paged summaries, search, ...)
                and the catalogue of registered queries
-``streaming``  the same base cleaning applied to a file stream
+``llm``        operators for large text corpora; nothing else imports it
 """
 
 from .session import build_session, ensure_checkpoint_dir

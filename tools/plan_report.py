@@ -16,7 +16,6 @@ from collections import Counter
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-from __spark_entry__ import queries  # noqa: E402
 from disputelens.plans import catalog  # noqa: E402
 from disputelens.plans.catalog import prepare  # noqa: E402
 from disputelens.session import build_session  # noqa: E402
@@ -56,7 +55,7 @@ def summarise(plan: str) -> tuple[Counter, list[str]]:
 def table(spark, sf_dir: str) -> None:
     print("| Query | Operators | Filters pushed to scans |")
     print("|---|---|---|")
-    for name, fn in queries().items():
+    for name, fn in catalog.QUERIES.items():
         df = fn(spark, sf_dir)
         df.collect()
         counts, pushed = summarise(df._jdf.queryExecution().executedPlan().toString())
