@@ -1,6 +1,6 @@
 """Summarise the final (adaptive) physical plan of every registered query.
 
-    python tools/plan_report.py [sf_dir] > PLANS.md
+    python tools/plan_report.py [sf_dir]
 
 For each query: shuffles (by kind), join strategies (with skew splits),
 aggregates (hash or sort based), windows, sorts, broadcasts and the filters
