@@ -241,7 +241,7 @@ def compared_batches(batches, best: bool):
         sizes = rows["n_shingles"].to_numpy()
         sketch = np.frombuffer(b"".join(rows["sketch"].to_pylist()), np.uint8).reshape(-1, SKETCH)
         key, block = rows["key"].to_numpy(), rows["block"].to_numpy()
-        halves = rows["halves"].combine_chunks().flatten().to_numpy().reshape(-1, 2 * HALVES)
+        halves = None if best else rows["halves"].combine_chunks().flatten().to_numpy().reshape(-1, 2 * HALVES)
         nth = rows["nth"].to_numpy()
         cut = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (block[1:] != block[:-1]), True])
         found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
@@ -324,20 +324,26 @@ def other_pairs(keys: DataFrame, labels: DataFrame, nodes: DataFrame, best: bool
     """Pairs (a, b) that share a key, have different labels, and may be similar by their sketches.
 
     ``best``: only the likeliest pairs of each node, found in one block of each
-    of its keys; else all pairs.
+    of its keys in the tables that combine half-bands of the same number (a
+    twelfth of all tables; this only shortens the next step); else all pairs.
     """
+    if best:
+        keys = keys.filter(F.floor(F.col("nth") / HALVES) == F.col("nth") % HALVES)
     placed = keys.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     per = placed.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
     mixed = per.groupBy("key").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("labels"), F.max(F.struct("n", "label")).alias("main"))
     mixed = mixed.filter("labels > 1").select("key", F.col("main.label").alias("main"), F.ceil(F.col("n") / BLOCK).alias("blocks"))
     rows = placed.join(mixed, "key").withColumn("probe", F.col("label") != F.col("main"))
     rows = rows.withColumn("own", F.pmod(F.xxhash64("node", "key"), F.col("blocks")))
+    # 31 bits of each half-band tell which ones a pair shares; only needed to report a pair once
+    codes = F.transform("halves", lambda h: h.bitwiseAND(F.lit(2**31 - 1)).cast("int"))
+    codes = F.array().cast("array<int>") if best else codes
     if best:
         rows = rows.withColumn("block", F.col("own"))
     else:
         every = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
         rows = rows.withColumn("block", F.explode(F.when(F.col("probe"), every).otherwise(F.array("own"))))
-    rows = rows.withColumn("member", F.col("block") == F.col("own")).join(nodes.select("node", "n_shingles", "halves", "sketch"), "node")
+    rows = rows.withColumn("member", F.col("block") == F.col("own")).join(nodes.select("node", "n_shingles", codes.alias("halves"), "sketch"), "node")
     rows = rows.select("key", "nth", "block", "node", "label", "probe", "member", "n_shingles", "halves", "sketch")
     dealt = rows.repartition("key", "block").sortWithinPartitions("key", "block")
 
