@@ -94,11 +94,14 @@ def spans(docs: DataFrame) -> DataFrame:
         "label",
         "base",
         "grams",
+        "place",
         (F.col("at") - K - F.col("place")).alias("diagonal"),
     )
     text, span = ["doc_id", "text_key"], ["template", "label", "base", "grams"]
+    # a diagonal's distinct places are its votes, so a repeated row adds none; no template has 64 places
+    places = F.expr("bit_count(bit_or(shiftleft(1L, place)))")
     lines = hits.groupBy(*text, *span, "diagonal").agg(
-        F.count(F.lit(1)).alias("votes"), F.max("n_words").alias("n_words")
+        places.cast("long").alias("votes"), F.max("n_words").alias("n_words")
     )
     # phrases keep their own diagonal; neighbouring diagonals of a notice get one number
     along = Window.partitionBy(*text, "template").orderBy("diagonal")

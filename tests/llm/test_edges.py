@@ -28,6 +28,15 @@ def test_licenses(ugly):
     assert got[6] == [(len(LONG.replace("=", " ").split()), "")]
 
 
+def test_licenses_of_repeated_rows(spark):
+    phrase, half = "under the mit license here", "redistribution and use in source and binary are welcome"
+    rows = [(1, phrase), (1, phrase), (2, half), (2, half), (None, phrase), (None, phrase), (None, phrase), (3, phrase), (4, half)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = by_id(licenses.scan(docs), "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+    assert got[1] == got[None] == got[3] == [(5, 1, 2, 2, "mit", "mit", 1.0)]
+    assert got[2] == got[4] == [(9, 0, None, None, "", "", 0.0)]
+
+
 def test_secrets(ugly):
     got = by_id(secrets.scan(ugly), "base")
     assert len(got[1]) == 1 and len(got[2]) == 2
