@@ -68,6 +68,7 @@ def matches(docs: DataFrame) -> DataFrame:
     match = F.col("nth") % 2 == 1
     value = F.when(F.col("kind") == 0, F.regexp_extract("piece", ASSIGN, 2)).otherwise(F.col("piece"))
     rows = each.select("doc_id", "text_key", "kind", "nth", F.length("piece").alias("length"), F.when(match, value).alias("value"))
+    rows = rows.distinct()  # the pieces of repeated rows count once
     order = Window.partitionBy("doc_id", "text_key", "kind").orderBy("nth").rowsBetween(Window.unboundedPreceding, 0)
     placed = rows.withColumn("stop", F.sum("length").over(order))
     long_enough = (F.col("kind") != 0) | (F.length("value") >= ASSIGN_VALUE)
@@ -113,7 +114,6 @@ def spans(docs: DataFrame, samples: DataFrame | None = None) -> DataFrame:
     spark = docs.sparkSession
     d = pick(docs, "doc_id", "text").withColumn("text", text_or_empty()).withColumn("text_key", F.xxhash64("text"))
     found = checkpointed(matches(d))  # a few rows per text; both branches below need them
-    found = found.dropDuplicates(["doc_id", "text_key", "kind", "start", "stop"])
     model = F.broadcast(train(spark, labelled_samples(d) if samples is None else samples))  # alphabet squared
     runs = found.filter(F.col("kind") == 3)
     at = ["doc_id", "text_key", "kind", "start", "stop"]
