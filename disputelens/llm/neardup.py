@@ -26,8 +26,11 @@ How it stays in bounds:
   ``BLOCK`` nodes) of the key on sketches of 256 minhashes, and each node's
   ``BEST_PAIRS`` likeliest pairs are confirmed;
 * what still has different labels after that is compared with all nodes of the
-  key, block by block, and all pairs whose estimated similarity is above
-  ``LEAST_ESTIMATE`` are confirmed.
+  key whose size allows a link, and all pairs whose estimated similarity is
+  above ``LEAST_ESTIMATE`` are confirmed. A key of more than ``BLOCK`` nodes is
+  divided into cells of two parts of about ``BLOCK`` nodes, so no task holds a
+  whole key; of a key with n nodes of like size and all of different labels
+  each node is sent to n / ``BLOCK`` cells.
 
 So every pair that shares a key is either in one component already, or
 confirmed, or more than four standard errors below the threshold by its sketch.
@@ -44,6 +47,8 @@ other columns are ignored.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -61,6 +66,7 @@ LEAST_ESTIMATE = 0.75 - 4 * (0.75 * 0.25 / SKETCH) ** 0.5  # four standard error
 STAR_FROM = 4
 BEST_PAIRS = 3  # that a node keeps of its pairs with stars, or of its likeliest pairs
 BLOCK = 512
+BAND = 1.34  # ratio of sizes within a band; more than 100 / PERCENT, so that similar sets are in the same or neighbouring bands
 CHUNK = 1 << 21  # bytes of text worked on at a time
 SEED = 7
 
@@ -320,6 +326,37 @@ def star_pairs(keys: DataFrame) -> DataFrame:
     return _first(met.groupBy(F.col("node").alias("a"), "b").agg(F.count(F.lit(1)).alias("votes")), F.desc("votes"))
 
 
+def divided(rows: DataFrame, per: DataFrame, mixed: DataFrame) -> DataFrame:
+    """``rows`` of mixed keys, each once for every cell it is compared in: with ``block``, ``probe`` and ``member``.
+
+    A key of up to ``BLOCK`` nodes is one cell. In a larger one the nodes of a
+    size band, probes and others apart, form parts of about ``BLOCK`` nodes; a
+    cell compares one part of probes with another part, or with itself. Bands
+    are a little wider than the largest ratio of sizes that links allow, so
+    only neighbouring bands meet and no link is lost.
+    """
+    large = mixed.filter("blocks > 1").select("key", "main")
+    parts = per.join(large, "key").groupBy("key", "band", (F.col("label") != F.col("main")).alias("probe")).agg(F.sum("n").alias("n"))
+    parts = parts.select("key", F.struct("band", "probe", F.ceil(F.col("n") / BLOCK).alias("parts")).alias("u"))
+    rows = rows.join(parts.groupBy("key").agg(F.collect_list("u").alias("units")), "key", "left")  # two for each band at most
+    own = "element_at(filter(units, u -> u.band = band and u.probe = probe), 1).parts"
+    rows = rows.withColumn("own", F.expr(f"named_struct('band', band, 'probe', probe, 'part', pmod(xxhash64(node, key), {own}))"))
+    others = F.expr(
+        "flatten(transform(filter(units, u -> abs(u.band - band) <= 1 and (probe or u.probe)), u -> "
+        "transform(sequence(0L, u.parts - 1), i -> named_struct('band', u.band, 'probe', u.probe, 'part', i))))"
+    )
+    # of two parts of probes the nodes of the first are the cell's probes
+    first = F.expr("transform(others, o -> named_struct('o', o, 'probe', probe and (not o.probe or own <= o)))")
+    cells = F.expr(
+        "transform(others, c -> named_struct('block', if(c.probe, xxhash64(own, c.o), xxhash64(c.o, own)), "
+        "'probe', c.probe, 'member', not c.probe or own = c.o))"
+    )
+    whole = F.expr("array(named_struct('block', 0L, 'probe', probe, 'member', true))")
+    rows = rows.withColumn("others", others).withColumn("others", first).withColumn("others", cells)
+    rows = rows.withColumn("c", F.explode(F.when(F.col("units").isNull(), whole).otherwise(F.col("others"))))
+    return rows.select("key", "nth", "node", "label", "c.*")
+
+
 def other_pairs(keys: DataFrame, labels: DataFrame, nodes: DataFrame, best: bool) -> DataFrame:
     """Pairs (a, b) that share a key, have different labels, and may be similar by their sketches.
 
@@ -329,21 +366,22 @@ def other_pairs(keys: DataFrame, labels: DataFrame, nodes: DataFrame, best: bool
     """
     if best:
         keys = keys.filter(F.floor(F.col("nth") / HALVES) == F.col("nth") % HALVES)
-    placed = keys.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    per = placed.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
-    mixed = per.groupBy("key").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("labels"), F.max(F.struct("n", "label")).alias("main"))
+    band = F.floor(F.log("n_shingles") / math.log(BAND))
+    known = nodes.select("node", band.alias("band")).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    placed = keys.join(known, "node")
+    per = placed.groupBy("key", "label", "band").agg(F.count(F.lit(1)).alias("n"))
+    mixed = per.groupBy("key", "label").agg(F.sum("n").alias("n")).groupBy("key")
+    mixed = mixed.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("labels"), F.max(F.struct("n", "label")).alias("main"))
     mixed = mixed.filter("labels > 1").select("key", F.col("main.label").alias("main"), F.ceil(F.col("n") / BLOCK).alias("blocks"))
     rows = placed.join(mixed, "key").withColumn("probe", F.col("label") != F.col("main"))
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("node", "key"), F.col("blocks")))
     # 31 bits of each half-band tell which ones a pair shares; only needed to report a pair once
     codes = F.transform("halves", lambda h: h.bitwiseAND(F.lit(2**31 - 1)).cast("int"))
     codes = F.array().cast("array<int>") if best else codes
     if best:
-        rows = rows.withColumn("block", F.col("own"))
+        rows = rows.withColumn("block", F.pmod(F.xxhash64("node", "key"), F.col("blocks"))).withColumn("member", F.lit(True))
     else:
-        every = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
-        rows = rows.withColumn("block", F.explode(F.when(F.col("probe"), every).otherwise(F.array("own"))))
-    rows = rows.withColumn("member", F.col("block") == F.col("own")).join(nodes.select("node", "n_shingles", codes.alias("halves"), "sketch"), "node")
+        rows = divided(rows, per, mixed)
+    rows = rows.join(nodes.select("node", "n_shingles", codes.alias("halves"), "sketch"), "node")
     rows = rows.select("key", "nth", "block", "node", "label", "probe", "member", "n_shingles", "halves", "sketch")
     dealt = rows.repartition("key", "block").sortWithinPartitions("key", "block")
 

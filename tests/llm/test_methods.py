@@ -8,6 +8,7 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -230,6 +231,48 @@ def test_large_groups_of_near_copies(spark):
     assert {r.doc_id: r.component_id for r in got} == {i + 1: x + 1 for i, x in enumerate(label)}
 
 
+def hot_key(spark):
+    """One key of 2,000 nodes, 600 of one label and all others alone: (keys, labels, nodes, pairs to be found)."""
+    rng = np.random.default_rng(11)
+    n, same = 2000, 600
+    sketches = rng.integers(0, 256, (n, neardup.SKETCH), dtype=np.uint8)
+    sizes = np.exp(rng.uniform(np.log(60), np.log(400), n)).astype(int)
+    order, want = rng.permutation(n), set()
+    for a, b in order.reshape(-1, 2)[:300]:
+        sketches[b] = np.where(rng.random(neardup.SKETCH) < 0.85, sketches[a], sketches[b])
+        sizes[b] = sizes[a] * rng.choice([0.76, 0.9, 1.0, 1.3])
+        small, large = sorted((sizes[a], sizes[b]))
+        if 100 * small >= 75 * large and max(a, b) >= same:
+            want.add((min(a, b), max(a, b)))
+    halves = rng.integers(1 << 62, size=(n, 2 * neardup.HALVES))
+    halves[:, [0, neardup.HALVES]] = 5
+    rows = [(i, int(sizes[i]), halves[i].tolist(), bytearray(sketches[i].tobytes())) for i in range(n)]
+    nodes = spark.createDataFrame(rows, "node long, n_shingles long, halves array<long>, sketch binary")
+    keys = nodes.selectExpr("node", "77L AS key", "0 AS nth")
+    return keys, nodes.filter(f"node < {same}").selectExpr("node", "0L AS label"), nodes, want
+
+
+def test_hot_keys_find_every_pair_once(spark):
+    *tables, want = hot_key(spark)
+    got = [tuple(sorted(r)) for r in neardup.other_pairs(*tables, best=False).collect()]
+    assert len(want) > 200 and sorted(got) == sorted(want)
+
+
+def test_hot_keys_are_compared_in_bounded_groups(spark, monkeypatch):
+    def group_sizes(batches, best):
+        seen = {}
+        for batch in batches:
+            for g in zip(batch["key"].to_pylist(), batch["block"].to_pylist()):
+                seen[g] = seen.get(g, 0) + 1
+        columns = [pa.array([g[1] for g in seen], pa.int64()), pa.array(list(seen.values()), pa.int64()), pa.array([0.0] * len(seen))]
+        yield pa.RecordBatch.from_arrays(columns, names=["a", "b", "same"])
+
+    monkeypatch.setattr(neardup, "compared_batches", group_sizes)
+    *tables, _ = hot_key(spark)
+    sizes = [r.b for r in neardup.other_pairs(*tables, best=False).collect()]
+    assert len(sizes) > 1 and max(sizes) <= 2.2 * neardup.BLOCK
+
+
 # ---- 8
 
 
