@@ -8,7 +8,7 @@ compare them with brute force.
 
 from __future__ import annotations
 
-from . import fingerprints, licenses, mixing
+from . import fingerprints, licenses, merkle, mixing, negatives, substrings
 from .common import UPPER
 
 LOWER = f"translate(coalesce(text, ''), '{UPPER}', '{UPPER.lower()}')"
@@ -133,9 +133,96 @@ SELECT doc_id, size, source_size, target,
 FROM placed
 """
 
+_W = substrings.WINDOW
+
+SUBSTRINGS = f"""
+WITH texts AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+windows AS (
+  SELECT r, i, md5(array_to_string(w[i + 1:i + {_W}], ' ')) AS h FROM (SELECT r, w, unnest(range(len(w) - {_W - 1})) AS i FROM texts)),
+repeated AS (SELECT r, i FROM windows WHERE h IN (SELECT h FROM windows GROUP BY h HAVING count(*) > 1)),
+words AS (SELECT r, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS i FROM texts),
+marked AS (
+  SELECT w.r, w.i, word, max(p.i) OVER (PARTITION BY w.r ORDER BY w.i ROWS BETWEEN {_W - 1} PRECEDING AND CURRENT ROW) IS NULL AS keep
+  FROM words w LEFT JOIN repeated p ON p.r = w.r AND p.i = w.i),
+kept AS (
+  SELECT r, count(*) FILTER (WHERE NOT keep) AS removed, string_agg(word, ' ' ORDER BY i) FILTER (WHERE keep) AS text FROM marked GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(removed, 0)::BIGINT AS n_removed, sha256(coalesce(k.text, '')) AS kept_sha256
+FROM texts LEFT JOIN kept k USING (r)
+"""
+
+_FIELD = "CASE WHEN {0} IS NULL THEN '-' ELSE strlen({0}::VARCHAR) || ':' || {0}::VARCHAR END"
+_LEAF = " || ".join(_FIELD.format(c) for c in merkle.FIELDS)
+# crc32 bit by bit; doc_id in decimal is ASCII
+_CRC = """list_reduce(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT), lambda r, c:
+  list_reduce([xor(r, c), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, z: xor(x >> 1, 3988292384 * (x & 1))), 4294967295::BIGINT)"""
+
+MERKLE = f"""
+WITH RECURSIVE rows AS (
+  SELECT row_number() OVER () AS r, doc_id, source, sha256({_LEAF}) AS leaf,
+    CASE WHEN doc_id IS NULL THEN false ELSE xor({_CRC}, 4294967295) % 2 = 0 END AS tampered,
+    sha256({_LEAF.replace("text", "replace(text, chr(10), '')")}) AS other FROM documents),
+numbered AS (
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i FROM rows),
+lower_tree(source, level, i, digest, n) AS (
+  SELECT source, 0, i, leaf, count(*) OVER (PARTITION BY source) FROM numbered
+  UNION ALL
+  SELECT source, level + 1, i // 3, sha256(string_agg(digest, '' ORDER BY i)), any_value((n + 2) // 3)
+  FROM lower_tree WHERE n > 1 GROUP BY source, level, i // 3),
+subroots AS (SELECT source, digest AS subroot, level AS height, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS s FROM lower_tree WHERE n = 1),
+upper_tree(level, i, digest, n) AS (
+  SELECT 0, s, subroot, count(*) OVER () FROM subroots
+  UNION ALL
+  SELECT level + 1, i // 3, sha256(string_agg(digest, '' ORDER BY i)), any_value((n + 2) // 3) FROM upper_tree WHERE n > 1 GROUP BY level, i // 3),
+top AS (SELECT digest AS root, level AS height FROM upper_tree WHERE n = 1),
+steps AS (
+  SELECT l.r, t.level AS step,
+    string_agg(t.digest, '' ORDER BY t.i) FILTER (WHERE t.i < l.i // pow(3, t.level)::BIGINT) AS before,
+    string_agg(t.digest, '' ORDER BY t.i) FILTER (WHERE t.i > l.i // pow(3, t.level)::BIGINT) AS after
+  FROM numbered l JOIN lower_tree t ON t.source IS NOT DISTINCT FROM l.source AND t.n > 1
+    AND t.i // 3 = l.i // pow(3, t.level + 1)::BIGINT GROUP BY l.r, t.level
+  UNION ALL
+  SELECT l.r, s.height + t.level,
+    string_agg(t.digest, '' ORDER BY t.i) FILTER (WHERE t.i < s.s // pow(3, t.level)::BIGINT),
+    string_agg(t.digest, '' ORDER BY t.i) FILTER (WHERE t.i > s.s // pow(3, t.level)::BIGINT)
+  FROM numbered l JOIN subroots s ON s.source IS NOT DISTINCT FROM l.source
+  JOIN upper_tree t ON t.n > 1 AND t.i // 3 = s.s // pow(3, t.level + 1)::BIGINT GROUP BY l.r, s.height, t.level),
+proofs AS (
+  SELECT r, string_agg(coalesce(before, '') || coalesce(after, ''), '' ORDER BY step) AS siblings, count(*) AS n FROM steps GROUP BY r),
+folds(r, step, digest) AS (
+  SELECT r, 0, CASE WHEN tampered THEN other ELSE leaf END FROM numbered
+  UNION ALL
+  SELECT f.r, f.step + 1, sha256(coalesce(before, '') || digest || coalesce(after, '')) FROM folds f JOIN steps s ON s.r = f.r AND s.step = f.step)
+SELECT doc_id, leaf, subroot, root, sha256(coalesce(siblings, '')) AS proof_sha256, f.digest AS folded_root, f.digest = root AS verified
+FROM numbered l JOIN subroots s ON s.source IS NOT DISTINCT FROM l.source CROSS JOIN top
+LEFT JOIN proofs p ON p.r = l.r JOIN folds f ON f.r = l.r AND f.step = coalesce(p.n, 0)
+"""
+
+NEGATIVES = f"""
+WITH scaled AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor({negatives.SCALE} * x::DOUBLE)) AS v
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scores AS (
+  SELECT a.vec_id AS a, b.vec_id AS b, a.label = b.label AS same, list_dot_product(a.v, b.v)::BIGINT AS score
+  FROM scaled a JOIN scaled b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v) WHERE a.vec_id % 50 = 0),
+positives AS (
+  SELECT a, b, score FROM scores WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, b) <= {negatives.POSITIVES})
+SELECT p.a AS anchor_id, p.b AS positive_id,
+  row_number() OVER (PARTITION BY p.a, p.b ORDER BY n.score DESC, n.b)::INTEGER AS rank,
+  n.b AS negative_id, p.score AS positive_score, n.score AS negative_score
+FROM positives p JOIN scores n ON n.a = p.a AND NOT n.same
+  AND 100 * n.score BETWEEN {negatives.LOW} * p.score AND {negatives.HIGH} * p.score
+QUALIFY rank <= {negatives.NEGATIVES}
+"""
+
 ORACLE_SQL = {
     "op1_license_scan": LICENSES,
     "op4_multiset_fingerprint": FINGERPRINTS,
     "op7_tensored_minhash": NEAR_DUPLICATES,
     "op10_curriculum_mix": MIX,
+    "op11_substring_dedup": SUBSTRINGS,
+    "op12_merkle_manifest": MERKLE,
+    "op13_kronecker_negatives": NEGATIVES,
 }

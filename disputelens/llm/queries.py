@@ -1,10 +1,10 @@
-"""The registered queries of the ten operators, and SQL for those that SQL can express."""
+"""The registered queries of the operators, and SQL for those that SQL can express."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import ann, fingerprints, language_id, licenses, mixing, neardup, packing, quality, secrets, token_store
+from . import ann, fingerprints, language_id, licenses, merkle, mixing, neardup, negatives, packing, quality, secrets, substrings, token_store
 from .common import documents, shared_dir
 from .oracle import ORACLE_SQL  # noqa: F401
 
@@ -83,5 +83,31 @@ def op10_curriculum_mix(spark, sf_dir):
     return mix.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_substring_dedup(spark, sf_dir):
+    kept = substrings.deduplicate(documents(spark, sf_dir))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op12_merkle_manifest(spark, sf_dir):
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 2 == 0
+    leaves = merkle.leaves(documents(spark, sf_dir), changed=F.translate("text", "\n", ""), where=tampered)
+    proofs = merkle.proofs(leaves).withColumn("folded_root", merkle.folded(F.coalesce("claimed", "leaf"), F.col("way")))
+    return proofs.select(
+        "doc_id",
+        "leaf",
+        "subroot",
+        "root",
+        F.sha2(merkle.siblings(F.col("way")), 256).alias("proof_sha256"),
+        "folded_root",
+        (F.col("folded_root") == F.col("root")).alias("verified"),
+    )
+
+
+def op13_kronecker_negatives(spark, sf_dir):
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    label = F.expr("if(vec_id % 7 = 0, (label + 1) % 10, label)")
+    return negatives.mine(vectors, F.col("vec_id") % 50 == 0, label)
+
+
 QUERIES = {name: f for name, f in list(globals().items()) if name.startswith("op")}
 
