@@ -19,8 +19,13 @@ bytes. Of every hash a piece sends one row. If the hash occurs several times
 in the piece, that row only says so, and the places, which are decided
 already, travel with their document instead. So a passage that a third of all
 documents hold makes one row per piece, not one per document, and no group of
-copies meets anywhere. Texts are shuffled once: both joins use one exchange,
-whose large partitions adaptive execution can split. Nothing reaches the driver.
+copies meets anywhere. Rows leave a piece in the order of its texts, so that
+the addresses of neighbours compress well. Texts are shuffled once: both joins
+use one exchange, whose large partitions adaptive execution can split. Nothing
+reaches the driver.
+
+A text's address is 64 bits of a hash of doc_id and text for anchors, where a
+clash only adds windows to compare, and 96 bits for windows.
 
 Defined results: a null, empty or blank text has no words, its kept text is
 empty; a text of fewer words than a window is kept whole; repeated rows repeat
@@ -43,7 +48,7 @@ WINDOW = 35
 PERIOD = 21
 COVER = (0, 1, 4, 14, 16)  # every difference modulo 21 occurs, each but 0 once
 ANCHOR = WINDOW - PERIOD + 1
-CHUNK = 12 << 20  # bytes of text worked on at a time
+CHUNK = 6 << 20  # bytes of text worked on at a time
 SEED = 11
 
 U = np.uint64
@@ -129,48 +134,47 @@ def _gathered(batches):
         yield whole[0]
 
 
-ASKED = "key long, tag int, times int, doc_id long, text_key long, at int, known array<int>"
+ASKED = "key long, tag int, text_key long, check int, at int, known array<int>"
+
 
+def _asked(rows: pa.RecordBatch, words: Words, at: np.ndarray, key: np.ndarray, tag: np.ndarray, checked: bool) -> pa.RecordBatch:
+    """One row per distinct (key, tag) of a piece, without an address if the piece has it several times.
 
-def _asked(rows: pa.RecordBatch, words: Words, at: np.ndarray, key: np.ndarray, tag: np.ndarray) -> pa.RecordBatch:
-    """One row per distinct (key, tag) of a piece, and one row per text with the places known to repeat."""
+    And one row per text with the places that are known to repeat by that.
+    ``at`` ascends.
+    """
     order = np.lexsort((tag, key))
-    at, key, tag = at[order], key[order], tag[order]
-    new = np.r_[True, (key[1:] != key[:-1]) | (tag[1:] != tag[:-1])] if len(at) else np.zeros(0, bool)
-    head = np.flatnonzero(new)
-    times = np.diff(np.r_[head, len(at)])
-    single = times == 1
-    several = np.repeat(~single, times)
-    known = np.sort(at[several])
+    new = np.r_[True, (key[order][1:] != key[order][:-1]) | (tag[order][1:] != tag[order][:-1])] if len(at) else np.zeros(0, bool)
+    times = np.diff(np.r_[np.flatnonzero(new), len(at)])
+    single, head = np.zeros(len(at), bool), np.zeros(len(at), bool)
+    single[order] = np.repeat(times == 1, times)
+    head[order] = new
+    known = at[~single]
     texts, place = np.unique(words.owner[known], return_index=True)
-    n, m = len(head), len(texts)
-    owner = words.owner[at[head]]
-    ids, keys = rows.column("doc_id"), rows.column("text_key")
-    of = pa.array(np.r_[owner, texts], mask=np.r_[~single, np.zeros(m, bool)])  # several: no address
-    lists = pa.ListArray.from_arrays(
-        pa.array(np.r_[np.zeros(n), place, len(known)].astype(np.int32), mask=np.r_[np.ones(n, bool), np.zeros(m + 1, bool)]),
-        pa.array(words.number[known].astype(np.int32)),
-    )
+    n, m = int(head.sum()), len(texts)
+    of = pa.array(np.r_[words.owner[at[head]], texts], mask=np.r_[~single[head], np.zeros(m, bool)])
+    offsets = np.r_[np.zeros(n), place, len(known)].astype(np.int32)
+    lists = pa.ListArray.from_arrays(pa.array(offsets, mask=np.arange(n + m + 1) < n), pa.array(words.number[known].astype(np.int32)))
     spread = _mixed(texts.astype(U) + U(1)).view(np.int64)  # only deals these rows out
+    check = rows.column("check").take(of) if checked else pa.nulls(n + m, pa.int32())
     columns = [
         pa.array(np.r_[key[head].view(np.int64), spread]),
         pa.array(np.r_[tag[head], np.zeros(m, np.int32)].astype(np.int32)),
-        pa.array(np.r_[np.minimum(times, 2), np.zeros(m, np.int64)].astype(np.int32)),
-        ids.take(of),
-        keys.take(of),
+        rows.column("text_key").take(of),
+        check,
         pa.array(np.r_[words.number[at[head]], np.zeros(m, np.int64)].astype(np.int32)),
         lists,
     ]
-    return pa.RecordBatch.from_arrays(columns, names=["key", "tag", "times", "doc_id", "text_key", "at", "known"])
+    return pa.RecordBatch.from_arrays(columns, names=["key", "tag", "text_key", "check", "at", "known"])
 
 
 def anchor_batches(batches):
-    """(doc_id, text_key, text) to the anchors at cover places."""
+    """(doc_id, text_key, check, text) to the anchors at cover places."""
     cover = np.zeros(PERIOD, bool)
     cover[list(COVER)] = True
     for rows, words in _pieces(_gathered(batches)):
         at = np.flatnonzero(cover[words.number % PERIOD] & words.room(ANCHOR))
-        yield _asked(rows, words, at, words.runs(at, ANCHOR, 0), np.zeros(len(at), np.int32))
+        yield _asked(rows, words, at, words.runs(at, ANCHOR, 0), np.zeros(len(at), np.int32), False)
 
 
 def _flat(rows: pa.RecordBatch, words: Words) -> np.ndarray:
@@ -181,7 +185,7 @@ def _flat(rows: pa.RecordBatch, words: Words) -> np.ndarray:
 
 
 def window_batches(batches):
-    """(doc_id, text_key, text, places of shared anchors) to the windows that hold one."""
+    """(doc_id, text_key, check, text, places of shared anchors) to the windows that hold one."""
     for rows, words in _pieces(_gathered(batches)):
         anchors = _flat(rows, words)
         begin = np.maximum(anchors - PERIOD + 1, words.begins[words.owner[anchors]])
@@ -190,7 +194,7 @@ def window_batches(batches):
         np.add.at(step, anchors + 1, -1)
         at = np.flatnonzero((np.cumsum(step[:-1]) > 0) & words.room(WINDOW))
         tag = (words.runs(at, WINDOW, 2) >> U(32)).astype(np.uint32).view(np.int32)
-        yield _asked(rows, words, at, words.runs(at, WINDOW, 1), tag)
+        yield _asked(rows, words, at, words.runs(at, WINDOW, 1), tag, True)
 
 
 def kept_batches(batches):
@@ -212,21 +216,24 @@ def kept_batches(batches):
 
 
 def _repeated(asked: DataFrame) -> DataFrame:
-    """``(id, of, places)`` from rows as in ``ASKED``: of every text the places that occur twice or more."""
-    times = F.sum("times").over(Window.partitionBy("key", "tag"))
-    found = asked.withColumn("total", times).filter("known is not null or (total > 1 and times = 1)")
-    each = found.select("doc_id", "text_key", F.explode(F.coalesce("known", F.array("at"))).alias("place"))
-    return each.groupBy(F.col("doc_id").alias("id"), F.col("text_key").alias("of")).agg(F.collect_set("place").alias("places"))
+    """``(of, its_check, places)`` from rows as in ``ASKED``: of every text the places that occur twice or more."""
+    times = F.sum(F.expr("if(known is not null, 0, if(text_key is null, 2, 1))")).over(Window.partitionBy("key", "tag"))
+    found = asked.withColumn("total", times).filter("text_key is not null and (known is not null or total > 1)")
+    each = found.select("text_key", "check", F.explode(F.coalesce("known", F.array("at"))).alias("place"))
+    return each.groupBy(F.col("text_key").alias("of"), F.col("check").alias("its_check")).agg(F.collect_set("place").alias("places"))
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, n_words, n_removed, kept``, the words kept joined by single blanks."""
     ship_package(docs.sparkSession)
     d = pick(docs, "doc_id", "text").withColumn("text", text_or_empty())
-    d = d.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
-    own = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_key") == F.col("of"))
+    d = d.select("doc_id", F.xxhash64("doc_id", "text").alias("text_key"), F.hash("doc_id", "text").alias("check"), "text")
+    columns = [*d.columns, "places"]
+    own = F.col("text_key") == F.col("of")
+    # told as a difference, so that both joins deal texts by text_key only
+    same = F.col("check").cast("long") - F.col("its_check") == 0
     shared = _repeated(d.mapInArrow(anchor_batches, ASKED))
-    held = d.join(shared, own).select("doc_id", "text_key", "text", "places")
+    held = d.join(shared, own).select(columns)
     repeated = _repeated(held.mapInArrow(window_batches, ASKED))
-    both = d.join(repeated, own, "left").select("doc_id", "text", "places")
+    both = d.join(repeated, own & same, "left").select(columns)
     return both.mapInArrow(kept_batches, "doc_id long, n_words long, n_removed long, kept string")
