@@ -11,7 +11,7 @@ anchor at the same place inside, since ``ANCHOR + PERIOD - 1 <= WINDOW``.
 
 1. Anchors are counted. One that occurs twice is shared.
 2. Shared anchors are extended: the windows that hold one (and only those) are
-   hashed whole, with 96 bits, and counted. What occurs twice is repeated.
+   hashed whole, with 80 bits, and counted. What occurs twice is repeated.
 3. The words of repeated windows are left out of their texts.
 
 How it stays in bounds: a task works through its texts in pieces of ``CHUNK``
@@ -24,8 +24,10 @@ the addresses of neighbours compress well. Texts are shuffled once: both joins
 use one exchange, whose large partitions adaptive execution can split. Nothing
 reaches the driver.
 
-A text's address is 64 bits of a hash of doc_id and text for anchors, where a
-clash only adds windows to compare, and 96 bits for windows.
+A row is two longs and a text's address, 64 bits of a hash of doc_id and text.
+The second long holds the word's number, 16 more bits of the address and 16
+more of the window's hash: with 3e12 windows compared, as in 100 TB of which a
+fifth repeats, four in all would be taken for repeated by chance.
 
 Defined results: a null, empty or blank text has no words, its kept text is
 empty; a text of fewer words than a window is kept whole; repeated rows repeat
@@ -134,14 +136,14 @@ def _gathered(batches):
         yield whole[0]
 
 
-ASKED = "key long, tag int, text_key long, check int, at int, known array<int>"
+ASKED = "key long, tail long, text_key long"
+KNOWN = 2**31  # marks a place that is known to repeat
 
 
-def _asked(rows: pa.RecordBatch, words: Words, at: np.ndarray, key: np.ndarray, tag: np.ndarray, checked: bool) -> pa.RecordBatch:
+def _asked(rows: pa.RecordBatch, words: Words, at: np.ndarray, key: np.ndarray, tag: np.ndarray) -> pa.RecordBatch:
     """One row per distinct (key, tag) of a piece, without an address if the piece has it several times.
 
-    And one row per text with the places that are known to repeat by that.
-    ``at`` ascends.
+    And one row per place that is known to repeat by that. ``at`` ascends.
     """
     order = np.lexsort((tag, key))
     new = np.r_[True, (key[order][1:] != key[order][:-1]) | (tag[order][1:] != tag[order][:-1])] if len(at) else np.zeros(0, bool)
@@ -149,23 +151,16 @@ def _asked(rows: pa.RecordBatch, words: Words, at: np.ndarray, key: np.ndarray,
     single, head = np.zeros(len(at), bool), np.zeros(len(at), bool)
     single[order] = np.repeat(times == 1, times)
     head[order] = new
-    known = at[~single]
-    texts, place = np.unique(words.owner[known], return_index=True)
-    n, m = int(head.sum()), len(texts)
-    of = pa.array(np.r_[words.owner[at[head]], texts], mask=np.r_[~single[head], np.zeros(m, bool)])
-    offsets = np.r_[np.zeros(n), place, len(known)].astype(np.int32)
-    lists = pa.ListArray.from_arrays(pa.array(offsets, mask=np.arange(n + m + 1) < n), pa.array(words.number[known].astype(np.int32)))
-    spread = _mixed(texts.astype(U) + U(1)).view(np.int64)  # only deals these rows out
-    check = rows.column("check").take(of) if checked else pa.nulls(n + m, pa.int32())
-    columns = [
-        pa.array(np.r_[key[head].view(np.int64), spread]),
-        pa.array(np.r_[tag[head], np.zeros(m, np.int32)].astype(np.int32)),
-        rows.column("text_key").take(of),
-        check,
-        pa.array(np.r_[words.number[at[head]], np.zeros(m, np.int64)].astype(np.int32)),
-        lists,
-    ]
-    return pa.RecordBatch.from_arrays(columns, names=["key", "tag", "text_key", "check", "at", "known"])
+    # rows in the order of texts: what is asked, then what is known
+    asked, known = np.flatnonzero(head), np.flatnonzero(~single)
+    which = np.r_[asked, known]
+    owner, check = words.owner[at[which]], rows.column("check").to_numpy(zero_copy_only=False)
+    places = words.number[at[which]].astype(U) | np.where(np.arange(len(which)) < len(asked), U(0), U(KNOWN))
+    tail = tag[which] << U(48) | check.astype(U)[owner] << U(32) | places
+    keys = np.r_[key[asked], _mixed(words.owner[at[known]].astype(U) + key[known])]  # only deals the second kind out
+    of = pa.array(owner, mask=np.r_[~single[asked], np.zeros(len(known), bool)])
+    columns = [pa.array(keys.view(np.int64)), pa.array(tail.view(np.int64)), rows.column("text_key").take(of)]
+    return pa.RecordBatch.from_arrays(columns, names=["key", "tail", "text_key"])
 
 
 def anchor_batches(batches):
@@ -174,7 +169,7 @@ def anchor_batches(batches):
     cover[list(COVER)] = True
     for rows, words in _pieces(_gathered(batches)):
         at = np.flatnonzero(cover[words.number % PERIOD] & words.room(ANCHOR))
-        yield _asked(rows, words, at, words.runs(at, ANCHOR, 0), np.zeros(len(at), np.int32), False)
+        yield _asked(rows, words, at, words.runs(at, ANCHOR, 0), np.zeros(len(at), U))
 
 
 def _flat(rows: pa.RecordBatch, words: Words) -> np.ndarray:
@@ -193,8 +188,7 @@ def window_batches(batches):
         np.add.at(step, begin, 1)
         np.add.at(step, anchors + 1, -1)
         at = np.flatnonzero((np.cumsum(step[:-1]) > 0) & words.room(WINDOW))
-        tag = (words.runs(at, WINDOW, 2) >> U(32)).astype(np.uint32).view(np.int32)
-        yield _asked(rows, words, at, words.runs(at, WINDOW, 1), tag, True)
+        yield _asked(rows, words, at, words.runs(at, WINDOW, 1), words.runs(at, WINDOW, 2) >> U(48))
 
 
 def kept_batches(batches):
@@ -215,24 +209,31 @@ def kept_batches(batches):
         yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_words", "n_removed", "kept"])
 
 
-def _repeated(asked: DataFrame) -> DataFrame:
-    """``(of, its_check, places)`` from rows as in ``ASKED``: of every text the places that occur twice or more."""
-    times = F.sum(F.expr("if(known is not null, 0, if(text_key is null, 2, 1))")).over(Window.partitionBy("key", "tag"))
-    found = asked.withColumn("total", times).filter("text_key is not null and (known is not null or total > 1)")
-    each = found.select("text_key", "check", F.explode(F.coalesce("known", F.array("at"))).alias("place"))
-    return each.groupBy(F.col("text_key").alias("of"), F.col("check").alias("its_check")).agg(F.collect_set("place").alias("places"))
+def _repeated(asked: DataFrame, anchors: bool = False) -> DataFrame:
+    """``(of, its_check, places)`` from rows as in ``ASKED``: of every text the places that occur twice or more.
+
+    The check is left out for anchors.
+    """
+    # dealt by the key alone, so that what is made of the tail need not be shuffled
+    dealt = asked.repartition("key").withColumns({"tag": F.expr("shiftrightunsigned(tail, 48)"), "known": F.expr(f"tail & {KNOWN} != 0")})
+    times = F.sum(F.expr("if(known, 0, if(text_key is null, 2, 1))")).over(Window.partitionBy("key", "tag"))
+    found = dealt.withColumn("total", times).filter("text_key is not null and (known or total > 1)")
+    check = F.lit(0) if anchors else F.expr("cast(shiftrightunsigned(tail, 32) & 65535 as int)")
+    place = F.expr(f"cast(tail & {KNOWN - 1} as int)")
+    each = found.select(F.col("text_key").alias("of"), check.alias("its_check"), place.alias("place"))
+    return each.groupBy("of", "its_check").agg(F.collect_set("place").alias("places"))
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, n_words, n_removed, kept``, the words kept joined by single blanks."""
     ship_package(docs.sparkSession)
     d = pick(docs, "doc_id", "text").withColumn("text", text_or_empty())
-    d = d.select("doc_id", F.xxhash64("doc_id", "text").alias("text_key"), F.hash("doc_id", "text").alias("check"), "text")
+    d = d.select("doc_id", F.xxhash64("doc_id", "text").alias("text_key"), F.hash("doc_id", "text").bitwiseAND(65535).alias("check"), "text")
     columns = [*d.columns, "places"]
     own = F.col("text_key") == F.col("of")
     # told as a difference, so that both joins deal texts by text_key only
-    same = F.col("check").cast("long") - F.col("its_check") == 0
-    shared = _repeated(d.mapInArrow(anchor_batches, ASKED))
+    same = F.col("check") - F.col("its_check") == 0
+    shared = _repeated(d.mapInArrow(anchor_batches, ASKED), anchors=True)
     held = d.join(shared, own).select(columns)
     repeated = _repeated(held.mapInArrow(window_batches, ASKED))
     both = d.join(repeated, own & same, "left").select(columns)
