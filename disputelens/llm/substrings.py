@@ -26,7 +26,7 @@ reaches the driver.
 
 A row is two longs and a text's address, 64 bits of a hash of doc_id and text.
 The second long holds the word's number, 16 more bits of the address and 16
-more of the window's hash: with 3e12 windows compared, as in 100 TB of which a
+more of the window's hash (or, of places known to repeat, how many follow): with 3e12 windows compared, as in 100 TB of which a
 fifth repeats, four in all would be taken for repeated by chance.
 
 Defined results: a null, empty or blank text has no words, its kept text is
@@ -138,12 +138,13 @@ def _gathered(batches):
 
 ASKED = "key long, tail long, text_key long"
 KNOWN = 2**31  # marks a place that is known to repeat
+RUN = 2**16  # such places in a row at most
 
 
 def _asked(rows: pa.RecordBatch, words: Words, at: np.ndarray, key: np.ndarray, tag: np.ndarray) -> pa.RecordBatch:
     """One row per distinct (key, tag) of a piece, without an address if the piece has it several times.
 
-    And one row per place that is known to repeat by that. ``at`` ascends.
+    And one row for every run of places that are known to repeat by that. ``at`` ascends.
     """
     order = np.lexsort((tag, key))
     new = np.r_[True, (key[order][1:] != key[order][:-1]) | (tag[order][1:] != tag[order][:-1])] if len(at) else np.zeros(0, bool)
@@ -151,14 +152,22 @@ def _asked(rows: pa.RecordBatch, words: Words, at: np.ndarray, key: np.ndarray,
     single, head = np.zeros(len(at), bool), np.zeros(len(at), bool)
     single[order] = np.repeat(times == 1, times)
     head[order] = new
-    # rows in the order of texts: what is asked, then what is known
     asked, known = np.flatnonzero(head), np.flatnonzero(~single)
+    owner = words.owner[at]
+    follows = (at[known][1:] == at[known][:-1] + 1) & (owner[known][1:] == owner[known][:-1]) if len(known) else np.zeros(0, bool)
+    begin = np.flatnonzero(np.r_[np.ones(min(1, len(known)), bool), ~follows])
+    length = np.diff(np.r_[begin, len(known)])
+    times = -(-length // RUN)  # longer runs are cut
+    nth = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+    more = np.minimum(RUN, np.repeat(length, times) - nth * RUN) - 1
+    known = known[np.repeat(begin, times) + nth * RUN]
+    # rows in the order of texts: what is asked, then what is known
     which = np.r_[asked, known]
-    owner, check = words.owner[at[which]], rows.column("check").to_numpy(zero_copy_only=False)
+    check = rows.column("check").to_numpy(zero_copy_only=False).astype(U)[owner[which]]
     places = words.number[at[which]].astype(U) | np.where(np.arange(len(which)) < len(asked), U(0), U(KNOWN))
-    tail = tag[which] << U(48) | check.astype(U)[owner] << U(32) | places
-    keys = np.r_[key[asked], _mixed(words.owner[at[known]].astype(U) + key[known])]  # only deals the second kind out
-    of = pa.array(owner, mask=np.r_[~single[asked], np.zeros(len(known), bool)])
+    tail = np.r_[tag[asked], more.astype(U)] << U(48) | check << U(32) | places
+    keys = np.r_[key[asked], _mixed(owner[known].astype(U) + key[known])]  # only deals the second kind out
+    of = pa.array(owner[which], mask=np.r_[~single[asked], np.zeros(len(known), bool)])
     columns = [pa.array(keys.view(np.int64)), pa.array(tail.view(np.int64)), rows.column("text_key").take(of)]
     return pa.RecordBatch.from_arrays(columns, names=["key", "tail", "text_key"])
 
@@ -219,8 +228,9 @@ def _repeated(asked: DataFrame, anchors: bool = False) -> DataFrame:
     times = F.sum(F.expr("if(known, 0, if(text_key is null, 2, 1))")).over(Window.partitionBy("key", "tag"))
     found = dealt.withColumn("total", times).filter("text_key is not null and (known or total > 1)")
     check = F.lit(0) if anchors else F.expr("cast(shiftrightunsigned(tail, 32) & 65535 as int)")
-    place = F.expr(f"cast(tail & {KNOWN - 1} as int)")
-    each = found.select(F.col("text_key").alias("of"), check.alias("its_check"), place.alias("place"))
+    first = f"cast(tail & {KNOWN - 1} as int)"
+    places = F.expr(f"explode(sequence({first}, {first} + if(known, cast(tag as int), 0)))")
+    each = found.select(F.col("text_key").alias("of"), check.alias("its_check"), places.alias("place"))
     return each.groupBy("of", "its_check").agg(F.collect_set("place").alias("places"))
 
 
