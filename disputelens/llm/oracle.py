@@ -14,32 +14,33 @@ from .common import UPPER
 LOWER = f"translate(coalesce(text, ''), '{UPPER}', '{UPPER.lower()}')"
 
 _TEMPLATES = ", ".join(
-    f"({t}, '{label}', {str(base).lower()}, {grams}, {place}, '{first}', '{second}')"
-    for t, label, base, grams, place, first, second in licenses.templates()
+    f"({t}, '{label}', {str(base).lower()}, {size}, {place}, '{gram}')" for t, label, base, size, place, gram in licenses.templates()
 )
 
 LICENSES = f"""
-WITH templates(template, label, base, grams, place, first, second) AS (VALUES {_TEMPLATES}),
+WITH templates(template, label, base, size, place, gram) AS (VALUES {_TEMPLATES}),
 texts AS (
   SELECT DISTINCT doc_id, coalesce(text, '') AS text,
     regexp_extract_all({LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
 grams AS (
-  SELECT doc_id, text, i, w[i + 1] AS first, w[i + 2] AS second
-  FROM (SELECT doc_id, text, w, unnest(range(len(w) - 1)) AS i FROM texts)),
-lines AS (
-  SELECT doc_id, text, template, label, base, t.grams AS grams, i - place AS diagonal, count(*) AS votes
-  FROM grams g JOIN templates t USING (first, second) GROUP BY ALL),
-steps AS (
-  SELECT *, CASE WHEN base OR diagonal - lag(diagonal) OVER along <= {licenses.GAP} IS NOT TRUE THEN 1 ELSE 0 END AS step
-  FROM lines WINDOW along AS (PARTITION BY doc_id, text, template ORDER BY diagonal)),
-runs AS (
-  SELECT *, sum(step) OVER (PARTITION BY doc_id, text, template ORDER BY diagonal) AS run FROM steps),
-found AS (
-  SELECT doc_id, text, label, base, min(diagonal) AS start, sum(votes) AS votes, any_value(grams) AS grams
-  FROM runs GROUP BY doc_id, text, template, label, base, run),
+  SELECT doc_id, text, i, array_to_string(w[i + 1:i + k], ' ') AS gram
+  FROM (SELECT doc_id, text, w, k, unnest(range(len(w) - k + 1)) AS i
+        FROM texts, (SELECT unnest([{licenses.PHRASE_K}, {licenses.LICENSE_K}]) AS k))),
+votes AS (
+  SELECT doc_id, text, template, label, base, size, place, i, i - place AS diagonal,
+    greatest({licenses.LEAST_SHIFT}, size // 5) AS step FROM grams JOIN templates USING (gram)),
+phrases AS (
+  SELECT doc_id, text, label, diagonal AS start, 1.0::DOUBLE AS cover FROM votes WHERE base
+  GROUP BY doc_id, text, template, label, size, diagonal HAVING count(DISTINCT place) = size - {licenses.PHRASE_K - 1}),
+-- the votes of a window of diagonals; every word of a license counts once, however many places hold it
+windows AS (SELECT DISTINCT *, floor(diagonal / step) - unnest([0, 1]) AS win FROM votes WHERE NOT base),
+covered AS (
+  SELECT doc_id, text, template, label, size, win, count(DISTINCT word) / size AS cover
+  FROM (SELECT *, unnest(range(place, place + {licenses.LICENSE_K})) AS word FROM windows)
+  GROUP BY doc_id, text, template, label, size, win),
 kept AS (
-  SELECT *, least(1.0, votes / grams)::DOUBLE AS cover FROM found
-  WHERE CASE WHEN base THEN votes = grams ELSE least(1.0, votes / grams) >= {licenses.COVER} END)
+  SELECT doc_id, text, label, true AS base, start, cover FROM phrases
+  UNION ALL SELECT doc_id, text, label, false, NULL, cover FROM covered WHERE cover >= {licenses.COVER})
 SELECT t.doc_id, len(any_value(t.w))::BIGINT AS n_words,
   count(*) FILTER (WHERE base)::BIGINT AS n_base,
   (min(start) FILTER (WHERE base))::BIGINT AS first_word,
