@@ -3,8 +3,11 @@
 Two first-order Markov models over the characters of secrets, one of random
 strings and one of ordinary identifiers, are trained from labelled samples. A
 run of such characters is a secret if its log-likelihood ratio exceeds
-``ODDS``. Besides, three fixed patterns (the base) are found: assignments to
-telling names, access keys and long hexadecimal runs.
+``ODDS``; where a character was rarely seen as the first of a pair, a model
+falls back on how often the second one occurs. Besides, three fixed patterns
+(the base) are found: assignments to telling names, access keys and long
+hexadecimal runs. Of a random run that touches base spans, the parts outside
+them are spans of their own.
 
 Places come without Python: every match is marked in the text, the text is cut
 at the marks, and the lengths of the pieces are summed up in order. Only texts
@@ -36,10 +39,11 @@ KINDS = ("assign", "access", "hex", "markov")
 
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 RUN = "[A-Za-z0-9+/_=-]"
-RUN_LENGTH = 20  # runs scored by the models
+RUN_LENGTH = 12  # runs scored by the models; of fewer characters even random ones seldom reach ODDS
 SAMPLE_LENGTH = 6  # runs they learn from
 SAMPLE_DOCS = 2000  # documents they learn from
-SMOOTHING = 0.5
+SMOOTHING = 0.5  # added to the count of every character
+BACK_OFF = 5.0  # pairs seen with a first character, from which its own counts outweigh those of all
 ODDS = 10.0  # log of how much likelier random must be
 
 OPEN, CLOSE = "\u0001", "\u0002"
@@ -96,16 +100,24 @@ def bigrams(value: str) -> Column:
 
 
 def train(spark: SparkSession, samples: DataFrame) -> DataFrame:
-    """``(bigram, ratio)`` for every pair of the alphabet: the log ratio of its two transition probabilities."""
+    """``(bigram, ratio)`` for every pair of the alphabet: the log ratio of its two transition probabilities.
+
+    p(b | a) = (n(ab) + BACK_OFF * p(b)) / (n(a) + BACK_OFF), p(b) from all pairs.
+    """
     n = len(ALPHABET)
     letter = lambda c: F.substring(F.lit(ALPHABET), (c + 1).cast("int"), F.lit(1))
     grid = spark.range(n * n).select(F.concat(letter(F.floor(F.col("id") / n)), letter(F.col("id") % n)).alias("bigram"))
     seen = samples.select("label", F.explode(bigrams("value")).alias("bigram"))
     counts = seen.groupBy("bigram").agg(F.count_if(F.col("label") == 1).alias("c1"), F.count_if(F.col("label") == 0).alias("c0"))
     table = grid.join(counts, "bigram", "left").na.fill(0, ["c1", "c0"])
-    first = Window.partitionBy(F.substring("bigram", 1, 1))
-    logp = lambda c: F.log((F.col(c) + SMOOTHING) / (F.sum(c).over(first) + SMOOTHING * n))
-    some = F.max(F.col("c1") + F.col("c0")).over(Window.partitionBy(F.lit(1))) > 0  # the grid has n * n rows
+    first, second = (Window.partitionBy(F.substring("bigram", i, 1)) for i in (1, 2))
+    every = Window.partitionBy(F.lit(1))  # the grid has n * n rows
+
+    def logp(c: str) -> Column:
+        own = (F.sum(c).over(second) + SMOOTHING) / (F.sum(c).over(every) + SMOOTHING * n)
+        return F.log((F.col(c) + BACK_OFF * own) / (F.sum(c).over(first) + BACK_OFF))
+
+    some = F.max(F.col("c1") + F.col("c0")).over(every) > 0
     return table.select("bigram", F.when(some, logp("c1") - logp("c0")).otherwise(0.0).alias("ratio"))
 
 
@@ -131,7 +143,7 @@ def spans(docs: DataFrame, samples: DataFrame | None = None) -> DataFrame:
 def scan(docs: DataFrame, samples: DataFrame | None = None) -> DataFrame:
     """One row per text: ``doc_id, text_key, base, more``, arrays of (start, kind, stop) in order.
 
-    ``more`` are the runs the models add that overlap no base span.
+    ``more`` are the runs the models add, without what base spans cover of them.
     """
     d = pick(docs, "doc_id", "text").select("doc_id", F.xxhash64(text_or_empty()).alias("text_key"))
     every = d.select("*", *[F.lit(None).cast(t).alias(c) for c, t in (("kind", "int"), ("start", "long"), ("stop", "long"), ("ratio", "double"))])
@@ -144,8 +156,15 @@ def scan(docs: DataFrame, samples: DataFrame | None = None) -> DataFrame:
             F.array_sort(F.collect_list(F.when(F.col("kind") == 3, one))).alias("runs"),
         )
     )
-    apart = F.expr("filter(runs, r -> not exists(base, b -> b.start < r.stop and r.start < b.stop))")
-    return listed.select("doc_id", "text_key", "base", apart.alias("more"))
+    # a run's parts between the base spans, from left to right
+    span = "named_struct('start', {0}, 'kind', r.kind, 'stop', {1})"
+    walk = (
+        "aggregate(filter(base, b -> b.start < r.stop and r.start < b.stop), "
+        "named_struct('at', r.start, 'parts', cast(array() as array<struct<start: bigint, kind: int, stop: bigint>>)), "
+        f"(a, b) -> named_struct('at', greatest(a.at, b.stop), 'parts', if(b.start > a.at, concat(a.parts, array({span.format('a.at', 'b.start')})), a.parts)), "
+        f"a -> if(a.at < r.stop, concat(a.parts, array({span.format('a.at', 'r.stop')})), a.parts))"
+    )
+    return listed.select("doc_id", "text_key", "base", F.expr(f"flatten(transform(runs, r -> {walk}))").alias("more"))
 
 
 def as_string(spans_column: str) -> Column:
