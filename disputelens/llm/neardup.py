@@ -15,7 +15,8 @@ replaced by others.
 How it stays in bounds:
 
 * documents with equal sets are one node from the start (their classes count
-  through a partial aggregation), so exact copies never meet;
+  through a partial aggregation), so exact copies never meet; a node has a
+  number of its own and one representative, its smallest doc_id and text;
 * half-bands that only one node has are dropped before keys are combined;
 * a key shared by ``STAR_FROM`` nodes or more first links each node with the
   smallest one only, and of these pairs each node keeps the ``BEST_PAIRS``
@@ -35,14 +36,16 @@ How it stays in bounds:
 So every pair that shares a key is either in one component already, or
 confirmed, or more than four standard errors below the threshold by its sketch.
 
-Sets are made anew for the nodes that share a key and stored once; texts are
-shuffled once. Nothing but counts reaches the driver.
+Sets are made anew for the nodes that share a key, from one row of each node's
+representative, and stored once; equal rows are put together before texts are
+shuffled, once. Nothing but counts reaches the driver.
 
 Defined results: a null or empty text, or one of white space only, has an
 empty set and is linked with nothing; a row without doc_id is linked with
 nothing, its component is null and it is kept; rows that repeat a doc_id each
-have the component of their own text; an empty table gives an empty result;
-other columns are ignored.
+have the component of their own text, so one text of a doc_id may be kept and
+another not (``representative`` tells which text stays for a class); an empty
+table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -54,7 +57,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, pick, ship_package, stored, text_or_empty
+from .common import COLUMNS, checkpointed, pick, ship_package, stored, text_or_empty
 from .components import components, rough_labels
 
 WORDS = 5  # in a shingle
@@ -176,7 +179,7 @@ def _chunks(column: pa.Array):
 
 
 def signature_batches(batches):
-    """(doc_id, text) to (doc_id, n_shingles, key_a, key_b, halves, sketch)."""
+    """(doc_id, text_key, text) to (doc_id, text_key, n_shingles, key_a, key_b, halves, sketch)."""
     shingler = _shingler()
     for batch in batches:
         n = len(batch)
@@ -200,26 +203,21 @@ def signature_batches(batches):
             halves[full] = code.view(np.int64)
         lists = pa.ListArray.from_arrays(np.arange(0, 2 * HALVES * n + 1, 2 * HALVES, dtype=np.int32), halves.ravel())
         binary = pa.array([s.tobytes() for s in sketches], pa.binary())
-        columns = [batch.column("doc_id"), pa.array(counts), pa.array(keys[:, 0]), pa.array(keys[:, 1]), lists, binary]
-        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "key_a", "key_b", "halves", "sketch"])
+        ids = [batch.column("doc_id"), batch.column("text_key")]
+        columns = [*ids, pa.array(counts), pa.array(keys[:, 0]), pa.array(keys[:, 1]), lists, binary]
+        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_key", "n_shingles", "key_a", "key_b", "halves", "sketch"])
 
 
 def set_batches(batches):
-    """(node, key_a, text) to (node, members): the sorted hashes of the full set.
-
-    Rows whose text is not the node's (another text of the same doc_id) are left out.
-    """
+    """(node, text) to (node, members): the sorted hashes of the full set."""
     shingler = _shingler()
     for batch in batches:
         rows = []
         for _, data, starts in _chunks(batch.column("text")):
             hashes, counts = shingler.sets(data, starts)
             rows += np.split(hashes, np.cumsum(counts)[:-1])
-        with np.errstate(over="ignore"):
-            own = np.array([mix(x + U(1)).sum(dtype=U) for x in rows], U).view(np.int64) == batch.column("key_a").to_numpy()
         members = pa.array([x.tobytes() for x in rows], pa.binary())
-        made = pa.RecordBatch.from_arrays([batch.column("node"), members], names=["node", "members"])
-        yield made.filter(pa.array(own))
+        yield pa.RecordBatch.from_arrays([batch.column("node"), members], names=["node", "members"])
 
 
 def linked_batches(batches):
@@ -394,35 +392,80 @@ def other_pairs(keys: DataFrame, labels: DataFrame, nodes: DataFrame, best: bool
     return found.select("a", "b")
 
 
-def classes(docs: DataFrame) -> DataFrame:
-    """One row per document: ``doc_id, n_shingles, component_id, kept``."""
+def node_sets(d: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``(node, members)``, one row for each node in ``wanted`` (node, doc_id, text_key), from the texts in ``d``.
+
+    Equal rows are one before they are shuffled, so a much repeated row is one
+    row of each task.
+    """
+    once = d.groupBy("doc_id", "text_key").agg(F.first("text").alias("text"))
+    w = wanted.select("node", F.col("doc_id").alias("id"), F.col("text_key").alias("of"))
+    texts = once.join(w, (F.col("doc_id") == F.col("id")) & (F.col("text_key") == F.col("of")))
+    return texts.select("node", "text").mapInArrow(set_batches, "node long, members binary")
+
+
+def linked(docs: DataFrame) -> DataFrame:
+    """One row per row of ``docs``: ``doc_id, text_key, n_shingles, component_id, kept, representative``.
+
+    ``text_key`` is the xxhash64 of the text (null: empty). ``representative``
+    holds for the one doc_id and text that stays of a class, and for rows that
+    are linked with nothing.
+    """
     ship_package(docs.sparkSession)
     d = pick(docs, "doc_id", "text").withColumn("text", text_or_empty())
-    signed = "doc_id long, n_shingles long, key_a long, key_b long, halves array<long>, sketch binary"
+    d = d.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
+    signed = "doc_id long, text_key long, n_shingles long, key_a long, key_b long, halves array<long>, sketch binary"
     signs = stored(d.mapInArrow(signature_batches, signed), "signatures")
     real = signs.filter(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
-    # one node per distinct set, named by its smallest doc_id; its other columns are the same in all its rows
+    # one node per distinct set; its other columns are the same in all its rows
     nodes = real.groupBy("key_a", "key_b").agg(
-        F.min("doc_id").alias("node"), *[F.first(c).alias(c) for c in ("n_shingles", "halves", "sketch")]
+        F.min(F.struct("doc_id", "text_key")).alias("own"), *[F.first(c).alias(c) for c in ("n_shingles", "halves", "sketch")]
     )
-    nodes = stored(nodes, "nodes")
+    # sorted, so that reruns number alike
+    numbered = nodes.sortWithinPartitions("key_a", "key_b").withColumn("node", F.monotonically_increasing_id())
+    nodes = stored(numbered.select("node", "key_a", "key_b", "own.*", "n_shingles", "halves", "sketch"), "nodes")
     keys = stored(shared_keys(nodes), "keys")
-    wanted = nodes.select("node", "key_a").join(keys.select("node").distinct(), "node", "left_semi")
-    texts = d.join(wanted, d["doc_id"] == wanted["node"]).select("node", "key_a", "text")
-    sets = stored(texts.mapInArrow(set_batches, "node long, members binary"), "sets")
+    wanted = nodes.select("node", "doc_id", "text_key").join(keys.select("node").distinct(), "node", "left_semi")
+    sets = stored(node_sets(d, wanted), "sets")
     stars = checkpointed(confirmed(star_pairs(keys), sets))
     near = stars.unionByName(confirmed(other_pairs(keys, rough_labels(stars), nodes, best=True), sets))
     near = checkpointed(near)
     rest = confirmed(other_pairs(keys, rough_labels(near, rounds=2), nodes, best=False), sets)
     final = components(near.unionByName(rest))
-    named = nodes.select("key_a", "key_b", "node").join(final, "node", "left")
-    named = named.select("key_a", "key_b", F.coalesce("label", "node").alias("class"))
+    light = nodes.select("node", "key_a", "key_b", F.struct("doc_id", "text_key").alias("own"))
+    in_class = light.join(final, "node", "left").select("key_a", "key_b", "own", F.coalesce("label", "node").alias("label"))
+    least = in_class.groupBy("label").agg(F.min("own").alias("first"))
+    named = in_class.join(least, "label").select("key_a", "key_b", "first")
     out = signs.drop("halves", "sketch").join(named, ["key_a", "key_b"], "left")
-    in_class = F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)
-    component = F.when(in_class, F.col("class")).otherwise(F.col("doc_id"))
+    has_class = F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)
+    component = F.when(has_class, F.col("first.doc_id")).otherwise(F.col("doc_id"))
     return out.select(
         "doc_id",
+        "text_key",
         "n_shingles",
         component.alias("component_id"),
         F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"),
+        (~has_class | (F.struct("doc_id", "text_key") == F.col("first"))).alias("representative"),
     )
+
+
+def classes(docs: DataFrame) -> DataFrame:
+    """One row per row of ``docs``: ``doc_id, n_shingles, component_id, kept``."""
+    return linked(docs).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """The documents that stay, one of each class, with the columns of ``documents``.
+
+    Which rows go is decided by text, so a doc_id with two texts may lose one
+    of them. Rows that repeat doc_id and text are one; of different values in
+    their other columns the smallest stay. Rows without doc_id and those
+    without words are linked with nothing and stay.
+    """
+    found = linked(docs).filter(~F.col("representative")).select("doc_id", "text_key").distinct()
+    gone = found.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_of"))
+    d = pick(docs, *COLUMNS).withColumn("_key", F.xxhash64(text_or_empty()))
+    rest = F.struct("lang", "source", "n_chars", "text")
+    once = d.groupBy("doc_id", "_key").agg(F.min(rest).alias("_row"))
+    left = once.join(gone, (F.col("doc_id") == F.col("_id")) & (F.col("_key") == F.col("_of")), "left_anti")
+    return left.select("doc_id", "_row.*").select(*COLUMNS)
