@@ -14,9 +14,9 @@ result does not depend on the number of buckets.
 
 Defined results: a null or empty text has size 0, takes nothing and has null
 positions; a null source is a source of its own, last in order; rows that
-repeat a doc_id and text count each in ``plan``, next to each other in line,
-and take equal copies in ``curriculum``; an empty table gives an empty result;
-other columns are ignored.
+repeat a doc_id and text count each, next to each other in line, and rows of
+one doc_id and text in two sources are planned apart; an empty table gives an
+empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACES, checkpointed, pick, text_or_empty, words_of
+from .common import COLUMNS, SPACES, checkpointed, pick, text_or_empty, words_of
 
 WEIGHTS = (1, 2, 3)  # of the sources in code point order, repeating
 CAP = 3  # passes over a document at most
@@ -94,20 +94,15 @@ def line() -> Column:
 def sized(docs: DataFrame) -> DataFrame:
     """``(doc_id, source, size, line)``: what the mix needs to know of a document."""
     d = pick(docs, "doc_id", "text", "source")
-    return d.select(
-        "doc_id",
-        "source",
-        word_count(text_or_empty()).alias("size"),
-        line().alias("line"),
-    )
+    return d.select("doc_id", "source", word_count(text_or_empty()).alias("size"), line().alias("line"))
 
 
 def plan(docs: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     """One row per document: ``doc_id, size, source, source_size, target, taken, passes``.
 
     ``passes`` is an array of (pass, words, position), one entry per copy that
-    the mix takes; the copy at the end of a source's target is cut to the
-    words still wanted. Words are counted once; the counts (a few bytes per
+    the mix takes; of the copy at the end of a source's target only the words
+    still wanted count. Words are counted once; the counts (a few bytes per
     document) are checkpointed, since sums, targets and places all need them.
     """
     counted = checkpointed(sized(docs))
@@ -153,20 +148,19 @@ def ordered(mix: DataFrame) -> DataFrame:
 
 
 def curriculum(docs: DataFrame, buckets: int = BUCKETS) -> DataFrame:
-    """The mixed corpus: the rows of ``docs``, one per copy taken, sorted by training position.
+    """The mixed corpus: one row per copy taken, sorted by training position.
 
-    The columns of ``documents`` are returned. A copy that is cut keeps the
-    words wanted of it (at most one copy per source).
+    The columns of ``documents`` are returned, and texts are whole: of the one
+    copy at the end of a source's target that the plan would cut, all is taken
+    if at least half is wanted, else nothing. Equal rows (by doc_id, text and
+    source) come as often as their plans say; if they differ in lang or
+    n_chars, all have the smallest.
     """
-    cols = ["doc_id", "text", "lang", "source", "n_chars"]
-    docs = pick(docs, *cols)
-    mix = plan(docs, buckets).groupBy("line", "doc_id").agg(F.max("passes").alias("_passes"), F.max("size").alias("_size"))
-    mix = mix.withColumnsRenamed({"line": "_line", "doc_id": "_id"})
-    keyed = docs.withColumn("_key", line())
-    both = keyed.join(mix, (F.col("_key") == F.col("_line")) & F.col("doc_id").eqNullSafe(F.col("_id")))
-    copies = both.withColumn("_copy", F.explode("_passes"))
-    short = F.col("_copy.words") < F.col("_size")
-    cut = F.array_join(F.slice(words_of(F.col("text"), SPACES), F.lit(1), F.col("_copy.words").cast("int")), " ")
-    copies = copies.withColumn("text", F.when(short, cut).otherwise(F.col("text")))
-    copies = copies.withColumn("n_chars", F.when(short, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return copies.orderBy("_copy.position", "doc_id", "_copy.pass").select(*cols)
+    mix = plan(docs, buckets).withColumn("copy", F.explode("passes")).filter(2 * F.col("copy.words") >= F.col("size"))
+    copies = mix.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("line").alias("_line"), "copy.position", "copy.pass")
+    # a light row per copy meets one row per distinct document, so a much repeated row is split on the copies' side
+    d = pick(docs, *COLUMNS).withColumn("_key", line())
+    once = d.groupBy("doc_id", "source", "_key").agg(F.min(F.struct("lang", "n_chars", "text")).alias("_row"))
+    own = (F.col("_key") == F.col("_line")) & F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source"))
+    both = copies.join(once, own).orderBy("position", "doc_id", "pass")
+    return both.select("doc_id", "source", "_row.*").select(*COLUMNS)
