@@ -6,19 +6,24 @@ as the next stage's ``docs``. All stages but the last return the columns of
 ``documents``.
 
 Nulls, empty texts, ties, repeated rows and empty tables are defined by the
-operators; a stage adds: a document without doc_id passes quality and
-duplicate checks like any other (it is a class of its own), and rows that
-repeat a doc_id and text are one document from the duplicate stage on. Extra
-columns of ``docs`` are dropped by the first stage.
+operators; a stage adds: a document without doc_id passes the quality stage
+like any other and is a class of its own in the duplicate stage; which rows
+that stage drops is decided by text, so a doc_id with two texts may lose one
+of them; rows that repeat a doc_id and text are one document from there on.
+Texts are never cut: the mix takes whole copies. Extra columns of ``docs`` are
+dropped by the first stage.
+
+The curriculum decides how often a document is taken. Its order is that of the
+rows of the mixing stage, but packing deals documents at random and does not
+keep it.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from disputelens.llm import mixing, neardup, packing, quality, secrets
-from disputelens.llm.common import COLUMNS, documents, pick, stored
+from disputelens.llm.common import COLUMNS, documents, stored
 from disputelens.llm.queries import held_back, tokenizer_path
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,16 +34,8 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate class: the one with the smallest doc_id.
-
-    A doc_id with several texts goes if none of them is kept; equal rows become one.
-    """
-    rows = neardup.classes(docs).filter(F.col("doc_id").isNotNull())
-    dropped = rows.groupBy("doc_id").agg(F.bool_or("kept").alias("kept")).filter(~F.col("kept"))
-    dropped = dropped.select(F.col("doc_id").alias("_id"))
-    d = pick(docs, *COLUMNS)
-    left = d.join(dropped, d["doc_id"] == F.col("_id"), "left_anti")
-    return left.withColumn("_text", F.xxhash64("text")).dropDuplicates(["doc_id", "_text"]).select(*COLUMNS)
+    """One document of each near-duplicate class: the one with the smallest doc_id (and text hash)."""
+    return neardup.keep_one(docs)
 
 
 def secret_redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -64,7 +61,7 @@ STAGES = [
     ("packing", sequence_packing),
 ]
 
-# Trained models and tokenizers are not expressible in SQL; tests compare every stage with brute force.
+# Trained models and tokenizers are not expressible in SQL; tests/llm/test_pipeline.py compares every stage with plain Python.
 ORACLE_SQL = None
 
 
