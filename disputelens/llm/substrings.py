@@ -25,7 +25,8 @@ use one exchange, whose large partitions adaptive execution can split. Nothing
 reaches the driver.
 
 A row is two longs and a text's address, 64 bits of a hash of doc_id and text.
-The second long holds the word's number, 16 more bits of the address and 16
+The first long is the hash, of anchors 48 bits (a clash only adds windows to
+compare). The second holds the word's number, 16 more bits of the address and 16
 more of the window's hash (or, of places known to repeat, how many follow): with 3e12 windows compared, as in 100 TB of which a
 fifth repeats, four in all would be taken for repeated by chance.
 
@@ -141,7 +142,7 @@ KNOWN = 2**31  # marks a place that is known to repeat
 RUN = 2**16  # such places in a row at most
 
 
-def _asked(rows: pa.RecordBatch, words: Words, at: np.ndarray, key: np.ndarray, tag: np.ndarray) -> pa.RecordBatch:
+def _asked(rows: pa.RecordBatch, words: Words, at: np.ndarray, key: np.ndarray, tag: np.ndarray, checked: bool) -> pa.RecordBatch:
     """One row per distinct (key, tag) of a piece, without an address if the piece has it several times.
 
     And one row for every run of places that are known to repeat by that. ``at`` ascends.
@@ -163,7 +164,7 @@ def _asked(rows: pa.RecordBatch, words: Words, at: np.ndarray, key: np.ndarray,
     known = known[np.repeat(begin, times) + nth * RUN]
     # rows in the order of texts: what is asked, then what is known
     which = np.r_[asked, known]
-    check = rows.column("check").to_numpy(zero_copy_only=False).astype(U)[owner[which]]
+    check = rows.column("check").to_numpy(zero_copy_only=False).astype(U)[owner[which]] if checked else np.zeros(len(which), U)
     places = words.number[at[which]].astype(U) | np.where(np.arange(len(which)) < len(asked), U(0), U(KNOWN))
     tail = np.r_[tag[asked], more.astype(U)] << U(48) | check << U(32) | places
     keys = np.r_[key[asked], _mixed(owner[known].astype(U) + key[known])]  # only deals the second kind out
@@ -178,7 +179,7 @@ def anchor_batches(batches):
     cover[list(COVER)] = True
     for rows, words in _pieces(_gathered(batches)):
         at = np.flatnonzero(cover[words.number % PERIOD] & words.room(ANCHOR))
-        yield _asked(rows, words, at, words.runs(at, ANCHOR, 0), np.zeros(len(at), U))
+        yield _asked(rows, words, at, words.runs(at, ANCHOR, 0) >> U(16), np.zeros(len(at), U), False)
 
 
 def _flat(rows: pa.RecordBatch, words: Words) -> np.ndarray:
@@ -197,7 +198,7 @@ def window_batches(batches):
         np.add.at(step, begin, 1)
         np.add.at(step, anchors + 1, -1)
         at = np.flatnonzero((np.cumsum(step[:-1]) > 0) & words.room(WINDOW))
-        yield _asked(rows, words, at, words.runs(at, WINDOW, 1), words.runs(at, WINDOW, 2) >> U(48))
+        yield _asked(rows, words, at, words.runs(at, WINDOW, 1), words.runs(at, WINDOW, 2) >> U(48), True)
 
 
 def kept_batches(batches):
