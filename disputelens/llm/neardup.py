@@ -417,13 +417,14 @@ def linked(docs: DataFrame) -> DataFrame:
     signed = "doc_id long, text_key long, n_shingles long, key_a long, key_b long, halves array<long>, sketch binary"
     signs = stored(d.mapInArrow(signature_batches, signed), "signatures")
     real = signs.filter(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
-    # one node per distinct set; its other columns are the same in all its rows
-    nodes = real.groupBy("key_a", "key_b").agg(
-        F.min(F.struct("doc_id", "text_key")).alias("own"), *[F.first(c).alias(c) for c in ("n_shingles", "halves", "sketch")]
-    )
-    # sorted, so that reruns number alike
-    numbered = nodes.sortWithinPartitions("key_a", "key_b").withColumn("node", F.monotonically_increasing_id())
-    nodes = stored(numbered.select("node", "key_a", "key_b", "own.*", "n_shingles", "halves", "sketch"), "nodes")
+    # one node per distinct set, numbered in the order of the smallest doc_id and text that has it: so the star
+    # of a key is its oldest document, from which later ones were often made
+    own = real.groupBy("key_a", "key_b").agg(F.min(F.struct("doc_id", "text_key")).alias("own")).select("key_a", "key_b", "own.*")
+    ranged = own.repartitionByRange("doc_id", "text_key").sortWithinPartitions("doc_id", "text_key")
+    numbers = stored(ranged.withColumn("node", F.monotonically_increasing_id()), "numbers")
+    # its other columns are the same in all its rows
+    made = real.groupBy("key_a", "key_b").agg(*[F.first(c).alias(c) for c in ("n_shingles", "halves", "sketch")])
+    nodes = stored(made.join(numbers, ["key_a", "key_b"]), "nodes")
     keys = stored(shared_keys(nodes), "keys")
     wanted = nodes.select("node", "doc_id", "text_key").join(keys.select("node").distinct(), "node", "left_semi")
     sets = stored(node_sets(d, wanted), "sets")
