@@ -79,7 +79,11 @@ def items_by_status(invoices: DataFrame) -> DataFrame:
     Read from the per-invoice status counters, so no item-level join is
     needed; statuses without items are absent, as in a plain group-by.
     """
-    sums = invoices.filter(_not_filed()).agg(*[F.sum(c).alias(c) for c in STATUS_COUNTERS.values()])
+    return status_rows(invoices.filter(_not_filed()).agg(*[F.sum(c).alias(c) for c in STATUS_COUNTERS.values()]))
+
+
+def status_rows(sums: DataFrame) -> DataFrame:
+    """One row of status counters as ``(status, n_items)``, statuses with items only."""
     pairs = ", ".join(f"'{s}', {STATUS_COUNTERS[s]}" for s in VALID_STATUSES)
     long = sums.selectExpr(f"stack({len(VALID_STATUSES)}, {pairs}) as (status, n_items)")
     return long.filter(F.col("n_items") > 0).orderBy("status")
@@ -128,7 +132,15 @@ def intake_series(invoices: DataFrame, grain: str = "auto", column: str = "notif
             raise ValueError(f"unknown grain {grain!r}")
         day = F.col(column).cast("date")
         return dated.groupBy(_bucket(day, grain).alias("bucket")).agg(F.count(F.lit(1)).alias("n_invoices"))
-    daily = dated.groupBy(F.col(column).cast("date").alias("day")).agg(F.count(F.lit(1)).alias("n"))
+    return series_of(dated.groupBy(F.col(column).cast("date").alias("day")).agg(F.count(F.lit(1)).alias("n")), grain)
+
+
+def series_of(daily: DataFrame, grain: str = "auto") -> DataFrame:
+    """W3 from counts per day (day, n): ``(bucket, grain, n_invoices)``, or without ``grain`` if one is given."""
+    if grain != "auto":
+        if grain not in (GRAIN_YEAR, GRAIN_MONTH, GRAIN_DAY):
+            raise ValueError(f"unknown grain {grain!r}")
+        return daily.groupBy(_bucket(F.col("day"), grain).alias("bucket")).agg(F.sum("n").alias("n_invoices"))
     everything = Window.partitionBy()
     span = F.datediff(F.max("day").over(everything), F.min("day").over(everything))
     labelled = daily.withColumn("grain", grain_for_span(span))
@@ -163,6 +175,11 @@ def dashboard_scalars(invoices: DataFrame, column: str = "notified_on") -> DataF
         F.coalesce(F.sum(F.when(~filed, money("open_balance"))).cast("double"), F.lit(0.0)).alias("not_filed_balance"),
         F.datediff(F.max(column).cast("date"), F.min(column).cast("date")).cast("long").alias("span_days"),
     )
+    return with_checks(row)
+
+
+def with_checks(row: DataFrame) -> DataFrame:
+    """The scalar row with its category sum, whether that agrees with the total, and the grain of its span."""
     categorized = sum((F.col(f"n_{c.lower()}") for c in CATEGORIES), F.lit(0).cast("long"))
     return row.withColumns(
         {
@@ -190,7 +207,11 @@ def category_shares(invoices: DataFrame) -> DataFrame:
     the not-filed total. Shares in percent with one decimal; ``label`` is the
     slice label and ``title`` the page title of the invoice list it opens (P11).
     """
-    counts = invoices.agg(*[F.count_if(F.col("category") == c).alias(c) for c in CATEGORIES])
+    return shares_of(invoices.agg(*[F.count_if(F.col("category") == c).alias(c) for c in CATEGORIES]))
+
+
+def shares_of(counts: DataFrame) -> DataFrame:
+    """A12 from one row with the count of each category."""
     not_filed_total = sum((F.col(c) for c in NOT_FILED_CATEGORIES), F.lit(0))
     wide = counts.select(
         *CATEGORIES, not_filed_total.alias("not_filed"), (F.col(FILED_CATEGORY) + not_filed_total).alias("all")
@@ -233,6 +254,10 @@ def payer_chart_filter(
 
 __all__ = [
     "dashboard_scalars",
+    "with_checks",
+    "status_rows",
+    "series_of",
+    "shares_of",
     "notified_range",
     "category_counts",
     "balance_kpis",

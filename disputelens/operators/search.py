@@ -14,6 +14,8 @@ shuffle. The rows are the same either way.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,6 +27,8 @@ from .invoices import invoices
 
 # A label list of this many entries (about 64 bytes each) is a few tens of MB.
 BROADCAST_MAX_IDS = 500_000
+# Labels whose series and numbers go into the header scan's filter; a longer list is only joined.
+PUSH_MAX_LABELS = 1_000
 
 # Whitespace removed around each pasted line: Unicode white space plus the
 # ASCII separators U+001C..U+001F, like Python's str.strip().
@@ -78,6 +82,46 @@ def label_headers(headers: DataFrame) -> DataFrame:
     return headers.withColumn("invoice_label", invoice_label())
 
 
+def label_splits(labels: list[str]) -> tuple[list[str], list[int]]:
+    """The series and the numbers that a header with one of ``labels`` can have.
+
+    A label is a series followed by a number, without a mark between them, so
+    every split of it counts whose second part is written as a number is.
+    """
+    series, numbers = set(), set()
+    for label in labels:
+        for k in range(len(label) + 1):
+            head, tail = label[:k], label[k:]
+            if not tail:
+                series.add(head)
+            elif re.fullmatch("0|-?[1-9][0-9]{0,18}", tail) and -(2**63) <= int(tail) < 2**63:
+                series.add(head)
+                numbers.add(int(tail))
+    return sorted(series), sorted(numbers)
+
+
+def maybe_labelled(headers: DataFrame, labels: list[str]) -> DataFrame:
+    """Headers that can have one of ``labels``, by constant conditions on series and number.
+
+    They reach the header scan, which then reads only row groups (with Parquet
+    Bloom filters or sorted numbers) that can hold a match. Null parts print
+    as nothing, so they always may match. Exact labels are compared after.
+    """
+    if len(labels) > PUSH_MAX_LABELS:
+        return headers
+    series, numbers = label_splits(labels)
+    number = F.col("invoice_no").isin(numbers) | F.col("invoice_no").isNull() if numbers else F.col("invoice_no").isNull()
+    return headers.filter((F.col("series").isin(series) | F.col("series").isNull()) & number)
+
+
+def known_labels(ids: str | list | DataFrame) -> list[str] | None:
+    """The distinct cleaned labels of a list held by the driver; None for a DataFrame."""
+    if isinstance(ids, DataFrame):
+        return None
+    lines = re.split(r"\r?\n", ids) if isinstance(ids, str) else [str(v) for v in ids]
+    return sorted({v for v in (line.strip() for line in lines) if v})
+
+
 def matched_headers(labelled: DataFrame, ids: DataFrame, small: bool) -> DataFrame:
     """Header rows whose label is searched, each once, with the label's number of ``repeats``."""
     repeats = ids.groupBy("invoice_label").agg(F.count(F.lit(1)).alias("repeats"))
@@ -137,6 +181,9 @@ __all__ = [
     "clean_id_lines",
     "clean_ids",
     "label_headers",
+    "label_splits",
+    "maybe_labelled",
+    "known_labels",
     "matched_headers",
     "matched_items",
     "search_found",

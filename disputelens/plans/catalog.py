@@ -19,9 +19,11 @@ from ..operators import base as B
 from ..operators import invoices as I
 from ..operators import kpis as K
 from ..operators import reports as R
-from ..schema import ALL_NOT_FILED_TITLE, CATEGORIES, CATEGORY_TITLES, EXPORT_HEADINGS, LEGACY_COLUMNS, REPORT_COLUMNS, ROW_KIND_TEXT, SEARCH_SHEET, SHEET_NAMES
+from ..operators.cube import merge_cubes
+from ..schema import ALL_NOT_FILED_TITLE, CATEGORIES, CATEGORY_TITLES, EXPORT_HEADINGS, ITEM_SCREEN_HEADINGS, LEGACY_COLUMNS, REPORT_COLUMNS, ROW_KIND_TEXT, SEARCH_SHEET, SHEET_NAMES, SUMMARY_SCREEN_HEADINGS
 from ..session import scratch_path
-from ..sources.export import display_headings
+from ..sources.export import display_headings, screen_headings
+from ..sources.layout import save_clustered
 from ..sources.tables import load_tables, project_driver_tables
 from . import composites as C
 
@@ -170,6 +172,16 @@ def q18t_page_totals(spark, sf_dir):
     return _page(spark, sf_dir)[1]
 
 
+DEEP_PAGE = 9
+DEEP_SIZE = 500
+
+
+def q18d_deep_page(spark, sf_dir):
+    """R2 on a stored list of all summaries in small parts: a page far in."""
+    listed = C.index_summaries(*_tables(spark, sf_dir), part_rows=2_000)
+    return listed.page(DEEP_PAGE, DEEP_SIZE)
+
+
 def q19_integrity(spark, sf_dir):
     return K.integrity_check(_disputes(spark, sf_dir).invoices)
 
@@ -179,6 +191,12 @@ def q20_claim_detail(spark, sf_dir):
     return C.claim_detail(headers, items, DETAIL_CLAIM)
 
 
+def q20c_claim_detail_clustered(spark, sf_dir):
+    """R4 on tables sorted by claim."""
+    root = save_clustered(*_tables(spark, sf_dir), scratch_path(spark, "clustered"))
+    return C.claim_detail(*load_tables(spark, root), DETAIL_CLAIM)
+
+
 def _search(spark, sf_dir) -> C.SearchResult:
     headers, items = _tables(spark, sf_dir)
     return C.search(spark, headers, items, SEARCH_TEXT)
@@ -214,6 +232,16 @@ def q24_display(spark, sf_dir):
     )
 
 
+def q24s_summary_screen(spark, sf_dir):
+    """P8, second map: all summaries under the headings of the on-screen invoice list."""
+    return screen_headings(R.summary_rows(_disputes(spark, sf_dir).invoices), "summary")
+
+
+def q24i_item_screen(spark, sf_dir):
+    """P8, second map: all items under the headings of the on-screen drill-down."""
+    return screen_headings(R.detail_rows(_disputes(spark, sf_dir).base), "item")
+
+
 def q25_report_export(spark, sf_dir):
     path = scratch_path(spark, "report-export")
     d = _disputes(spark, sf_dir)
@@ -281,6 +309,13 @@ def q30_dashboard(spark, sf_dir):
     return C.dashboard(*_tables(spark, sf_dir), reliable=True).materialize().long()
 
 
+def q30m_dashboard_merged(spark, sf_dir):
+    """R1 from two cubes, of even and of odd claims, added up."""
+    headers, items = _tables(spark, sf_dir)
+    halves = [C.dashboard(headers.filter(f"claim_id % 2 = {i}"), items, reliable=True).materialize().cube for i in (0, 1)]
+    return C.dashboard(headers, items).with_cube(merge_cubes(*halves)).long()
+
+
 def q30r_dashboard_range(spark, sf_dir):
     return C.dashboard(*_tables(spark, sf_dir), *H1, reliable=True).materialize().long()
 
@@ -544,6 +579,11 @@ SELECT coalesce(strftime(notified_on, '%Y-%m-%d'), '') AS notified_on, invoice_l
 FROM pg
 ORDER BY s_series ASC NULLS FIRST, s_invoice_no ASC NULLS FIRST, claim_id ASC NULLS FIRST, invoice_label ASC NULLS FIRST
 LIMIT 20 OFFSET 20"""
+    q["q18d_deep_page"] = (
+        q["q18_page"]
+        .replace("WHERE category IN ('T2', 'T3', 'T4', 'Mixed') AND payer = 'NATION_3'", "")
+        .replace("LIMIT 20 OFFSET 20", f"LIMIT {DEEP_SIZE} OFFSET {(DEEP_PAGE - 1) * DEEP_SIZE}")
+    )
     q["q18t_page_totals"] = all_inv + f""",
 pg AS ({page_src})
 SELECT 2 AS page, count(*) AS total_rows, CAST(ceil(count(*) / 20) AS BIGINT) AS total_pages,
@@ -555,6 +595,7 @@ SELECT count(*) AS total_invoices,
        count(*) = sum(CASE WHEN category IN ('T1', 'T2', 'T3', 'T4', 'Mixed') THEN 1 ELSE 0 END) AS consistent
 FROM cat"""
     q["q20_claim_detail"] = all_base + f"\nSELECT {_DETAIL_COLS} FROM base WHERE claim_id = 4"
+    q["q20c_claim_detail_clustered"] = q["q20_claim_detail"]
     q["q21_clean_ids"] = search + """,
 per_label AS (SELECT invoice_label, CAST(sum(total_items) AS BIGINT) AS n_items FROM found GROUP BY invoice_label)
 SELECT i.pos, i.invoice_label, p.n_items IS NOT NULL AS found, coalesce(p.n_items, 0) AS n_items
@@ -583,6 +624,12 @@ SELECT invoice_label, claim_id,
        '$' || replace(format('{:,}', CAST(round(coalesce(open_balance, 0)) AS BIGINT)), ',', '.') AS amount,
        total_items
 FROM cat"""
+    for key, src, headings in (
+        ("q24s_summary_screen", f"SELECT {_SUMMARY_COLS} FROM cat", SUMMARY_SCREEN_HEADINGS),
+        ("q24i_item_screen", f"SELECT {_DETAIL_COLS} FROM base", ITEM_SCREEN_HEADINGS),
+    ):
+        shown = ", ".join(f'{c} AS "{h}"' for c, h in headings.items())
+        q[key] = all_inv + f"\nSELECT {shown} FROM ({src})"
     heading = {c: h for c, h in EXPORT_HEADINGS.items() if c != "row_kind"}
     shown = ", ".join(f'{c} AS "{h}"' for c, h in heading.items())
     kind = (
@@ -668,6 +715,7 @@ UNION ALL SELECT 'status', b.status, count(*)::DOUBLE
 UNION ALL SELECT 'intake_' || g.grain, CAST(CAST(date_trunc(g.grain, c.{day}) AS DATE) AS VARCHAR), count(*)::DOUBLE
   FROM cat c, g WHERE c.{day} IS NOT NULL GROUP BY ALL
 UNION ALL SELECT 'share_' || chart, category, pct FROM shares"""
+    q["q30m_dashboard_merged"] = q["q30_dashboard"]
     return q
 
 

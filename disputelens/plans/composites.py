@@ -13,12 +13,14 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import base as B
+from ..operators import cube as Q
 from ..operators import invoices as I
 from ..operators import kpis as K
 from ..operators import reports as R
 from ..operators import search as S
+from ..operators.paging import PART_ROWS, SummaryIndex
 from ..schema import BASE_COLUMNS, PAGE_SIZE, ROW_DETAIL, TOP_N
-from ..session import checkpointed
+from ..session import checkpointed, scratch_path
 from ..sources.export import export_report, export_search
 
 
@@ -75,12 +77,13 @@ class Disputes:
 class Dashboard:
     """Every KPI table of the dashboard for one date range.
 
-    All KPIs read ``invoices``. ``materialize()`` computes it once for all of
-    them: by default it is persisted (memory and disk; lineage kept, so a lost
-    executor only recomputes its own blocks); with ``reliable=True`` it is
-    checkpointed into ``spark.checkpoint.dir`` (shared storage on a cluster),
-    which cuts the lineage so the KPI jobs never go back to the raw tables.
-    ``close()`` releases a persisted relation. Usable as a context manager.
+    All KPIs read one cube (``operators.cube``), which is made in one pass over
+    the invoices. ``materialize()`` computes it once for all of them: by
+    default it is persisted (memory and disk; lineage kept, so a lost executor
+    only recomputes its own blocks); with ``reliable=True`` it is checkpointed
+    into ``spark.checkpoint.dir`` (shared storage on a cluster), which cuts the
+    lineage so the KPI jobs never go back to the raw tables. ``close()``
+    releases a persisted cube. Usable as a context manager.
     """
 
     disputes: Disputes
@@ -91,13 +94,26 @@ class Dashboard:
 
     @property
     def invoices(self) -> DataFrame:
-        return self._checkpointed if self._checkpointed is not None else self.disputes.invoices
+        return self.disputes.invoices
+
+    @cached_property
+    def _cube(self) -> DataFrame:
+        return Q.kpi_cube(self.disputes.invoices)
+
+    @property
+    def cube(self) -> DataFrame:
+        return self._checkpointed if self._checkpointed is not None else self._cube
+
+    def with_cube(self, cube: DataFrame) -> "Dashboard":
+        """The same tables from a stored cube, say one merged from those of several months."""
+        self._checkpointed = cube
+        return self
 
     def materialize(self) -> "Dashboard":
         if self.reliable and self._checkpointed is None:
-            self._checkpointed = checkpointed(self.disputes.invoices)
+            self._checkpointed = checkpointed(self._cube)
         elif not self.reliable and self._persisted is None:
-            self._persisted = self.disputes.invoices.persist(StorageLevel.MEMORY_AND_DISK)
+            self._persisted = self._cube.persist(StorageLevel.MEMORY_AND_DISK)
         return self
 
     def close(self) -> None:
@@ -112,36 +128,36 @@ class Dashboard:
         self.close()
 
     def scalars(self) -> DataFrame:
-        """All scalar KPIs in one row, from one aggregation pass."""
-        return K.dashboard_scalars(self.invoices)
+        """All scalar KPIs in one row."""
+        return Q.scalars(self.cube)
 
     def category_counts(self) -> DataFrame:
-        return K.category_counts(self.invoices)
+        return Q.category_counts(self.cube)
 
     def balances(self) -> DataFrame:
-        return K.balance_kpis(self.invoices)
+        return Q.balance_kpis(self.cube)
 
     def top_payers_by_count(self) -> DataFrame:
-        return K.top_payers_by_count(self.invoices, self.top_n)
+        return Q.top_payers_by_count(self.cube, self.top_n)
 
     def top_payers_by_balance(self) -> DataFrame:
-        return K.top_payers_by_balance(self.invoices, self.top_n)
+        return Q.top_payers_by_balance(self.cube, self.top_n)
 
     def items_by_status(self) -> DataFrame:
-        return K.items_by_status(self.invoices)
+        return Q.items_by_status(self.cube)
 
     def integrity(self) -> DataFrame:
-        return K.integrity_check(self.invoices)
+        return Q.integrity_check(self.cube)
 
     def intake(self, grain: str = "auto") -> DataFrame:
-        return K.intake_series(self.invoices, grain)
+        return Q.intake_series(self.cube, grain)
 
     def shares(self) -> DataFrame:
-        return K.category_shares(self.invoices)
+        return Q.category_shares(self.cube)
 
     def is_empty(self) -> bool:
         """No invoice in the range (the original answers with an error then)."""
-        return self.invoices.isEmpty()
+        return self.cube.isEmpty()
 
     def tables(self) -> dict[str, DataFrame]:
         return {
@@ -182,6 +198,51 @@ def dashboard(
 # ---------------------------------------------------------------- R2 paged summaries
 
 
+class PagedSummaries:
+    """R2 for many clicks: the filtered summaries stored once in report order, pages and totals read from there."""
+
+    def __init__(self, index: SummaryIndex):
+        self.index = index
+
+    def page(self, number: int, size: int = PAGE_SIZE) -> DataFrame:
+        """One page in report layout plus ``category``, dates as text, null text as ''."""
+        return self._shown(self.index.page(number, size))
+
+    def after(self, key: tuple | None, size: int = PAGE_SIZE) -> DataFrame:
+        """The page that follows the (series, number, claim, label) of the last row shown."""
+        return self._shown(self.index.after(key, size))
+
+    def totals(self, number: int | None = None, size: int = PAGE_SIZE) -> DataFrame:
+        """Page (null for one found by key), row count, page count and the money total of all filtered rows."""
+        return self.index.totals(number, size)
+
+    @staticmethod
+    def _shown(rows: DataFrame) -> DataFrame:
+        return R.format_page_rows(R.report_columns(rows, extra=["category"]))
+
+
+def index_summaries(
+    headers: DataFrame,
+    items: DataFrame,
+    start=None,
+    end=None,
+    categories: list[str] | None = None,
+    payer: str | None = None,
+    path: str | None = None,
+    part_rows: int = PART_ROWS,
+) -> PagedSummaries:
+    """R2: store the filtered summaries of a date range for paging.
+
+    Summaries come straight from the invoice aggregate (no detail rows are
+    built), computed once. No dates means all dates, no categories means all
+    categories. They are stored below ``path``, by default a fresh folder in
+    ``spark.checkpoint.dir``.
+    """
+    d = Disputes(headers, items, start, end)
+    summaries = R.by_payer(R.by_category(R.summary_rows(d.invoices), categories), payer)
+    return PagedSummaries(SummaryIndex.build(summaries, path or scratch_path(headers.sparkSession, "summaries"), part_rows))
+
+
 def paged_summaries(
     headers: DataFrame,
     items: DataFrame,
@@ -193,23 +254,18 @@ def paged_summaries(
     size: int = PAGE_SIZE,
     after: tuple | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """R2: one page of invoice summaries and its totals.
+    """R2: one page of invoice summaries and its totals, both from one stored list (``index_summaries``).
 
-    Summaries come straight from the invoice aggregate (no detail rows are
-    built). No dates means all dates, no categories means all categories.
     ``after`` (the series, number, claim and label of the previous page's last
-    row) selects the next page by key instead of by number, at the same cost
-    for any depth.
-    Returns ``(rows, totals)``: rows in report layout plus
-    ``category``, dates as text, null text as ''; totals with page (null for a
-    page found by key), row count, page count and the money total of all
-    filtered rows.
+    row) selects the next page by key instead of by number. For several pages
+    of the same list keep ``index_summaries``.
     """
-    d = Disputes(headers, items, start, end)
-    summaries = R.by_payer(R.by_category(R.summary_rows(d.invoices), categories), payer)
-    picked = R.page(summaries, page, size) if after is None else R.page_after(summaries, after, size)
-    rows = R.report_columns(picked, extra=["category"])
-    return R.format_page_rows(rows), R.page_totals(summaries, page if after is None else None, size)
+    if after is None and (page < 1 or size < 1):
+        raise ValueError("page and size start at 1")
+    listed = index_summaries(headers, items, start, end, categories, payer)
+    if after is not None:
+        return listed.after(after, size), listed.totals(None, size)
+    return listed.page(page, size), listed.totals(page, size)
 
 
 # ---------------------------------------------------------------- R3 search
@@ -231,7 +287,8 @@ class SearchResult:
     def __init__(self, spark: SparkSession, headers: DataFrame, items: DataFrame, ids):
         d = Disputes(headers, items)
         self.ids, self._small = S.clean_ids(spark, ids)
-        self._labelled = S.label_headers(d.headers)
+        labels = S.known_labels(ids)
+        self._labelled = S.label_headers(d.headers if labels is None else S.maybe_labelled(d.headers, labels))
         self._items = d.items
 
     @cached_property
@@ -282,10 +339,15 @@ def report(headers: DataFrame, items: DataFrame, path: str, start=None, end=None
 
     False, and nothing written, when the range has no item.
     """
+    spark = headers.sparkSession
     rows = Disputes(headers, items, start, end).report_rows()
-    if rows.isEmpty():
+    # the label join runs once; the emptiness test and the sampling of the ordered write read what it stored
+    kept = scratch_path(spark, "report-rows")
+    rows.write.parquet(kept)
+    stored = spark.read.schema(rows.schema).parquet(kept)
+    if stored.isEmpty():
         return False
-    export_report(rows, path, fmt)
+    export_report(stored, path, fmt)
     return True
 
 
@@ -321,6 +383,8 @@ __all__ = [
     "Disputes",
     "Dashboard",
     "dashboard",
+    "PagedSummaries",
+    "index_summaries",
     "paged_summaries",
     "SearchResult",
     "search",

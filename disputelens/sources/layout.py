@@ -1,4 +1,4 @@
-"""Optional storage layout: both tables bucketed by claim_id.
+"""Optional storage layouts: both tables bucketed by claim_id, or sorted by it.
 
 Every join and every per-claim aggregate in the library is keyed on
 claim_id. When both tables are stored bucketed on claim_id with the same
@@ -12,7 +12,13 @@ which no claim dominates; with a dominating claim leave the tables as they
 are, and adaptive execution splits the claim. The choice is the caller's;
 nothing here switches by itself, and the registered queries use plain tables.
 
-The tables are written as external catalog tables at a path on shared
+For single claims and single invoices (drill-down, search) ``save_clustered``
+stores plain Parquet folders, range-sorted by claim_id: a claim then lies in
+one or two row groups, found by their minima and maxima, and a row group
+without the invoice number that is looked for is told by its Bloom filter.
+``sources.tables.load_tables`` reads them.
+
+The bucketed tables are written as external catalog tables at a path on shared
 storage (by default below ``spark.checkpoint.dir``); ``drop_bucketed`` removes
 them from the catalog.
 """
@@ -48,6 +54,21 @@ def save_bucketed(
     return names
 
 
+def save_clustered(headers: DataFrame, items: DataFrame, path: str, group_bytes: int = 16 << 20) -> str:
+    """Write both tables below ``path``, sorted by claim_id over all files, in row groups of about ``group_bytes``.
+
+    The sort is by (claim_id, a second column), so that a dominating claim is
+    spread over several files.
+    """
+    for df, name, then in ((headers, "invoice_headers", "invoice_no"), (items, "dispute_items", "disputed_on")):
+        writer = df.orderBy("claim_id", then).write.option("parquet.block.size", group_bytes)
+        bloomed = ("invoice_no",) if name == "invoice_headers" else ()
+        for c in bloomed:
+            writer = writer.option(f"parquet.bloom.filter.enabled#{c}", "true")
+        writer.parquet(f"{path.rstrip('/')}/{name}.parquet")
+    return path
+
+
 def load_bucketed(spark: SparkSession, prefix: str = "disputes") -> tuple[DataFrame, DataFrame]:
     """The two bucketed tables, as written by ``save_bucketed``."""
     return spark.table(f"{prefix}_invoice_headers"), spark.table(f"{prefix}_dispute_items")
@@ -65,4 +86,4 @@ def bucket_count(df: DataFrame, target_bytes: int = 512 << 20, low: int = 8) ->
     return max(low, -(-size // target_bytes))
 
 
-__all__ = ["save_bucketed", "load_bucketed", "drop_bucketed", "bucket_count"]
+__all__ = ["save_bucketed", "save_clustered", "load_bucketed", "drop_bucketed", "bucket_count"]
