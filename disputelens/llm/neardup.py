@@ -245,8 +245,9 @@ def compared_batches(batches, best: bool):
         sizes = rows["n_shingles"].to_numpy()
         sketch = np.frombuffer(b"".join(rows["sketch"].to_pylist()), np.uint8).reshape(-1, SKETCH)
         key, block = rows["key"].to_numpy(), rows["block"].to_numpy()
-        halves = None if best else rows["halves"].combine_chunks().flatten().to_numpy().reshape(-1, 2 * HALVES)
-        nth = rows["nth"].to_numpy()
+        codes = rows["halves"].combine_chunks()
+        ends = np.r_[0, np.cumsum(codes.value_lengths().to_numpy(zero_copy_only=False))]
+        codes = codes.flatten().to_numpy()
         cut = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (block[1:] != block[:-1]), True])
         found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
         for lo, hi in zip(cut[:-1], cut[1:]):
@@ -264,10 +265,9 @@ def compared_batches(batches, best: bool):
                 i, j = np.nonzero(good)
                 a, b = p[i], members[j]
                 if not best and len(a):
-                    # a pair is reported by the first of its keys only
-                    shared = halves[a] == halves[b]
-                    first = shared[:, :HALVES].argmax(1) * HALVES + shared[:, HALVES:].argmax(1)
-                    once = (first == nth[lo]) & ~(probe[a] & probe[b] & (node[a] > node[b]))
+                    # a pair is reported by the first of its keys only: the one before which it shares no half-band
+                    before = codes[ends[lo] : ends[hi]].reshape(hi - lo, -1)
+                    once = ~(before[a - lo] == before[b - lo]).any(1) & ~(probe[a] & probe[b] & (node[a] > node[b]))
                     a, b, i, j = a[once], b[once], i[once], j[once]
                 found.append((a, b, same[i, j]))
         i, j = (np.concatenate([f[k] for f in found]) for k in (0, 1))
@@ -372,7 +372,7 @@ def other_pairs(keys: DataFrame, labels: DataFrame, nodes: DataFrame, best: bool
     mixed = mixed.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("labels"), F.max(F.struct("n", "label")).alias("main"))
     mixed = mixed.filter("labels > 1").select("key", F.col("main.label").alias("main"), F.ceil(F.col("n") / BLOCK).alias("blocks"))
     rows = placed.join(mixed, "key").withColumn("probe", F.col("label") != F.col("main"))
-    # 31 bits of each half-band tell which ones a pair shares; only needed to report a pair once
+    # 31 bits of each half-band tell which ones a pair shares; those before the key's own ones are sent along
     codes = F.transform("halves", lambda h: h.bitwiseAND(F.lit(2**31 - 1)).cast("int"))
     codes = F.array().cast("array<int>") if best else codes
     if best:
@@ -380,7 +380,10 @@ def other_pairs(keys: DataFrame, labels: DataFrame, nodes: DataFrame, best: bool
     else:
         rows = divided(rows, per, mixed)
     rows = rows.join(nodes.select("node", "n_shingles", codes.alias("halves"), "sketch"), "node")
-    rows = rows.select("key", "nth", "block", "node", "label", "probe", "member", "n_shingles", "halves", "sketch")
+    if not best:
+        i, j = (F.floor(F.col("nth") / HALVES).cast("int"), (F.col("nth") % HALVES).cast("int"))
+        rows = rows.withColumn("halves", F.concat(F.slice("halves", F.lit(1), i), F.slice("halves", F.lit(HALVES + 1), j)))
+    rows = rows.select("key", "block", "node", "label", "probe", "member", "n_shingles", "halves", "sketch")
     dealt = rows.repartition("key", "block").sortWithinPartitions("key", "block")
 
     def compare(batches):
@@ -417,14 +420,13 @@ def linked(docs: DataFrame) -> DataFrame:
     signed = "doc_id long, text_key long, n_shingles long, key_a long, key_b long, halves array<long>, sketch binary"
     signs = stored(d.mapInArrow(signature_batches, signed), "signatures")
     real = signs.filter(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
-    # one node per distinct set, numbered in the order of the smallest doc_id and text that has it: so the star
-    # of a key is its oldest document, from which later ones were often made
-    own = real.groupBy("key_a", "key_b").agg(F.min(F.struct("doc_id", "text_key")).alias("own")).select("key_a", "key_b", "own.*")
-    ranged = own.repartitionByRange("doc_id", "text_key").sortWithinPartitions("doc_id", "text_key")
-    numbers = stored(ranged.withColumn("node", F.monotonically_increasing_id()), "numbers")
-    # its other columns are the same in all its rows
-    made = real.groupBy("key_a", "key_b").agg(*[F.first(c).alias(c) for c in ("n_shingles", "halves", "sketch")])
-    nodes = stored(made.join(numbers, ["key_a", "key_b"]), "nodes")
+    # one node per distinct set; its other columns are the same in all its rows
+    nodes = real.groupBy("key_a", "key_b").agg(
+        F.min(F.struct("doc_id", "text_key")).alias("own"), *[F.first(c).alias(c) for c in ("n_shingles", "halves", "sketch")]
+    )
+    # sorted, so that reruns number alike
+    numbered = nodes.sortWithinPartitions("key_a", "key_b").withColumn("node", F.monotonically_increasing_id())
+    nodes = stored(numbered.select("node", "key_a", "key_b", "own.*", "n_shingles", "halves", "sketch"), "nodes")
     keys = stored(shared_keys(nodes), "keys")
     wanted = nodes.select("node", "doc_id", "text_key").join(keys.select("node").distinct(), "node", "left_semi")
     sets = stored(node_sets(d, wanted), "sets")
