@@ -14,7 +14,8 @@ Broadcast: the latent basis and at most 2 x ``SAMPLE`` vectors of ``RANK``.
 
 Defined results: a null text is the empty text; an empty text, which has no
 term, scores by all labelled vectors alike; without labels every score is 0.5;
-several labels of one document count as their smallest; null labels are left
+several labels of one document count as their smallest; of several texts of a
+labelled doc_id the one with the smallest hash is learned; null labels are left
 out; repeated rows are handled each on their own; an empty table gives an
 empty result; other columns are ignored.
 """
@@ -139,7 +140,9 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     top = marks.withColumn("r", F.row_number().over(salted)).filter(F.col("r") <= sample)
     top = top.withColumn("r", F.row_number().over(whole)).filter(F.col("r") <= sample).select("doc_id", "quality")
     found = pick(docs, "doc_id", "text").join(F.broadcast(top), "doc_id")  # at most sample rows per label
-    rows = term_rows(found.dropDuplicates(["doc_id"]), ("doc_id", "quality")).collect()  # a bounded sample
+    one = F.min(F.struct(F.xxhash64("text").alias("h"), "text", "quality")).alias("one")
+    found = found.groupBy("doc_id").agg(one).select("doc_id", "one.text", "one.quality")
+    rows = term_rows(found, ("doc_id", "quality")).collect()  # a bounded sample
     rows.sort(key=lambda r: r["doc_id"])
     x = np.array([np.frombuffer(r["terms"], np.float16) for r in rows], np.float32).reshape(len(rows), TERMS)
     return latent(x, np.array([r["quality"] for r in rows]))
