@@ -19,7 +19,8 @@ recall stays above 0.9 even there (measured in the README).
 
 Defined results: rows without vec_id, and vectors that are null, zero, of
 another length than most, or hold null or non-finite components take no part;
-rows that repeat a vec_id are one vector, the nearest of them; equal cosines
+rows that repeat a vec_id are one vector, the nearest of them, and as a query
+the smallest by components; vectors of any finite magnitude are compared; equal cosines
 are ordered by vec_id; fewer candidates than ``k`` are all returned; an empty
 table gives an empty result; other columns are ignored.
 """
@@ -87,8 +88,14 @@ class Forest:
             yield np.flatnonzero(found)
 
 
+def scaled(vectors: np.ndarray) -> np.ndarray:
+    """The vectors with largest components of 1/2 to 1: powers of two change no cosine, and squares stay finite."""
+    return np.ldexp(vectors, -np.frexp(np.abs(vectors).max(1))[1][:, None])
+
+
 def nearest(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, row_ids: np.ndarray, k: int) -> list[tuple]:
     """The k nearest candidates of each query in one block, as (query, row, cosine)."""
+    queries, rows = scaled(queries), scaled(rows)
     q_norm, r_norm = np.sqrt((queries * queries).sum(1)), np.sqrt((rows * rows).sum(1))
     forest = Forest(rows / r_norm[:, None])
     enough = max(TREES * min(LEAST, len(rows)), int(ASCENT * len(rows)))
@@ -127,7 +134,7 @@ def search(vectors: DataFrame, is_query, k: int = 5, block: int = BLOCK, query_b
     """``query_id, rank, vec_id, score``: the k nearest found of every row for which ``is_query`` holds."""
     ship_package(vectors.sparkSession)
     index = usable(vectors)
-    queries = index.filter(is_query).dropDuplicates(["vec_id"])
+    queries = index.filter(is_query).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
     blocks, query_blocks = partitions_for(index.count(), block), partitions_for(queries.count(), query_block)
     dealt = index.select(
         F.pmod(F.xxhash64("vec_id", "embedding"), F.lit(blocks).cast("long")).alias("block"),
