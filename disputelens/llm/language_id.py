@@ -12,7 +12,7 @@ of bounded size), and texts are summed up word by word, whole.
 
 Learning uses a bounded sample: per language the ``SAMPLE_DOCS`` documents
 first by a hash of their text, their letters cut together at ``SAMPLE_CHARS`` characters per
-language. The sample is found with a salted top-k, so no language is gathered
+language, before they are collected, for the ``LANGUAGES`` most frequent labels. The sample is found with a salted top-k, so no language is gathered
 in one task. Broadcast: languages x ``SAMPLE_CHARS`` characters.
 
 Defined results: a null text or one without a letter is ``und`` with score 0;
@@ -36,7 +36,9 @@ from .common import pick, ship_package
 SAMPLE_DOCS = 60  # per language
 SAMPLE_CHARS = 30_000  # per language
 SALTS = 64
+LANGUAGES = 200  # the most frequent labels
 KEPT_WORDS = 500_000
+KEPT_CHARS = 64  # longer words seldom repeat and are not kept
 UNDETERMINED = "und"
 
 
@@ -87,9 +89,13 @@ class SuffixAutomaton:
         return count
 
 
-def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS) -> dict[str, str]:
-    """``{language: text}`` from documents with ``text`` and a non-null ``lang``."""
-    d = pick(docs, "text", "lang").filter(F.col("text").isNotNull() & F.col("lang").isNotNull())
+def learn(
+    docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS, languages: int = LANGUAGES
+) -> dict[str, str]:
+    """``{language: text}`` from documents with ``text`` and a non-null ``lang``, for the most frequent languages."""
+    counted = pick(docs, "lang").na.drop().groupBy("lang").count().orderBy(F.desc("count"), "lang")
+    known = [r["lang"] for r in counted.limit(languages).collect()]
+    d = pick(docs, "text", "lang").filter(F.col("text").isNotNull() & F.col("lang").isin(known))
     d = d.select("lang", "text", F.xxhash64("text").alias("h"), (F.abs(F.xxhash64("text", F.lit(1))) % SALTS).alias("salt"))
     ids = d.select("lang", "h", "salt").distinct()
     salted = Window.partitionBy("lang", "salt").orderBy("h")
@@ -98,8 +104,11 @@ def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_chars: int = S
     top = top.withColumn("r", F.row_number().over(whole)).filter(F.col("r") <= sample_docs).select("lang", "h")
     found = d.join(F.broadcast(top), ["lang", "h"])  # at most sample_docs rows per language
     cut = found.groupBy("lang", "h").agg(F.substring(F.min("text"), 1, sample_chars).alias("text"))
+    cut = cut.withColumn("text", F.trim(F.regexp_replace("text", OTHERS, " ")))
+    before = F.sum(F.length("text")).over(whole.rowsBetween(Window.unboundedPreceding, -1))
+    cut = cut.withColumn("before", F.coalesce(before, F.lit(0))).filter(F.col("before") < sample_chars).select("lang", "h", "text")
     texts: dict[str, str] = {}
-    for lang, _, text in sorted(tuple(r) for r in cut.collect()):  # at most sample_docs texts per language, each bounded
+    for lang, _, text in sorted(tuple(r) for r in cut.collect()):  # under 2 * sample_chars characters per language
         have = texts.get(lang, "")
         texts[lang] = " ".join([have, *LETTERS(text.lower())]).strip()[:sample_chars]
     return texts
@@ -107,6 +116,7 @@ def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_chars: int = S
 
 # runs of letters, the only characters parsed: marks and digits say nothing of a language
 LETTERS = re.compile(r"[^\W\d_]+").findall
+OTHERS = "[^\\p{L}\\p{Nl}\\p{No}]+"  # what stands between them, for Spark
 
 _PARSERS: dict = {}
 
@@ -126,7 +136,7 @@ class Parser:
         packed = sum(map(len, runs)) << (len(self.automata) * self.bits)
         for i, a in enumerate(self.automata):
             packed |= sum(map(a.phrases, runs)) << (i * self.bits)
-        if len(self.words) < KEPT_WORDS:
+        if len(self.words) < KEPT_WORDS and len(word) <= KEPT_CHARS:
             self.words[word] = packed
         return packed
 
