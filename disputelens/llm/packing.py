@@ -9,8 +9,10 @@ or more is filled by cutting the pieces of the emptiest sequences, and the one
 sequence left over is cut into sequences of a power of two, which need no
 padding.
 
-Groups depend on doc_id and text alone, so a task that is run again gives the
-same rows. Ids travel to their group once, two bytes each.
+Groups depend on doc_id, text and the row's place in its input partition, so
+rows that repeat one document are spread over the groups like any others, and a
+task that is run again on a stored table gives the same rows. Ids travel to
+their group once, two bytes each.
 
 Defined results: a null or empty text is its end id alone; rows that repeat a
 doc_id are packed each on their own; an empty table gives an empty result;
@@ -125,13 +127,15 @@ def pack(
     """One row per piece, with its ids as little-endian unsigned 32-bit integers.
 
     ``sequence_id`` and ``offset`` say where the piece stands; pieces of a
-    sequence follow each other without gaps.
+    sequence follow each other without gaps. ``docs`` should be a stored table,
+    whose rows keep their places.
     """
     ship_package(docs.sparkSession)
     d = pick(docs, "doc_id", "text").withColumn("text", text_or_empty())
     groups = partitions_for(docs.count(), group_docs)
-    key, dtype = F.xxhash64(F.lit(SEED), "doc_id", "text"), id_type(tokenizer)
-    dealt = d.select(F.pmod(key, F.lit(groups)).alias("bundle"), key.alias("key"), "doc_id", "text")
+    key, dtype = F.xxhash64(F.lit(SEED), "doc_id", "text", F.monotonically_increasing_id()), id_type(tokenizer)
+    dealt = d.select(key.alias("key"), "doc_id", "text")
+    dealt = dealt.select(F.pmod("key", F.lit(groups)).alias("bundle"), "key", "doc_id", "text")
 
     def encode(batches):
         code = encoder(tokenizer)
