@@ -18,6 +18,7 @@ import numpy as np
 
 KEPT_PIECES = 200_000  # entries of each table; later pieces are encoded anew each time
 KEPT_WORDS = 300_000
+KEPT_CHARS = 64  # longer ones seldom repeat and are not kept
 
 # The normaliser and splitter for which the short way holds.
 NORMALIZER = {
@@ -88,7 +89,7 @@ class Encoder:
     def word(self, word: str) -> bytes:
         mapped = word.encode().decode("latin-1").translate(self.letters)
         ids = np.array([t.id for t in self.tokenizer.model.tokenize(mapped)], dtype=self.dtype).tobytes()
-        if len(self.words) < KEPT_WORDS:
+        if len(self.words) < KEPT_WORDS and len(word) <= KEPT_CHARS:
             self.words[word] = ids
         return ids
 
@@ -98,7 +99,7 @@ class Encoder:
             ids = b"".join([known[w] if w in known else self.word(w) for w in self.split(piece.lower())])
         else:
             ids = self.whole(piece)
-        if len(self.pieces) < KEPT_PIECES:
+        if len(self.pieces) < KEPT_PIECES and len(piece) <= KEPT_CHARS:
             self.pieces[piece] = ids
         return ids
 
