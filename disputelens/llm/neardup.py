@@ -26,11 +26,13 @@ How it stays in bounds:
   outside a key's most frequent label are compared with one block (about
   ``BLOCK`` nodes) of the key on sketches of 256 minhashes, and each node's
   ``BEST_PAIRS`` likeliest pairs are confirmed;
-* what still has different labels after that is compared with all nodes of the
-  key whose size allows a link, and all pairs whose estimated similarity is
-  above ``LEAST_ESTIMATE`` are confirmed. A key of more than ``BLOCK`` nodes is
+* keys that still have different labels after that are put together by their
+  first half-band, so a node is sent once for its up to ``HALVES`` keys there;
+  each node outside a group's most frequent label is compared with all nodes of
+  the group whose size allows a link, and all pairs whose estimated similarity is
+  above ``LEAST_ESTIMATE`` are confirmed. A group of more than ``BLOCK`` nodes is
   divided into cells of two parts of about ``BLOCK`` nodes, so no task holds a
-  whole key; of a key with n nodes of like size and all of different labels
+  whole group; of a group with n nodes of like size and all of different labels
   each node is sent to n / ``BLOCK`` cells.
 
 So every pair that shares a key is either in one component already, or
@@ -72,6 +74,7 @@ BLOCK = 512
 BAND = 1.34  # ratio of sizes within a band; more than 100 / PERCENT, so that similar sets are in the same or neighbouring bands
 CHUNK = 1 << 21  # bytes of text worked on at a time
 SEED = 7
+SECOND_BITS = 24  # of a table key, from both its half-bands; the others are from the first one alone
 
 U = np.uint64
 
@@ -235,7 +238,7 @@ def compared_batches(batches, best: bool):
     """Rows of (key, block), sorted by them, to pairs (a, b, same) of different labels that may be similar.
 
     ``best`` keeps only the likeliest partner of each probe in each key and
-    block; else every pair comes once, by the first key it shares.
+    block; else every pair comes once, by the first half-band it shares.
     """
     held: list[pa.RecordBatch] = []
 
@@ -265,7 +268,7 @@ def compared_batches(batches, best: bool):
                 i, j = np.nonzero(good)
                 a, b = p[i], members[j]
                 if not best and len(a):
-                    # a pair is reported by the first of its keys only: the one before which it shares no half-band
+                    # a pair is reported by the first of its groups only: the one before which it shares no half-band
                     before = codes[ends[lo] : ends[hi]].reshape(hi - lo, -1)
                     once = ~(before[a - lo] == before[b - lo]).any(1) & ~(probe[a] & probe[b] & (node[a] > node[b]))
                     a, b, i, j = a[once], b[once], i[once], j[once]
@@ -306,7 +309,8 @@ def shared_keys(nodes: DataFrame) -> DataFrame:
     sides = left.select("node", side(lambda h: h["nth"] < HALVES).alias("xs"), side(lambda h: h["nth"] >= HALVES).alias("ys"))
     keys = sides.select("node", "ys", F.explode("xs").alias("x")).select("node", "x", F.explode("ys").alias("y"))
     nth = F.col("x.nth") * HALVES + F.col("y.nth") - HALVES
-    keys = keys.select("node", F.xxhash64("x.half", "y.half").alias("key"), nth.alias("nth"))
+    key = F.expr(f"(xxhash64(x.half) & {-1 << SECOND_BITS}L) | (xxhash64(x.half, y.half) & {(1 << SECOND_BITS) - 1}L)")
+    keys = keys.select("node", key.alias("key"), nth.alias("nth"))
     common = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
     return keys.join(common, "key", "left_semi")
 
@@ -355,6 +359,26 @@ def divided(rows: DataFrame, per: DataFrame, mixed: DataFrame) -> DataFrame:
     return rows.select("key", "nth", "node", "label", "c.*")
 
 
+def most_frequent(per: DataFrame) -> DataFrame:
+    """``(key, main, blocks)`` of the keys whose nodes have several labels, from counts by key, label and band."""
+    mixed = per.groupBy("key", "label").agg(F.sum("n").alias("n")).groupBy("key")
+    mixed = mixed.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("labels"), F.max(F.struct("n", "label")).alias("main"))
+    return mixed.filter("labels > 1").select("key", F.col("main.label").alias("main"), F.ceil(F.col("n") / BLOCK).alias("blocks"))
+
+
+def by_first_half(placed: DataFrame) -> DataFrame:
+    """The nodes of keys with several labels, by the first half-band of these keys: ``key`` is its number, ``nth`` its place.
+
+    Two nodes of a key with several labels meet at every first half-band that
+    they share, since their second one makes a key with it too.
+    """
+    several = placed.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most")).filter("least < most").select("key")
+    table = F.floor(F.col("nth") / HALVES).cast("int")
+    key = F.shiftright("key", SECOND_BITS) * HALVES + table
+    group = placed.join(several, "key", "left_semi").select("node", "label", "band", table.alias("nth"), key.alias("key"))
+    return group.dropDuplicates(["key", "node"])
+
+
 def other_pairs(keys: DataFrame, labels: DataFrame, nodes: DataFrame, best: bool) -> DataFrame:
     """Pairs (a, b) that share a key, have different labels, and may be similar by their sketches.
 
@@ -367,13 +391,12 @@ def other_pairs(keys: DataFrame, labels: DataFrame, nodes: DataFrame, best: bool
     band = F.floor(F.log("n_shingles") / math.log(BAND))
     known = nodes.select("node", band.alias("band")).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     placed = keys.join(known, "node")
+    placed = placed if best else stored(by_first_half(placed), "mixed")
     per = placed.groupBy("key", "label", "band").agg(F.count(F.lit(1)).alias("n"))
-    mixed = per.groupBy("key", "label").agg(F.sum("n").alias("n")).groupBy("key")
-    mixed = mixed.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("labels"), F.max(F.struct("n", "label")).alias("main"))
-    mixed = mixed.filter("labels > 1").select("key", F.col("main.label").alias("main"), F.ceil(F.col("n") / BLOCK).alias("blocks"))
+    mixed = most_frequent(per)
     rows = placed.join(mixed, "key").withColumn("probe", F.col("label") != F.col("main"))
-    # 31 bits of each half-band tell which ones a pair shares; those before the key's own ones are sent along
-    codes = F.transform("halves", lambda h: h.bitwiseAND(F.lit(2**31 - 1)).cast("int"))
+    # 31 bits of each first half-band tell which ones a pair shares; those before the group's own one are sent along
+    codes = F.transform(F.slice("halves", 1, HALVES), lambda h: h.bitwiseAND(F.lit(2**31 - 1)).cast("int"))
     codes = F.array().cast("array<int>") if best else codes
     if best:
         rows = rows.withColumn("block", F.pmod(F.xxhash64("node", "key"), F.col("blocks"))).withColumn("member", F.lit(True))
@@ -381,8 +404,7 @@ def other_pairs(keys: DataFrame, labels: DataFrame, nodes: DataFrame, best: bool
         rows = divided(rows, per, mixed)
     rows = rows.join(nodes.select("node", "n_shingles", codes.alias("halves"), "sketch"), "node")
     if not best:
-        i, j = (F.floor(F.col("nth") / HALVES).cast("int"), (F.col("nth") % HALVES).cast("int"))
-        rows = rows.withColumn("halves", F.concat(F.slice("halves", F.lit(1), i), F.slice("halves", F.lit(HALVES + 1), j)))
+        rows = rows.withColumn("halves", F.slice("halves", F.lit(1), F.col("nth")))
     rows = rows.select("key", "block", "node", "label", "probe", "member", "n_shingles", "halves", "sketch")
     dealt = rows.repartition("key", "block").sortWithinPartitions("key", "block")
 
