@@ -1,8 +1,10 @@
 """Operator 3: token ids in binary shards with a minimal perfect hash index.
 
-Documents are range-partitioned by doc_id; each partition becomes one shard
-file, written by its task to the shared folder under a temporary name and then
-renamed, so a task that is run again leaves one whole file.
+Documents are range-partitioned by doc_id, then a hash of the text, then the
+row's place in its input partition, so that rows without doc_id, of one doc_id
+or all alike fill many shards. Each partition becomes one shard file, written by
+its task to the shared folder under a temporary name and then renamed, so a task
+that is run again leaves one whole file.
 
 A shard file holds, little-endian:
 
@@ -15,13 +17,15 @@ A shard file holds, little-endian:
 
 ``TokenShard.find`` hashes a key to its bucket, displaces it by the bucket's
 pilot to its slot, and compares the fingerprint: constant time, and no slot is
-free. A manifest (Parquet, one row per shard) has the shards' order, key range
-and sizes.
+free. ``nth`` numbers the rows of a doc_id within a shard. A manifest (Parquet,
+one row per shard) has the shards' order, key range, sizes, and what lies before
+each; its running sums are taken within chunks of shards and then over chunks.
+``fetch`` finds the shard of a row in the manifest and reads a few bytes of it.
 
 Defined results: a null or empty text is its end id alone; documents without
-doc_id come first; rows that repeat a doc_id are kept apart by their number
-(``nth``), in order of a hash of their text; an empty table gives an empty
-result; other columns are ignored.
+doc_id come first; rows that repeat a doc_id are kept apart by their number, in
+order of a hash of their text; an empty table gives an empty result; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,7 +36,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import partitions_for, pick, ship_package, text_or_empty
@@ -41,6 +45,7 @@ from .tokens import encoder
 MAGIC = b"TOKSHRD1"
 HEAD = "<8sIIIIQ"
 SHARD_DOCS = 4096  # mean documents in a shard
+SHARDS_READ = 8  # shards a task reads, where there are more than cores
 BUCKET_KEYS = 4  # mean keys in a bucket of the hash index
 
 
@@ -163,16 +168,23 @@ class TokenShard:
         return self.payload[start : start + int(self.length[slot])]
 
 
-MANIFEST = "shard int, file string, documents long, ids long, first_key long, last_key long"
+PARTS = "shard int, file string, documents long, ids long, nulls long, first_key long, last_key long, last_count long"
+MANIFEST = PARTS + ", documents_before long, base long"
+CHUNK = 4096  # shards whose sums one task adds up
 
 
 def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, shard_docs: int = SHARD_DOCS) -> DataFrame:
-    """Encode, append ``end_id`` to each document, write shards below ``path``; returns the manifest."""
+    """Encode, append ``end_id`` to each document, write shards below ``path``; returns the manifest.
+
+    ``docs`` should be a stored table or another plan whose rows keep their places.
+    """
     spark = docs.sparkSession
     ship_package(spark)
     shards = partitions_for(docs.count(), shard_docs)
     d = pick(docs, "doc_id", "text").withColumn("text", text_or_empty())
-    ranged = d.repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
+    order = ["doc_id", "text_hash", "row"]
+    d = d.withColumns({"text_hash": F.xxhash64("text"), "row": F.monotonically_increasing_id()})
+    ranged = d.repartitionByRange(shards, *order).sortWithinPartitions(*order).select("doc_id", "text")
 
     def save(batches):
         from pyarrow import fs
@@ -208,70 +220,125 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, shard_docs: i
             "file": [name],
             "documents": [len(documents)],
             "ids": [sum(map(len, documents)) // width],
-            "first_key": [int(real.min()) if len(real) else None],
-            "last_key": [int(real.max()) if len(real) else None],
+            "nulls": [int(null.sum())],
+            "first_key": [int(real[0]) if len(real) else None],
+            "last_key": [int(real[-1]) if len(real) else None],
+            "last_count": [int((real == real[-1]).sum()) if len(real) else 0],
         }
-        kinds = [pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
+        kinds = [pa.int32(), pa.string(), *[pa.int64()] * 6]
         yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row.values(), kinds)], names=list(row))
 
-    ranged.mapInArrow(save, MANIFEST).write.parquet(f"{path}/manifest")
+    ranged.mapInArrow(save, PARTS).write.parquet(f"{path}/parts")
+    before_all(spark.read.schema(PARTS).parquet(f"{path}/parts")).write.parquet(f"{path}/manifest")
     return manifest(spark, path)
 
 
+def before_all(parts: DataFrame) -> DataFrame:
+    """``parts`` with the documents and ids of all shards before: sums within chunks of shards, and over the chunks."""
+    parts = parts.withColumn("chunk", F.expr(f"shard div {CHUNK}"))
+
+    def earlier(column: str, window) -> Column:
+        return F.coalesce(F.sum(column).over(window.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long"))
+
+    chunks = parts.groupBy("chunk").agg(F.sum("documents").alias("documents"), F.sum("ids").alias("ids"))
+    over = Window.orderBy("chunk")  # one row per CHUNK shards
+    chunks = chunks.select("chunk", earlier("documents", over).alias("chunk_documents"), earlier("ids", over).alias("chunk_ids"))
+    inside = Window.partitionBy("chunk").orderBy("shard")
+    summed = parts.withColumns({"documents_before": earlier("documents", inside), "base": earlier("ids", inside)}).join(chunks, "chunk")
+    return summed.select(
+        *parts.drop("chunk").columns,
+        (F.col("documents_before") + F.col("chunk_documents")).alias("documents_before"),
+        (F.col("base") + F.col("chunk_ids")).alias("base"),
+    )
+
+
 def manifest(spark: SparkSession, path: str) -> DataFrame:
-    """The shards in order, with ``base``: the ids of all shards before. One row per ``SHARD_DOCS`` documents."""
-    m = spark.read.schema(MANIFEST).parquet(f"{path}/manifest")
-    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    return m.withColumn("base", F.coalesce(F.sum("ids").over(before), F.lit(0).cast("long")))
+    """One row per shard with its sizes and keys, ``documents_before`` and ``base``: what all shards before it hold."""
+    return spark.read.schema(MANIFEST).parquet(f"{path}/manifest")
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
     """Every document of the files: ``doc_id, start, n_tokens, ids_crc32``.
 
     Each document is looked up in its shard's index by key; the checksum is
-    that of its ids as little-endian unsigned 32-bit integers.
+    that of its ids as little-endian unsigned 32-bit integers. A task opens one
+    shard after another, as the manifest's rows name them.
     """
 
     def load(frames):
         import pandas as pd
+        from pyarrow import fs
 
+        store, folder = fs.FileSystem.from_uri(f"{path}/shards")
         for frame in frames:
-            for name, content in zip(frame["file"], frame["content"]):
-                shard = TokenShard(content)
+            for name, base in zip(frame["file"], frame["base"]):
+                with store.open_input_file(f"{folder}/{name}") as f:
+                    shard = TokenShard(f.read())
                 slots = shard.find(shard.keys, shard.nth, shard.null)
                 if (slots < 0).any():
                     raise ValueError(f"{name}: a key is not in its index")
                 sums = [zlib.crc32(shard.at(s).astype("<u4").tobytes()) for s in slots]
+                doc_id = pd.array(shard.keys, "Int64").copy()
+                doc_id[shard.null.astype(bool)] = pd.NA
                 yield pd.DataFrame(
                     {
-                        "file": name,
-                        "doc_id": pd.array(np.where(shard.null, 0, shard.keys), "Int64").copy(),
-                        "missing": shard.null.astype(bool),
-                        "local": shard.offset[slots].astype(np.int64),
+                        "doc_id": doc_id,
+                        "start": base + shard.offset[slots].astype(np.int64),
                         "n_tokens": shard.length[slots].astype(np.int64),
                         "ids_crc32": np.array(sums, np.int64),
                     }
                 )
 
-    if manifest(spark, path).isEmpty():
-        return spark.createDataFrame([], "doc_id long, start long, n_tokens long, ids_crc32 long")
     ship_package(spark)
-    files = spark.read.format("binaryFile").load(f"{path}/shards/shard-*.tok")
-    files = files.select(F.element_at(F.split("path", "/"), -1).alias("file"), "content")
-    rows = files.mapInPandas(load, "file string, doc_id long, missing boolean, local long, n_tokens long, ids_crc32 long")
-    bases = F.broadcast(manifest(spark, path).select("file", "base"))  # one row per shard
-    return rows.join(bases, "file").select(
-        F.when(~F.col("missing"), F.col("doc_id")).alias("doc_id"),
-        (F.col("base") + F.col("local")).alias("start"),
-        "n_tokens",
-        "ids_crc32",
-    )
+    files = manifest(spark, path).select("shard", "file", "base")
+    n = files.count()
+    tasks = max(1, min(n, max(spark.sparkContext.defaultParallelism, n // SHARDS_READ)))
+    spread = files.repartitionByRange(tasks, "shard").select("file", "base")
+    return spread.mapInPandas(load, "doc_id long, start long, n_tokens long, ids_crc32 long")
+
 
+def fetch(spark: SparkSession, path: str, key: int | None, nth: int = 0) -> np.ndarray | None:
+    """The ids of one row, the ``nth`` of its doc_id in order of text hashes (None: the rows without doc_id).
 
-def fetch(spark: SparkSession, path: str, key: int, nth: int = 0) -> np.ndarray | None:
-    """The ids of one document: the manifest names its shard, the shard's index its place."""
-    row = manifest(spark, path).filter((F.col("first_key") <= key) & (F.col("last_key") >= key)).first()
-    if row is None:
+    The manifest gives the shard and the place in it; of the shard only its
+    head, one pilot, one slot and the document's ids are read.
+    """
+    shards, at = manifest(spark, path), nth
+    if nth < 0:
+        return None
+    if key is not None:
+        first = shards.filter((F.col("first_key") <= key) & (F.col("last_key") >= key)).orderBy("shard").first()
+        if first is None:
+            return None
+        if first["last_key"] != key or nth < first["last_count"]:
+            return seek(f"{path}/shards", first["file"], key, nth)
+        at = first["documents_before"] + first["documents"] + nth - first["last_count"]
+    row = shards.filter((F.col("documents_before") <= at) & (F.col("documents_before") + F.col("documents") > at)).first()
+    if row is None or (key is not None and row["first_key"] != key):
         return None
-    content = spark.read.format("binaryFile").load(f"{path}/shards/{row['file']}").select("content").first()[0]
-    return TokenShard(bytes(content)).get(key, nth)
+    return seek(f"{path}/shards", row["file"], key, at - row["documents_before"])
+
+
+def seek(folder: str, name: str, key: int | None, nth: int) -> np.ndarray | None:
+    """One document's ids by its key within a shard file, read by places: head, pilot, slot, ids."""
+    from pyarrow import fs
+
+    store, folder = fs.FileSystem.from_uri(folder)
+    with store.open_input_file(f"{folder}/{name}") as f:
+
+        def one(kind: str, at: int, count: int = 1) -> np.ndarray:
+            return np.frombuffer(f.read_at(count * np.dtype(kind).itemsize, at), kind)
+
+        magic, n, buckets, width, seed, _ = struct.unpack(HEAD, f.read_at(struct.calcsize(HEAD), 0))
+        if magic != MAGIC:
+            raise ValueError("not a token shard")
+        pilots = struct.calcsize(HEAD)
+        check = pilots + 4 * buckets
+        offset, length, payload = check + 4 * n, check + 12 * n, check + 29 * n
+        hashes = key_hash(np.array([key or 0]), np.array([nth]), np.array([key is None]), seed)
+        bucket = int((hashes[0] >> np.uint64(32)) % np.uint64(buckets))
+        slot = int(slot_of(hashes, one("<i4", pilots + 4 * bucket), n)[0])
+        if not 0 <= slot < n or one("<u4", check + 4 * slot)[0] != np.uint32(mix(~hashes)[0] & np.uint64(0xFFFFFFFF)):
+            return None
+        start, count = int(one("<u8", offset + 8 * slot)[0]), int(one("<u4", length + 4 * slot)[0])
+        return one(f"<u{width}", payload + width * start, count)

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from disputelens.llm import ann, language_id, packing, quality
+from disputelens.llm import ann, language_id, packing, quality, token_store
+from disputelens.llm.common import shared_dir
 
 from .conftest import DOCS, frame
 
@@ -56,3 +59,28 @@ def test_language_sample_is_cut_before_it_is_collected(spark):
 def test_rare_languages_are_left_out(spark):
     rows = [(i, "some text", f"l{i}" if i < 50 else "en", "s", 9) for i in range(100)]
     assert set(language_id.learn(spark.createDataFrame(rows, DOCS), languages=3)) == {"en", "l0", "l1"}
+
+
+def test_repeated_ids_fill_many_shards(spark, tokenizer):
+    """Rows without doc_id, of one doc_id, and all alike are split, and each row is found by its key and number."""
+    rows = [(None, f"no id {i}") for i in range(900)] + [(7, f"one id {i % 300}") for i in range(900)] + [(8, "equal")] * 900
+    rows += [(i, f"text {i}") for i in (1, 2, 9, 10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    path = shared_dir(spark, "test-store")
+    shards = token_store.write(docs, path, tokenizer, end_id=2, shard_docs=100).orderBy("shard").collect()
+    assert sum(r.documents for r in shards) == len(rows) and max(r.documents for r in shards) < 400
+    got = token_store.read(spark, path).orderBy("start").collect()
+    assert [r.start for r in got] == [sum(r.n_tokens for r in got[:i]) for i in range(len(got))]
+    keys = [r.doc_id for r in got]
+    assert keys == sorted((r[0] for r in rows), key=lambda k: (k is not None, k or 0))
+    for key, nth in ((None, 0), (None, 899), (1, 0), (7, 0), (7, 450), (7, 899), (8, 0), (8, 899), (9, 0), (10, 0)):
+        ids, want = token_store.fetch(spark, path, key, nth), got[keys.index(key) + nth]
+        assert (len(ids), zlib.crc32(ids.astype("<u4").tobytes())) == (want.n_tokens, want.ids_crc32)
+    assert all(token_store.fetch(spark, path, *k) is None for k in ((None, 900), (7, 900), (8, 900), (3, 0), (9, 1), (11, 0), (7, -1)))
+
+
+def test_running_sums_over_chunks(spark, monkeypatch):
+    monkeypatch.setattr(token_store, "CHUNK", 4)
+    parts = spark.createDataFrame([(i, "f", i + 1, 10 * i, 0, 0, 0, 0) for i in range(0, 30, 2)], token_store.PARTS)
+    rows = token_store.before_all(parts).orderBy("shard").collect()
+    assert [(r.documents_before, r.base) for r in rows] == [(sum(range(1, i, 2)), sum(range(0, 10 * i, 20))) for i in range(0, 30, 2)]
