@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from disputelens.llm import ann, language_id, packing, quality, token_store
+from disputelens.llm import ann, fingerprints, language_id, packing, quality, token_store
 from disputelens.llm.common import shared_dir
 
 from .conftest import DOCS, frame
@@ -84,3 +84,39 @@ def test_running_sums_over_chunks(spark, monkeypatch):
     parts = spark.createDataFrame([(i, "f", i + 1, 10 * i, 0, 0, 0, 0) for i in range(0, 30, 2)], token_store.PARTS)
     rows = token_store.before_all(parts).orderBy("shard").collect()
     assert [(r.documents_before, r.base) for r in rows] == [(sum(range(1, i, 2)), sum(range(0, 10 * i, 20))) for i in range(0, 30, 2)]
+
+
+def test_next_document_of_repeated_ids(spark):
+    """Null ids, one id with many texts, and rows all alike: each row's successor, whatever the ranges."""
+    rows = [(None, f"no id {i}") for i in range(1500)] + [(7, f"one id {i % 500}") for i in range(1500)] + [(8, "equal")] * 1500
+    rows += [(i, f"text {i}") for i in range(100, 900)] + [(-3, "low")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    seen = []
+
+    def enrich(d):
+        seen.append(d)
+        return d
+
+    led = fingerprints.with_next(docs, ["doc_id", "text"], enrich).withColumn("h", F.xxhash64("text"))
+    got = led.selectExpr("doc_id", "text", "h", "next.doc_id AS next_id", "next.text AS next_text").collect()
+    assert len(got) == len(rows)
+    key = lambda r: (r.doc_id is not None, r.doc_id or 0, r.h)
+    chain = sorted(got, key=key, reverse=True)
+    # rows all alike follow each other, the last of them is followed by the next key
+    want = sorted(((a.doc_id, a.text, b.doc_id, b.text) for a, b in zip(chain, chain[1:] + chain[:1])), key=str)
+    assert sorted(((r.doc_id, r.text, r.next_id, r.next_text) for r in got), key=str) == want
+    ghosts, dealt = seen  # with a copy of at most one row per range
+    sizes = [r["count"] for r in dealt.groupBy("bucket").count().collect()]
+    assert ghosts.count() == len(sizes) > 8 and max(sizes) < 1200
+
+
+def test_likeness_error(spark):
+    rng = np.random.default_rng(0)
+    parts = lambda: [f"p{x}" for x in rng.integers(1 << 40, size=100)]
+    rows = []
+    for _ in range(40):
+        a, b = parts(), parts()
+        rows.append(("\n".join(a), "\n".join(b), "\n".join(a[:90] + b[:10])))
+    df = spark.createDataFrame(rows, "a string, b string, c string").select(*[fingerprints.vector(c).alias(c) for c in "abc"])
+    got = np.array(df.select(fingerprints.likeness("a", "b"), fingerprints.likeness("a", "c")).collect())
+    assert got[:, 0].max() < 0.5 and abs(got[:, 1].mean() - 0.9) < 0.01 and got[:, 1].std() < 0.03
