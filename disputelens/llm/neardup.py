@@ -30,13 +30,17 @@ How it stays in bounds:
   first half-band, so a node is sent once for its up to ``HALVES`` keys there;
   each node outside a group's most frequent label is compared with all nodes of
   the group whose size allows a link, and all pairs whose estimated similarity is
-  above ``LEAST_ESTIMATE`` are confirmed. A group of more than ``BLOCK`` nodes is
-  divided into cells of two parts of about ``BLOCK`` nodes, so no task holds a
-  whole group; of a group with n nodes of like size and all of different labels
-  each node is sent to n / ``BLOCK`` cells.
+  above ``LEAST_ESTIMATE`` are confirmed. They are never listed: the nodes that
+  have such a pair are sent once more with their full sets, and a task reports
+  the confirmed pairs that join labels not joined yet, fewer than it has nodes.
+  A group of more than ``BLOCK`` nodes (or ``HELD`` shingles) is divided into
+  cells of two parts of about that size, so no task holds a whole group; of a
+  group with n nodes of like size and all of different labels each node is sent
+  to n / ``BLOCK`` cells.
 
 So every pair that shares a key is either in one component already, or
-confirmed, or more than four standard errors below the threshold by its sketch.
+compared on full sets, or more than four standard errors below the threshold by
+its sketch.
 
 Sets are made anew for the nodes that share a key, from one row of each node's
 representative, and stored once; equal rows are put together before texts are
@@ -71,6 +75,7 @@ LEAST_ESTIMATE = 0.75 - 4 * (0.75 * 0.25 / SKETCH) ** 0.5  # four standard error
 STAR_FROM = 4
 BEST_PAIRS = 3  # that a node keeps of its pairs with stars, or of its likeliest pairs
 BLOCK = 512
+HELD = 1 << 22  # shingles in a part of a cell
 BAND = 1.34  # ratio of sizes within a band; more than 100 / PERCENT, so that similar sets are in the same or neighbouring bands
 CHUNK = 1 << 21  # bytes of text worked on at a time
 SEED = 7
@@ -234,49 +239,9 @@ def linked_batches(batches):
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def compared_batches(batches, best: bool):
-    """Rows of (key, block), sorted by them, to pairs (a, b, same) of different labels that may be similar.
-
-    ``best`` keeps only the likeliest partner of each probe in each key and
-    block; else every pair comes once, by the first half-band it shares.
-    """
+def cells(batches):
+    """Rows sorted by (key, block) as tables that hold every key and block whole."""
     held: list[pa.RecordBatch] = []
-
-    def pairs(rows: pa.Table):
-        node, label = rows["node"].to_numpy(), rows["label"].to_numpy()
-        probe, member = rows["probe"].to_numpy(), rows["member"].to_numpy()
-        sizes = rows["n_shingles"].to_numpy()
-        sketch = np.frombuffer(b"".join(rows["sketch"].to_pylist()), np.uint8).reshape(-1, SKETCH)
-        key, block = rows["key"].to_numpy(), rows["block"].to_numpy()
-        codes = rows["halves"].combine_chunks()
-        ends = np.r_[0, np.cumsum(codes.value_lengths().to_numpy(zero_copy_only=False))]
-        codes = codes.flatten().to_numpy()
-        cut = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (block[1:] != block[:-1]), True])
-        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
-        for lo, hi in zip(cut[:-1], cut[1:]):
-            own = np.arange(lo, hi)
-            members, probes = own[member[lo:hi]], own[probe[lo:hi]]
-            for at in range(0, len(probes), BLOCK):
-                p = probes[at : at + BLOCK]
-                same = (sketch[p][:, None, :] == sketch[members][None, :, :]).mean(2)
-                small = np.minimum(sizes[p][:, None], sizes[members][None, :])
-                large = np.maximum(sizes[p][:, None], sizes[members][None, :])
-                good = (same >= LEAST_ESTIMATE) & (100 * small >= PERCENT * large) & (label[p][:, None] != label[members][None, :])
-                if best and len(members):
-                    same = np.where(good, same, -1)
-                    good &= np.arange(len(members)) == same.argmax(1)[:, None]
-                i, j = np.nonzero(good)
-                a, b = p[i], members[j]
-                if not best and len(a):
-                    # a pair is reported by the first of its groups only: the one before which it shares no half-band
-                    before = codes[ends[lo] : ends[hi]].reshape(hi - lo, -1)
-                    once = ~(before[a - lo] == before[b - lo]).any(1) & ~(probe[a] & probe[b] & (node[a] > node[b]))
-                    a, b, i, j = a[once], b[once], i[once], j[once]
-                found.append((a, b, same[i, j]))
-        i, j = (np.concatenate([f[k] for f in found]) for k in (0, 1))
-        columns = [pa.array(node[i]), pa.array(node[j]), pa.array(np.concatenate([f[2] for f in found]))]
-        return pa.RecordBatch.from_arrays(columns, names=["a", "b", "same"])
-
     for batch in batches:
         if not len(batch):
             continue
@@ -285,12 +250,94 @@ def compared_batches(batches, best: bool):
         new = np.flatnonzero((key != key[-1]) | (block != block[-1]))
         cut = int(new[-1]) + 1 if len(new) else 0
         # the last key and block may go on in the next batch
-        whole = pa.Table.from_batches([*held[:-1], batch.slice(0, cut)])
         if cut:
-            yield pairs(whole.combine_chunks())
+            yield pa.Table.from_batches([*held[:-1], batch.slice(0, cut)]).combine_chunks()
             held = [batch.slice(cut)]
     if held:
-        yield pairs(pa.Table.from_batches(held).combine_chunks())
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def candidates(rows: pa.Table, best: bool):
+    """Pairs of different labels that may be similar, in pieces: places of a (ascending) and b in ``rows``, likeness of the sketches.
+
+    ``best`` keeps only the likeliest partner of each probe in each key and
+    block; else every pair comes once, by the first half-band it shares.
+    """
+    node, label = rows["node"].to_numpy(), rows["label"].to_numpy()
+    probe, member = rows["probe"].to_numpy(), rows["member"].to_numpy()
+    sizes = rows["n_shingles"].to_numpy()
+    sketch = np.frombuffer(b"".join(rows["sketch"].to_pylist()), np.uint8).reshape(-1, SKETCH)
+    key, block = rows["key"].to_numpy(), rows["block"].to_numpy()
+    codes = rows["halves"].combine_chunks()
+    ends = np.r_[0, np.cumsum(codes.value_lengths().to_numpy(zero_copy_only=False))]
+    codes = codes.flatten().to_numpy()
+    cut = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (block[1:] != block[:-1]), True])
+    for lo, hi in zip(cut[:-1], cut[1:]):
+        own = np.arange(lo, hi)
+        members, probes = own[member[lo:hi]], own[probe[lo:hi]]
+        for at in range(0, len(probes), BLOCK):
+            p = probes[at : at + BLOCK]
+            same = (sketch[p][:, None, :] == sketch[members][None, :, :]).mean(2)
+            small = np.minimum(sizes[p][:, None], sizes[members][None, :])
+            large = np.maximum(sizes[p][:, None], sizes[members][None, :])
+            good = (same >= LEAST_ESTIMATE) & (100 * small >= PERCENT * large) & (label[p][:, None] != label[members][None, :])
+            if best and len(members):
+                same = np.where(good, same, -1)
+                good &= np.arange(len(members)) == same.argmax(1)[:, None]
+            i, j = np.nonzero(good)
+            a, b = p[i], members[j]
+            if not best and len(a):
+                # a pair belongs to the first of its groups only: the one before which it shares no half-band
+                before = codes[ends[lo] : ends[hi]].reshape(hi - lo, -1)
+                once = ~(before[a - lo] == before[b - lo]).any(1) & ~(probe[a] & probe[b] & (node[a] > node[b]))
+                a, b, i, j = a[once], b[once], i[once], j[once]
+            yield a, b, same[i, j]
+
+
+def compared_batches(batches, best: bool):
+    """Rows of (key, block), sorted by them, to their ``candidates`` as pairs (a, b, same)."""
+    for rows in cells(batches):
+        node, found = rows["node"].to_numpy(), [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)), *candidates(rows, best)]
+        i, j, same = (np.concatenate([f[k] for f in found]) for k in (0, 1, 2))
+        yield pa.RecordBatch.from_arrays([pa.array(node[i]), pa.array(node[j]), pa.array(same)], names=["a", "b", "same"])
+
+
+def in_pairs(batches):
+    """Rows of (key, block), sorted by them, to those that are in one of the ``candidates`` there."""
+    for rows in cells(batches):
+        keep = np.zeros(len(rows), bool)
+        for a, b, _ in candidates(rows, best=False):
+            keep[a] = keep[b] = True
+        yield from rows.filter(pa.array(keep)).to_batches()
+
+
+def joining_batches(batches):
+    """Rows of (key, block), sorted by them, with ``members``, to the pairs (a, b) that join their labels.
+
+    All ``candidates`` are compared on full sets, unless links found before
+    join their labels already; links that join nothing new are left out.
+    """
+    for rows in cells(batches):
+        node, sizes = rows["node"].to_numpy(), rows["n_shingles"].to_numpy()
+        members = [np.frombuffer(x, U) for x in rows["members"].to_pylist()]
+        joined = np.unique(rows["label"].to_numpy(), return_inverse=True)[1]
+        links = []
+        for i, j, _ in candidates(rows, best=False):
+            cut = np.flatnonzero(np.r_[True, i[1:] != i[:-1], True]) if len(i) else []
+            for lo, hi in zip(cut[:-1], cut[1:]):
+                a, others = i[lo], j[lo:hi]
+                others = others[joined[others] != joined[a]]
+                if not len(others):
+                    continue
+                has, ours = np.concatenate([members[b] for b in others]), members[a]
+                hit = ours[np.minimum(np.searchsorted(ours, has), len(ours) - 1)] == has
+                both = np.add.reduceat(hit, np.r_[0, np.cumsum(sizes[others])[:-1]], dtype=np.int64)
+                for b in others[100 * both >= PERCENT * (sizes[a] + sizes[others] - both)]:
+                    if joined[b] != joined[a]:
+                        joined[joined == joined[b]] = joined[a]
+                        links.append((node[a], node[b]))
+        pairs = np.array(links, np.int64).reshape(-1, 2)
+        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["a", "b"])
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -328,18 +375,28 @@ def star_pairs(keys: DataFrame) -> DataFrame:
     return _first(met.groupBy(F.col("node").alias("a"), "b").agg(F.count(F.lit(1)).alias("votes")), F.desc("votes"))
 
 
+def _shingles():
+    """At most as many shingles as the ``n`` nodes of a size band have."""
+    return F.col("n") * F.pow(F.lit(BAND), F.col("band") + 1)
+
+
+def _parts(n, shingles):
+    return F.ceil(F.greatest(n / BLOCK, shingles / HELD))
+
+
 def divided(rows: DataFrame, per: DataFrame, mixed: DataFrame) -> DataFrame:
     """``rows`` of mixed keys, each once for every cell it is compared in: with ``block``, ``probe`` and ``member``.
 
-    A key of up to ``BLOCK`` nodes is one cell. In a larger one the nodes of a
-    size band, probes and others apart, form parts of about ``BLOCK`` nodes; a
-    cell compares one part of probes with another part, or with itself. Bands
+    A key of up to ``BLOCK`` nodes, and ``HELD`` shingles, is one cell. In a larger
+    one the nodes of a size band, probes and others apart, form parts of about
+    that size; a cell compares one part of probes with another part, or with itself. Bands
     are a little wider than the largest ratio of sizes that links allow, so
     only neighbouring bands meet and no link is lost.
     """
-    large = mixed.filter("blocks > 1").select("key", "main")
-    parts = per.join(large, "key").groupBy("key", "band", (F.col("label") != F.col("main")).alias("probe")).agg(F.sum("n").alias("n"))
-    parts = parts.select("key", F.struct("band", "probe", F.ceil(F.col("n") / BLOCK).alias("parts")).alias("u"))
+    large = mixed.filter("parts > 1").select("key", "main")
+    probe = (F.col("label") != F.col("main")).alias("probe")
+    parts = per.join(large, "key").groupBy("key", "band", probe).agg(_parts(F.sum("n"), F.sum(_shingles())).alias("parts"))
+    parts = parts.select("key", F.struct("band", "probe", "parts").alias("u"))
     rows = rows.join(parts.groupBy("key").agg(F.collect_list("u").alias("units")), "key", "left")  # two for each band at most
     own = "element_at(filter(units, u -> u.band = band and u.probe = probe), 1).parts"
     rows = rows.withColumn("own", F.expr(f"named_struct('band', band, 'probe', probe, 'part', pmod(xxhash64(node, key), {own}))"))
@@ -360,10 +417,12 @@ def divided(rows: DataFrame, per: DataFrame, mixed: DataFrame) -> DataFrame:
 
 
 def most_frequent(per: DataFrame) -> DataFrame:
-    """``(key, main, blocks)`` of the keys whose nodes have several labels, from counts by key, label and band."""
-    mixed = per.groupBy("key", "label").agg(F.sum("n").alias("n")).groupBy("key")
-    mixed = mixed.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("labels"), F.max(F.struct("n", "label")).alias("main"))
-    return mixed.filter("labels > 1").select("key", F.col("main.label").alias("main"), F.ceil(F.col("n") / BLOCK).alias("blocks"))
+    """``(key, main, blocks, parts)`` of the keys whose nodes have several labels, from counts by key, label and band."""
+    mixed = per.groupBy("key", "label").agg(F.sum("n").alias("n"), F.sum(_shingles()).alias("shingles")).groupBy("key")
+    sums = [F.sum("n").alias("n"), F.sum("shingles").alias("shingles")]
+    mixed = mixed.agg(*sums, F.count(F.lit(1)).alias("labels"), F.max(F.struct("n", "label")).alias("main"))
+    blocks, parts = F.ceil(F.col("n") / BLOCK).alias("blocks"), _parts(F.col("n"), F.col("shingles")).alias("parts")
+    return mixed.filter("labels > 1").select("key", F.col("main.label").alias("main"), blocks, parts)
 
 
 def by_first_half(placed: DataFrame) -> DataFrame:
@@ -379,12 +438,11 @@ def by_first_half(placed: DataFrame) -> DataFrame:
     return group.dropDuplicates(["key", "node"])
 
 
-def other_pairs(keys: DataFrame, labels: DataFrame, nodes: DataFrame, best: bool) -> DataFrame:
-    """Pairs (a, b) that share a key, have different labels, and may be similar by their sketches.
+def dealt(keys: DataFrame, labels: DataFrame, nodes: DataFrame, best: bool) -> DataFrame:
+    """The nodes of keys with several labels, by the key (or first half-band) and block they are compared in.
 
-    ``best``: only the likeliest pairs of each node, found in one block of each
-    of its keys in the tables that combine half-bands of the same number (a
-    twelfth of all tables; this only shortens the next step); else all pairs.
+    ``best``: one block of each of a node's keys in the tables that combine
+    half-bands of the same number (a twelfth of all tables); else all cells.
     """
     if best:
         keys = keys.filter(F.floor(F.col("nth") / HALVES) == F.col("nth") % HALVES)
@@ -405,18 +463,36 @@ def other_pairs(keys: DataFrame, labels: DataFrame, nodes: DataFrame, best: bool
     rows = rows.join(nodes.select("node", "n_shingles", codes.alias("halves"), "sketch"), "node")
     if not best:
         rows = rows.withColumn("halves", F.slice("halves", F.lit(1), F.col("nth")))
-    rows = rows.select("key", "block", "node", "label", "probe", "member", "n_shingles", "halves", "sketch")
-    dealt = rows.repartition("key", "block").sortWithinPartitions("key", "block")
+    return together(rows.select("key", "block", "node", "label", "probe", "member", "n_shingles", "halves", "sketch"))
+
+
+def together(rows: DataFrame) -> DataFrame:
+    return rows.repartition("key", "block").sortWithinPartitions("key", "block")
+
+
+def other_pairs(keys: DataFrame, labels: DataFrame, nodes: DataFrame, best: bool) -> DataFrame:
+    """Pairs (a, b) that share a key, have different labels, and may be similar by their sketches.
+
+    ``best``: only the likeliest pairs of each node (this only shortens the
+    next step); else all pairs, whose number grows with the square of a group.
+    """
 
     def compare(batches):
         return compared_batches(batches, best)
 
-    found = dealt.mapInArrow(compare, "a long, b long, same double")
+    found = dealt(keys, labels, nodes, best).mapInArrow(compare, "a long, b long, same double")
     if best:
         return _first(found.groupBy("a", "b").agg(F.max("same").alias("same")), F.desc("same"))
     return found.select("a", "b")
 
 
+def other_links(keys: DataFrame, labels: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame:
+    """Confirmed pairs (a, b) that join what all ``other_pairs`` with similar full sets join, fewer than the nodes compared."""
+    rows = dealt(keys, labels, nodes, best=False)
+    rows = rows.mapInArrow(in_pairs, rows.schema)
+    return together(rows.join(sets, "node")).mapInArrow(joining_batches, "a long, b long")
+
+
 def node_sets(d: DataFrame, wanted: DataFrame) -> DataFrame:
     """``(node, members)``, one row for each node in ``wanted`` (node, doc_id, text_key), from the texts in ``d``.
 
@@ -455,7 +531,7 @@ def linked(docs: DataFrame) -> DataFrame:
     stars = checkpointed(confirmed(star_pairs(keys), sets))
     near = stars.unionByName(confirmed(other_pairs(keys, rough_labels(stars), nodes, best=True), sets))
     near = checkpointed(near)
-    rest = confirmed(other_pairs(keys, rough_labels(near, rounds=2), nodes, best=False), sets)
+    rest = other_links(keys, rough_labels(near, rounds=2), nodes, sets)
     final = components(near.unionByName(rest))
     light = nodes.select("node", "key_a", "key_b", F.struct("doc_id", "text_key").alias("own"))
     in_class = light.join(final, "node", "left").select("key_a", "key_b", "own", F.coalesce("label", "node").alias("label"))
