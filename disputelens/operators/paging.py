@@ -1,8 +1,11 @@
 """Order statistics over stored summaries, for pages of any depth: O2 and A10.
 
-``SummaryIndex.build`` stores a list of rows once, range-partitioned in report
-order into parts of about ``PART_ROWS`` rows, one directory each, and beside
-them a table of the parts: how many rows lie before each, how many it has, and
+``SummaryIndex.build`` stores a list of rows once, in report order, in parts of
+``PART_ROWS`` rows (fewer at the end of a range), one directory each. Spark
+deals ranges of about ``RANGE_ROWS`` rows, whose bounds it samples on the
+driver, and each task cuts its sorted range into parts; so that sample does not
+grow with the number of parts. Beside them lies a table of the parts: how many
+rows lie before each, how many it has, and
 the sum of their amounts. A page is found by its place: the few parts that it
 overlaps come from the table of parts, only their directories are read, and
 only their rows are sorted. So page 5,000 reads as many rows as page 1. Totals
@@ -22,6 +25,7 @@ from ..schema import PAGE_SIZE
 from .reports import SORT_KEYS, order_columns, page_after
 
 PART_ROWS = 20_000
+RANGE_ROWS = 200_000  # sorted by one task, and cut into parts
 
 
 class SummaryIndex:
@@ -38,25 +42,35 @@ class SummaryIndex:
         spark = rows.sparkSession
         rows.write.parquet(f"{path}/unsorted")
         stored = spark.read.schema(rows.schema).parquet(f"{path}/unsorted")
-        n = max(1, -(-stored.count() // part_rows))
-        ranged = stored.repartitionByRange(n, *order_columns(keys)).withColumn("part", F.spark_partition_id())
+        in_range = max(part_rows, RANGE_ROWS)
+        n = max(1, -(-stored.count() // in_range))
+        order = order_columns(keys)
+        ranged = stored.repartitionByRange(n, *order).sortWithinPartitions(*order)
+        # a row's place in its range is in the low 33 bits of the number; the last part of an overlong range takes what is left
+        numbers = 4 * -(-in_range // part_rows)
+        ranged = ranged.withColumn("part", F.monotonically_increasing_id())
+        part = f"(part >> 33) * {numbers} + least(part % {1 << 33}L div {part_rows}, {numbers - 1}L)"
+        ranged = ranged.withColumn("part", F.expr(f"CAST({part} AS INT)"))
         ranged.write.partitionBy("part").parquet(f"{path}/rows")
         held = cls._rows(spark, path, rows)
         sizes = held.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.sum(money(amount)).alias("amount"))
         before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
         parts = sizes.withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0).cast("long")))
         parts.write.parquet(f"{path}/parts")
-        return cls.open(spark, path, rows, keys)
+        return cls(held, cls._parts(spark, path), keys)
 
     @staticmethod
     def _rows(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
         return spark.read.schema(f"{_ddl(like)}, part int").parquet(f"{path}/rows")
 
+    @staticmethod
+    def _parts(spark: SparkSession, path: str) -> DataFrame:
+        return spark.read.schema("part int, n bigint, amount decimal(38,2), first bigint").parquet(f"{path}/parts")
+
     @classmethod
     def open(cls, spark: SparkSession, path: str, like: DataFrame, keys: list[str] = SORT_KEYS[:-1]) -> "SummaryIndex":
         """A stored index; ``like`` is any frame with the columns of its rows."""
-        parts = spark.read.schema("part int, n bigint, amount decimal(38,2), first bigint").parquet(f"{path}/parts")
-        return cls(cls._rows(spark, path, like), parts, keys)
+        return cls(cls._rows(spark, path, like), cls._parts(spark, path), keys)
 
     def page(self, number: int, size: int = PAGE_SIZE) -> DataFrame:
         """O2: rows ``(number-1)*size`` .. ``number*size-1`` in order; past the end none; a page below 1 is an error."""
