@@ -62,8 +62,20 @@ class Disputes:
         return I.label_items(self.headers, self.items)
 
     def report(self) -> DataFrame:
-        """P6 over the whole range: summary + detail rows, sorted, 17 columns."""
-        return R.summary_detail_report(self.invoices.drop("category"), self.base)
+        """P6 over the whole range: summary + detail rows, sorted, 17 columns.
+
+        With a date range the range's items are found once and stored (in the
+        shared checkpoint folder): the semi join that finds them shuffles all
+        items, and summaries and details would each do it.
+        """
+        items = self.items
+        if self.start is not None or self.end is not None:
+            spark = items.sparkSession
+            kept = scratch_path(spark, "range-items")
+            items.write.parquet(kept)
+            items = spark.read.schema(items.schema).parquet(kept)
+        base = B.join_items_headers(items, self.headers).select(*BASE_COLUMNS)
+        return R.summary_detail_report(I.invoices(self.headers, items).drop("category"), base)
 
     def report_rows(self) -> DataFrame:
         """Unsorted report rows with sort keys and the invoice category (for S2)."""
