@@ -95,10 +95,16 @@ def ship_package(spark: SparkSession) -> None:
     _SHIPPED.add(app)
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` computed once and kept in ``spark.checkpoint.dir`` until it is no longer referenced."""
+def checkpointed(df: DataFrame, parts: int | None = None) -> DataFrame:
+    """``df`` computed once and kept in ``spark.checkpoint.dir`` until it is no longer referenced.
+
+    A checkpoint has a file for every task, empty ones too, and on a local
+    disk the executor starts a process or two for each. Few rows of many tasks
+    are therefore dealt to ``parts`` tasks first; what computes them keeps its
+    own tasks.
+    """
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+    return (df if parts is None else df.repartition(parts)).checkpoint()
 
 
 def partitions_for(rows: int, rows_each: int) -> int:

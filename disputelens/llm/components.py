@@ -10,16 +10,17 @@ from .common import checkpointed
 ROUNDS = 60  # the number needed grows with the log of the longest path; reaching this raises
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, parts: int | None = None) -> DataFrame:
     """``(node, label)`` for every node in ``links`` (a, b): the smallest node it is connected with.
 
     Every round lets each node point its larger neighbours, then its smaller
     ones, to the smallest node it knows, until nothing changes. Each round is
-    checkpointed to the shared folder; the driver sees one row per round.
+    checkpointed to the shared folder, in ``parts`` files if given; the driver
+    sees one row per round.
     """
-    edges, mark = _edges(links), None
+    edges, mark = _edges(links, parts), None
     for _ in range(ROUNDS):
-        edges = checkpointed(_small_star(_large_star(edges)))
+        edges = checkpointed(_small_star(_large_star(edges)), parts)
         before, mark = mark, _mark(edges)
         if mark == before:
             break
@@ -29,17 +30,17 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("hi").alias("node"), F.col("lo").alias("label")).unionByName(roots)
 
 
-def rough_labels(links: DataFrame, rounds: int = 1) -> DataFrame:
+def rough_labels(links: DataFrame, rounds: int = 1, parts: int | None = None) -> DataFrame:
     """``(node, label)`` after few rounds: nodes of one label are connected, but connected nodes may differ in label."""
-    edges = _edges(links)
+    edges = _edges(links, parts)
     for _ in range(rounds):
-        edges = checkpointed(_small_star(_large_star(edges)))
+        edges = checkpointed(_small_star(_large_star(edges)), parts)
     return edges.groupBy(F.col("hi").alias("node")).agg(F.min("lo").alias("label"))
 
 
-def _edges(links: DataFrame) -> DataFrame:
+def _edges(links: DataFrame, parts: int | None) -> DataFrame:
     ends = (F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo"))
-    return checkpointed(links.filter(F.col("a") != F.col("b")).select(*ends))
+    return checkpointed(links.filter(F.col("a") != F.col("b")).select(*ends), parts)
 
 
 def _mark(edges: DataFrame) -> tuple:

@@ -44,7 +44,9 @@ its sketch.
 
 Sets are made anew for the nodes that share a key, from one row of each node's
 representative, and stored once; equal rows are put together before texts are
-shuffled, once. Nothing but counts reaches the driver.
+shuffled, once. Links are a few bytes each and are kept in files of about
+``LINK_NODES`` nodes, however many tasks found them. Nothing but counts reaches
+the driver.
 
 Defined results: a null or empty text, or one of white space only, has an
 empty set and is linked with nothing; a row without doc_id is linked with
@@ -63,7 +65,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import COLUMNS, checkpointed, pick, ship_package, stored, text_or_empty
+from .common import COLUMNS, checkpointed, partitions_for, pick, ship_package, stored, text_or_empty
 from .components import components, rough_labels
 
 WORDS = 5  # in a shingle
@@ -77,7 +79,9 @@ BEST_PAIRS = 3  # that a node keeps of its pairs with stars, or of its likeliest
 BLOCK = 512
 HELD = 1 << 22  # shingles in a part of a cell
 BAND = 1.34  # ratio of sizes within a band; more than 100 / PERCENT, so that similar sets are in the same or neighbouring bands
-CHUNK = 1 << 21  # bytes of text worked on at a time
+CHUNK = 1 << 19  # bytes of text worked on at a time; a worker needs about 80 times that besides
+LINK_NODES = 100_000  # nodes whose links are kept in one file
+LINK_FILES = 4  # at least
 SEED = 7
 SECOND_BITS = 24  # of a table key, from both its half-bands; the others are from the first one alone
 
@@ -220,20 +224,18 @@ def set_batches(batches):
     """(node, text) to (node, members): the sorted hashes of the full set."""
     shingler = _shingler()
     for batch in batches:
-        rows = []
-        for _, data, starts in _chunks(batch.column("text")):
+        for first, data, starts in _chunks(batch.column("text")):
             hashes, counts = shingler.sets(data, starts)
-            rows += np.split(hashes, np.cumsum(counts)[:-1])
-        members = pa.array([x.tobytes() for x in rows], pa.binary())
-        yield pa.RecordBatch.from_arrays([batch.column("node"), members], names=["node", "members"])
+            members = pa.array([x.tobytes() for x in np.split(hashes, np.cumsum(counts)[:-1])], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("node").slice(first, len(counts)), members], names=["node", "members"])
 
 
 def linked_batches(batches):
     """(a, b, members_a, members_b) to the pairs (a, b) that are similar enough."""
     for batch in batches:
         keep = []
-        for x, y in zip(batch.column("members_a").to_pylist(), batch.column("members_b").to_pylist()):
-            x, y = np.frombuffer(x, U), np.frombuffer(y, U)
+        for x, y in zip(batch.column("members_a"), batch.column("members_b")):  # not all as Python objects at once
+            x, y = (np.frombuffer(m.as_buffer(), U) for m in (x, y))
             both = len(np.intersect1d(x, y, assume_unique=True))
             keep.append(100 * both >= PERCENT * (len(x) + len(y) - both))
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
@@ -525,14 +527,15 @@ def linked(docs: DataFrame) -> DataFrame:
     # sorted, so that reruns number alike
     numbered = nodes.sortWithinPartitions("key_a", "key_b").withColumn("node", F.monotonically_increasing_id())
     nodes = stored(numbered.select("node", "key_a", "key_b", "own.*", "n_shingles", "halves", "sketch"), "nodes")
+    files = max(LINK_FILES, partitions_for(nodes.count(), LINK_NODES))
     keys = stored(shared_keys(nodes), "keys")
     wanted = nodes.select("node", "doc_id", "text_key").join(keys.select("node").distinct(), "node", "left_semi")
     sets = stored(node_sets(d, wanted), "sets")
-    stars = checkpointed(confirmed(star_pairs(keys), sets))
-    near = stars.unionByName(confirmed(other_pairs(keys, rough_labels(stars), nodes, best=True), sets))
-    near = checkpointed(near)
-    rest = other_links(keys, rough_labels(near, rounds=2), nodes, sets)
-    final = components(near.unionByName(rest))
+    stars = checkpointed(confirmed(star_pairs(keys), sets), files)
+    near = stars.unionByName(confirmed(other_pairs(keys, rough_labels(stars, parts=files), nodes, best=True), sets))
+    near = checkpointed(near, files)
+    rest = other_links(keys, rough_labels(near, 2, files), nodes, sets)
+    final = components(near.unionByName(rest), files)
     light = nodes.select("node", "key_a", "key_b", F.struct("doc_id", "text_key").alias("own"))
     in_class = light.join(final, "node", "left").select("key_a", "key_b", "own", F.coalesce("label", "node").alias("label"))
     least = in_class.groupBy("label").agg(F.min("own").alias("first"))

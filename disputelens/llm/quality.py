@@ -157,10 +157,10 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) ->
 
     def vote(batches):
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            parts = [sent.value.scores(np.array([terms(t) for t in texts[i : i + BLOCK]])) for i in range(0, len(texts), BLOCK)]
-            found = np.concatenate(parts) if parts else np.zeros(0)
-            columns = [*(batch.column(c) for c in keep), pa.array(found), pa.array((found >= 0.5).astype(np.int32))]
-            yield pa.RecordBatch.from_arrays(columns, names=[*keep, "score", "predicted"])
+            for at in range(0, len(batch), BLOCK):  # few texts at a time outside Arrow, and small batches back to Spark
+                part = batch.slice(at, BLOCK)
+                found = sent.value.scores(np.array([terms(t) for t in part.column("text").to_pylist()]))
+                columns = [*(part.column(c) for c in keep), pa.array(found), pa.array((found >= 0.5).astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(columns, names=[*keep, "score", "predicted"])
 
     return d.mapInArrow(vote, schema)
