@@ -11,6 +11,7 @@ from functools import cached_property, reduce
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..operators import base as B
 from ..operators import cube as Q
@@ -21,7 +22,7 @@ from ..operators import search as S
 from ..operators.paging import PART_ROWS, SummaryIndex
 from ..schema import BASE_COLUMNS, PAGE_SIZE, ROW_DETAIL, TOP_N
 from ..session import checkpointed, scratch_path
-from ..sources.export import export_report, export_search
+from ..sources.export import export_report, export_search, sheet_lead
 
 
 @dataclass
@@ -346,20 +347,33 @@ def search(spark: SparkSession, headers: DataFrame, items: DataFrame, ids) -> Se
 # ---------------------------------------------------------------- R5 downloads
 
 
+# Claims looked up first to tell that a report has rows.
+PROBE_CLAIMS = 1000
+
+
+def has_items(d: Disputes) -> bool:
+    """Whether any header has an item.
+
+    A few claims are looked up in the items first; if none of them has one, all claims are joined.
+    """
+    items = B.clean_items(d.items_raw).select("claim_id")
+    claims = d.headers.select("claim_id")
+    few = F.broadcast(claims.limit(PROBE_CLAIMS))
+    return not items.join(few, "claim_id", "left_semi").isEmpty() or not items.join(claims, "claim_id", "left_semi").isEmpty()
+
+
 def report(headers: DataFrame, items: DataFrame, path: str, start=None, end=None, fmt: str = "parquet") -> bool:
     """The categorised report of a date range below ``path``, one directory per sheet.
 
     False, and nothing written, when the range has no item.
     """
-    spark = headers.sparkSession
-    rows = Disputes(headers, items, start, end).report_rows()
-    # the label join runs once; the emptiness test and the sampling of the ordered write read what it stored
-    kept = scratch_path(spark, "report-rows")
-    rows.write.parquet(kept)
-    stored = spark.read.schema(rows.schema).parquet(kept)
-    if stored.isEmpty():
+    d = Disputes(headers, items, start, end)
+    if not has_items(d):
         return False
-    export_report(stored, path, fmt)
+    # the rows are not stored before the sort: its sampling merges the shuffled inputs a second time, which costs
+    # less than to write and read all rows. Series and number make up the label again.
+    rows = d.report_rows()
+    export_report(rows.withColumn("lead", sheet_lead(rows)).drop("invoice_label"), path, fmt)
     return True
 
 
